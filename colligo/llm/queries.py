@@ -6,12 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colligo.llm import packing
+from colligo.llm import minhash, packing
 from colligo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Exact links over an inverted index of shingles, then reachability.
+OP10_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), s as (
+  select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) end) as g from w
+), n as (
+  select w.doc_id, coalesce(c, 0) as n_shingles from w left join (select doc_id, count(*) as c from s group by doc_id) t using (doc_id)
+), p as (
+  select a.doc_id as u, b.doc_id as v, count(*) as both_n from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
+), l as (
+  select u, v from p join n x on x.doc_id = u join n y on y.doc_id = v where 100 * both_n >= 80 * (x.n_shingles + y.n_shingles - both_n)
+), r as (
+  select doc_id as u, doc_id as v from n union select r.u, l.v from r join l on l.u = r.v
+), c as (select u, min(v) as component_id from r group by u)
+select doc_id, n_shingles, component_id, doc_id = component_id as kept from n join c on c.u = n.doc_id
+"""
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -22,7 +42,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_minhash_near_dedup": OP10_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
