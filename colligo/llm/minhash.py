@@ -34,15 +34,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colligo.llm.buckets import bucket_components
 from colligo.llm.common import staged, text_or_empty
-from colligo.llm.components import components
 from colligo.llm.shingles import in_buffers, mix
 
 CHUNKS, WIDTH, ERRORS, BITS = 9, 6, 1, 16
-#: Rounds of comparing members with a leader before the remaining pairs are listed.
-STAR_ROUNDS = 3
-#: Remaining pairs that are listed at once without another round.
-FEW_PAIRS = 100_000
 
 
 def signatures(sets: list[np.ndarray], symbols: int, bits: int, seed: int = 7) -> np.ndarray:
@@ -126,42 +122,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = staged(rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     # One row per representative: of rows that repeat its id, each that leads a class.
     heads = rows.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")
-    probes = staged(heads.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct(), "probes")
-    shared = probes.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    hits = staged(probes.join(shared, "key"), "hits")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        return pairs.where(f"u <> v and 100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
-
-    def leaders(found: DataFrame, order) -> DataFrame:
-        return found.groupBy("key").agg(F.min_by(F.struct(F.col("doc_id").alias("v"), F.col("n").alias("n_v"), F.col("comp").alias("comp_v")), order).alias("lead")).select("key", "lead.*")
-
-    text_of = texts.where("doc_id is not null")
-    # Round 0: each member against the smallest leader of its buckets.
-    first = hits.withColumn("comp", F.col("doc_id"))
-    pairs = plausible(first.join(leaders(first, F.col("doc_id")), "key").select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), "v", "n_v"))
-    pairs = pairs.groupBy("u").agg(F.min("v").alias("v"))
-    links = staged(confirm(pairs, text_of, words, percent), "confirmed")
-    labels = components(links)
-    for turn in range(STAR_ROUNDS + 1):
-        now = hits.join(labels.withColumnsRenamed({"u": "doc_id", "v": "comp"}), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        now = staged(now, "residue")
-        sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own")).where("all * all > own")
-        left = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-        if not left:
-            break
-        now = now.join(sizes.select("key"), "key", "left_semi")
-        if turn == STAR_ROUNDS or left <= FEW_PAIRS:
-            a = now.select("key", F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("comp").alias("comp_u"))
-            b = now.select("key", F.col("doc_id").alias("v"), F.col("n").alias("n_v"), F.col("comp").alias("comp_v"))
-            found = a.join(b, (a.key == b.key) & (F.col("comp_u") < F.col("comp_v")) & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")))
-        else:
-            found = now.join(leaders(now, F.xxhash64("doc_id", F.lit(turn))), "key").select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("comp").alias("comp_u"), "v", "n_v", "comp_v").where("comp_u <> comp_v")
-        tested = plausible(found.select("u", "n_u", "v", "n_v")).select("u", "v").distinct()
-        new = staged(confirm(tested, text_of, words, percent), "confirmed")
-        labels = components(labels.union(new))
-        if turn == STAR_ROUNDS or left <= FEW_PAIRS:
-            break
+    probes = staged(heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct(), "probes")
+    with_id = texts.where("doc_id is not null")
+    labels = bucket_components(probes, lambda pairs: confirm(pairs, with_id, words, percent), lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m))
     named = classes.join(labels.withColumnsRenamed({"u": "rep", "v": "comp"}), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

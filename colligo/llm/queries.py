@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colligo.llm import minhash, packing
+from colligo.llm import minhash, mixing, packing
 from colligo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,40 @@ select doc_id, n_shingles, component_id, doc_id = component_id as kept from n jo
 """
 
 
+#: Poisson terms by recursion; a document's count is the number of distribution values not above its uniform.
+OP6_SQL = r"""
+with recursive c as (
+  select source, count(*) as n, sqrt(count(*)::double) as w from documents group by source
+), r as (
+  select source, (select count(*) from documents)::double * w / (select sum(w) from c) / n as rate from c
+), q as (
+  select source, greatest(1, ceil(rate / 256.0))::int as parts, rate / greatest(1, ceil(rate / 256.0)) as lam from r
+), f as (
+  select source, parts, lam, 0 as k, exp(-lam) as p, exp(-lam) as cdf from q
+  union all
+  select source, parts, lam, k + 1, p * lam / (k + 1), cdf + p * lam / (k + 1) from f where k < ceil(lam + 12 * sqrt(lam) + 24)
+), g as (
+  select source, parts, list(cdf order by k) as cdfs from f group by source, parts
+), d as (
+  select t.*, list_sum(list_transform(range(1, parts + 1), lambda j: len(list_filter(cdfs, lambda x: x <= ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '') || ':' || j), 1, 13))::bigint / 4503599627370496.0))))::int as times
+  from documents t join g on g.source is not distinct from t.source
+), e as (
+  select doc_id, text, lang, source, n_chars, unnest(range(0, times))::int as copy from d where times > 0
+)
+select *, ('0x' || substr(md5('17:order:' || coalesce(doc_id::varchar, '') || ':' || copy), 1, 13))::bigint as shuffle_key from e
+"""
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.poisson_mix(table(spark, sf_dir, "documents"), exponent=0.5, seed=17)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -47,9 +75,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op6_mixing": op6_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": OP6_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
 }
