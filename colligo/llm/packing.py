@@ -33,35 +33,62 @@ from colligo.llm.common import text_or_empty
 #: Pieces that one call of the bin search holds at a time.
 CHUNK = 32768
 #: Distinct words whose ids a Python worker remembers.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 500_000
+#: Stands between words that are encoded together.
+MARK = "\x00"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tok = Tokenizer.from_file(path)
+    return tok, tok.encode(MARK, add_special_tokens=False).ids, {}, {}
+
+
+def _encode_stems(tok, mark: list[int], stems: list[str]) -> list[bytes]:
+    """Ids of words without white space. Words share a call, with a mark of one known id between them."""
+    if len(mark) != 1 or any(MARK in w for w in stems):
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(stems, add_special_tokens=False)]
+    out = []
+    for i in range(0, len(stems), 256):
+        part = stems[i : i + 256]
+        ids = np.asarray(tok.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(ids == mark[0])
+        if len(ends) != len(part) - 1:
+            raise ValueError("the tokenizer merges words with the mark between them")
+        raw, edges = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+        out += [raw[4 * (x + 1) : 4 * y] for x, y in zip(edges, edges[1:], strict=False)]
+    return out
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian uint32 bytes.
 
-    The tokenizer drops white space and never merges across it, so a text's
-    ids are those of its words in turn; each distinct word is encoded once.
+    The tokenizer lower-cases, drops white space, never merges across it and
+    parts letters from punctuation, so a text's ids are those of its words in
+    turn, and those of a word ending in a letter and "." or "," are its stem's
+    and the sign's. Each distinct stem is encoded once.
     """
-    tok, known = _tokenizer(path)
+    tok, mark, known, stems = _tokenizer(path)
     if len(known) > WORDS_KEPT:
         known.clear()
+    if len(stems) > WORDS_KEPT:
+        stems.clear()
     split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+    parts = {}
+    for words in split:
+        for w in words:
+            if w not in known and w not in parts:
+                stem, sign = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() else (w, "")
+                parts[w] = (stem if "\u03a3" in stem else stem.lower(), sign)
+    new = list({x for pair in parts.values() for x in pair} - stems.keys())
+    stems.update(zip(new, _encode_stems(tok, mark, new), strict=True))
+    known.update((w, stems[a] + stems[b]) for w, (a, b) in parts.items())
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
