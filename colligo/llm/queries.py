@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colligo.llm import minhash, mixing, packing, simhash
+from colligo.llm import minhash, mixing, packing, pii, simhash
 from colligo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_edited(table(spark, sf_dir, "documents"), radius=3)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), support=3, generalise=0.75, remove=0.95)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), exponent=0.5, seed=17)
 
@@ -80,6 +84,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_fingerprints": op2_fingerprints,
+    "op4_pii": op4_pii,
     "op6_mixing": op6_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
