@@ -10,54 +10,58 @@ from pyspark.sql import functions as F
 from colligo.llm.common import staged
 from colligo.llm.components import components
 
-#: Rounds of comparing members with a leader before the remaining pairs are listed.
-STAR_ROUNDS = 3
-#: Remaining pairs that are listed at once without another round.
-FEW_PAIRS = 100_000
 
-
-def bucket_components(probes: DataFrame, confirm: Callable[[DataFrame], DataFrame], plausible: Callable[[Column, Column], Column]) -> DataFrame:
+def bucket_components(
+    probes: DataFrame,
+    confirm: Callable[[DataFrame], DataFrame],
+    plausible: Callable[[str, str], Column],
+    details: Callable[[DataFrame], DataFrame] | None = None,
+    close: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
     """(u, v): v is the smallest id linked with u, for every u that is not itself the smallest of its component.
 
     probes: distinct (key, id, n); two ids are compared if they share a key and
-    plausible(n of one, n of the other) holds; confirm keeps the true links of a
-    table of pairs (u, v).
+    plausible holds; confirm keeps the true links of a table of pairs (u, v).
+    details(ids) may add a column x for the ids that are still apart after the
+    first round, and close, over both sides' columns, must hold for any link;
+    plausible and close get the suffixes of the two sides.
 
-    Each member is first compared with the smallest member of its buckets, then
-    with other leaders; members found in one component need no further
-    comparison. What still stands apart after STAR_ROUNDS rounds is compared
-    pair by pair, across components only, so no link is lost.
+    Bucket mates are not paired. Each member is first compared with the most
+    central leader of its buckets (the one that shares most buckets with
+    others, as the origin of a group of edited copies does), then with every
+    leader of its buckets; members of one component need no further
+    comparison. What still stands apart is compared pair by pair across
+    components, close being part of the join, so no link is lost.
     """
-    shared = probes.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    hits = staged(probes.join(shared, "key"), "hits")
+    close = close or (lambda a, b: F.lit(True))
+    sizes = probes.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    hits = staged(probes.join(sizes, "key"), "hits")
+    hub = hits.groupBy("id").agg((-F.sum("members")).alias("rank"))
+    hits = staged(hits.drop("members").join(hub, "id"), "ranked")
 
-    def leaders(found: DataFrame, order: Column) -> DataFrame:
-        lead = F.min_by(F.struct(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("comp").alias("comp_v")), order)
-        return found.groupBy("key").agg(lead.alias("lead")).select("key", "lead.*")
+    def with_leaders(found: DataFrame, extra: list[str]) -> DataFrame:
+        lead = F.min_by(F.struct("id", "n", "comp", "rank", *extra), F.struct("rank", "id"))
+        leaders = found.groupBy("key").agg(lead.alias("lead")).select("key", *[F.col(f"lead.{c}").alias(f"{c}_v") for c in ("id", "n", "comp", "rank", *extra)])
+        own = found.select("key", *[F.col(c).alias(f"{c}_u") for c in ("id", "n", "comp", *extra)])
+        return own.join(leaders, "key").where("comp_u <> comp_v").where(plausible("_u", "_v"))
 
-    def with_leader(found: DataFrame, order: Column) -> DataFrame:
-        pairs = found.join(leaders(found, order), "key").where("comp <> comp_v")
-        return pairs.where(plausible(F.col("n"), F.col("n_v"))).select(F.col("id").alias("u"), "v")
+    first = with_leaders(hits.withColumn("comp", F.col("id")), []).groupBy(F.col("id_u").alias("u")).agg(F.min_by("id_v", F.struct("rank_v", "id_v")).alias("v"))
+    labels = components(staged(confirm(first), "confirmed"))
 
-    alone = hits.withColumn("comp", F.col("id"))
-    nearest = with_leader(alone, F.col("id")).groupBy("u").agg(F.min("v").alias("v"))
-    labels = components(staged(confirm(nearest), "confirmed"))
-    for turn in range(STAR_ROUNDS + 1):
+    def apart(extra: DataFrame | None) -> DataFrame:
         now = hits.join(labels.withColumnsRenamed({"u": "id", "v": "comp"}), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        now = staged(now, "residue")
-        sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n_all"), F.sum(F.col("c") * F.col("c")).alias("n_own")).where("n_all * n_all > n_own")
-        left = sizes.agg(F.sum((F.col("n_all") * F.col("n_all") - F.col("n_own")) / 2)).first()[0] or 0
-        if not left:
-            break
-        now = now.join(sizes.select("key"), "key", "left_semi")
-        last = turn == STAR_ROUNDS or left <= FEW_PAIRS
-        if last:
-            a = now.select("key", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("comp").alias("comp_u"))
-            b = now.select("key", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("comp").alias("comp_v"))
-            found = a.join(b, (a["key"] == b["key"]) & (F.col("comp_u") < F.col("comp_v")) & plausible(F.col("n_u"), F.col("n_v"))).select("u", "v")
-        else:
-            found = with_leader(now, F.xxhash64("id", F.lit(turn)))
-        labels = components(labels.union(staged(confirm(found.distinct()), "confirmed")))
-        if last:
-            break
-    return labels
+        spread = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
+        now = now.join(spread, "key", "left_semi")
+        return staged(now.join(extra, "id") if extra is not None else now, "apart")
+
+    left = apart(None)
+    extra = staged(details(left.select("id").distinct()), "details") if details else None
+    columns = ["x"] if details else []
+    left = left.join(extra, "id") if details else left
+    pairs = with_leaders(left, columns).where(close("_u", "_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+    labels = components(labels.union(staged(confirm(pairs), "confirmed")))
+    left = apart(extra)
+    a = left.select("key", *[F.col(c).alias(f"{c}_u") for c in ("id", "n", "comp", *columns)])
+    b = left.select("key", *[F.col(c).alias(f"{c}_v") for c in ("id", "n", "comp", *columns)])
+    rest = a.join(b, (a["key"] == b["key"]) & (F.col("comp_u") < F.col("comp_v")) & plausible("_u", "_v") & close("_u", "_v"))
+    return components(labels.union(staged(confirm(rest.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()), "confirmed")))

@@ -12,9 +12,9 @@ of 0.8 the defaults miss 7 pairs in 100,000; farther above, practically none.
 
 Texts with equal sets are first folded into one class, so copies are never
 paired. Inside a bucket of equal keys members are not paired either: each is
-compared with its bucket's leader, components are contracted, and after a few
-rounds with other leaders only the pairs of members that still stand in
-different components are left; all of those are compared.
+compared with leaders, components are contracted, and only pairs of members
+that still stand in different components are left; those whose one-bit
+signatures (512 hashes) are as close as a link's are compared as well.
 
 Defined results: null and empty texts and texts without words have an empty
 set, link with nothing and are their own component; rows that repeat a doc_id
@@ -27,11 +27,12 @@ gives an empty table; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colligo.llm.buckets import bucket_components
@@ -39,6 +40,8 @@ from colligo.llm.common import staged, text_or_empty
 from colligo.llm.shingles import in_buffers, mix
 
 CHUNKS, WIDTH, ERRORS, BITS = 9, 6, 1, 16
+#: One-bit signature of documents whose buckets hold several components after the first round.
+SKETCH_BITS = 512
 
 
 def signatures(sets: list[np.ndarray], symbols: int, bits: int, seed: int = 7) -> np.ndarray:
@@ -89,6 +92,35 @@ def sketch(docs: DataFrame, words: int, chunks: int = CHUNKS, width: int = WIDTH
     return docs.mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
+def bit_sketch(texts: DataFrame, words: int, bits: int = SKETCH_BITS) -> DataFrame:
+    """id and x, a one-bit-per-hash MinHash signature as 64-bit integers; of rows that repeat an id, one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 128):
+                pdf = whole.iloc[at : at + 128]
+                sets = list(in_buffers(pdf["text"].tolist(), words))
+                some = np.array([len(s) > 0 for s in sets])
+                if not some.any():
+                    continue
+                sig = np.packbits(signatures([s for s in sets if len(s)], bits, 1, seed=23).astype(np.uint8), axis=1).view(np.int64)
+                yield pd.DataFrame({"id": pdf["doc_id"][some], "x": list(sig)})
+
+    made = texts.select("doc_id", "text").mapInPandas(run, "id long, x array<long>")
+    return made.groupBy("id").agg(F.min("x").alias("x"))
+
+
+def sketch_distance(a: str, b: str, bits: int = SKETCH_BITS) -> Column:
+    """Differing bits of two sketches."""
+    return reduce(lambda p, q: p + q, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)])
+
+
+def bit_limit(percent: int, bits: int = SKETCH_BITS) -> int:
+    """Distance that a pair of exactly the given likeness exceeds about once in 100,000 times."""
+    p = (1 - percent / 100) / 2
+    return int(bits * p + 4.3 * (bits * p * (1 - p)) ** 0.5) + 1
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those (u, v) of pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -124,7 +156,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     heads = rows.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")
     probes = staged(heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct(), "probes")
     with_id = texts.where("doc_id is not null")
-    labels = bucket_components(probes, lambda pairs: confirm(pairs, with_id, words, percent), lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m))
+    labels = bucket_components(
+        probes,
+        lambda pairs: confirm(pairs, with_id, words, percent),
+        lambda a, b: 100 * F.least(f"n{a}", f"n{b}") >= percent * F.greatest(f"n{a}", f"n{b}"),
+        lambda ids: bit_sketch(with_id.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), words),
+        lambda a, b: sketch_distance(f"x{a}", f"x{b}") <= bit_limit(percent),
+    )
     named = classes.join(labels.withColumnsRenamed({"u": "rep", "v": "comp"}), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colligo.llm import minhash, mixing, packing, pii, simhash
+from colligo.llm import line_dedup, minhash, mixing, packing, pii, simhash
 from colligo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), anchor_words=8, block_words=8)
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_edited(table(spark, sf_dir, "documents"), radius=3)
 
@@ -83,6 +87,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_fingerprints": op2_fingerprints,
     "op4_pii": op4_pii,
     "op6_mixing": op6_mixing,
