@@ -112,8 +112,25 @@ def common_blocks(a: list[int], b: list[int], words: list[int], anchor_words: in
             run.append(j)
             last = (i, j)
         if not found:
-            return sorted(gone)
+            break
         gone.update(found)
+    # Anchors that a chain of short lines kept out of every alignment: each with its equal neighbours.
+    places: dict[int, list[int]] = {}
+    for i, h in enumerate(a):
+        places.setdefault(h, []).append(i)
+    for j in rest:
+        if words[j] < anchor_words or j in gone:
+            continue
+        for i in places[b[j]]:
+            lo, hi = j, j + 1
+            while lo > 0 and lo - 1 not in gone and i - (j - lo) > 0 and a[i - (j - lo) - 1] == b[lo - 1]:
+                lo -= 1
+            while hi < len(b) and hi not in gone and i + hi - j < len(a) and a[i + hi - j] == b[hi]:
+                hi += 1
+            if sum(words[lo:hi]) >= block_words:
+                gone.update(range(lo, hi))
+                break
+    return sorted(gone)
 
 
 def deletions(docs: DataFrame, anchor_words: int = 8, block_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
