@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colligo.llm import line_dedup, minhash, mixing, packing, pii, simhash
-from colligo.llm.common import table
+from colligo.llm import line_dedup, minhash, mixing, packing, pii, simhash, toxicity
+from colligo.llm.common import crc32_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +79,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), exponent=0.5, seed=17)
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model | float:
+    """Fitted on labels whose crc32(doc_id) mod 5 is not 0, at most toxicity.LABELLED of them."""
+    labels = table(spark, sf_dir, "labels").where(crc32_mod("doc_id", 5) != 0)
+    return toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -91,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op2_fingerprints": op2_fingerprints,
     "op4_pii": op4_pii,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
