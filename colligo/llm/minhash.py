@@ -14,7 +14,7 @@ Texts with equal sets are first folded into one class, so copies are never
 paired. Inside a bucket of equal keys members are not paired either: each is
 compared with leaders, components are contracted, and only pairs of members
 that still stand in different components are left; those whose one-bit
-signatures (512 hashes) are as close as a link's are compared as well.
+signatures (2048 hashes) are as close as a link's are compared as well.
 
 Defined results: null and empty texts and texts without words have an empty
 set, link with nothing and are their own component; rows that repeat a doc_id
@@ -41,7 +41,7 @@ from colligo.llm.shingles import in_buffers, mix
 
 CHUNKS, WIDTH, ERRORS, BITS = 9, 6, 1, 16
 #: One-bit signature of documents whose buckets hold several components after the first round.
-SKETCH_BITS = 512
+SKETCH_BITS = 2048
 
 
 def signatures(sets: list[np.ndarray], symbols: int, bits: int, seed: int = 7) -> np.ndarray:
