@@ -81,11 +81,9 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         stems.clear()
     split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
     parts = {}
-    for words in split:
-        for w in words:
-            if w not in known and w not in parts:
-                stem, sign = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() else (w, "")
-                parts[w] = (stem if "\u03a3" in stem else stem.lower(), sign)
+    for w in set().union(*split).difference(known):
+        stem, sign = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() else (w, "")
+        parts[w] = (stem if "\u03a3" in stem else stem.lower(), sign)
     new = list({x for pair in parts.values() for x in pair} - stems.keys())
     stems.update(zip(new, _encode_stems(tok, mark, new), strict=True))
     known.update((w, stems[a] + stems[b]) for w, (a, b) in parts.items())
@@ -98,8 +96,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                pdf = whole.iloc[at : at + 512]
+            for at in range(0, len(whole), 2048):
+                pdf = whole.iloc[at : at + 2048]
                 out = []
                 for doc, ids in zip(pdf["doc_id"], encode_texts(pdf["text"].tolist(), tokenizer_path), strict=True):
                     ids += end
