@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligo.llm import html_extract, langid, line_dedup, minhash, mixing, packing, pii, simhash, toxicity
+from colligo.llm import html_extract, langid, line_dedup, media, minhash, mixing, packing, pii, simhash, toxicity
 from colligo.llm.common import crc32_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_edited(table(spark, sf_dir, "documents"), radius=3)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), support=3, generalise=0.75, remove=0.95)
 
@@ -113,6 +117,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_fingerprints": op2_fingerprints,
+    "op3_media_columns": op3_media_columns,
     "op4_pii": op4_pii,
     "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
