@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -354,14 +355,13 @@ def drop_toxic(docs: DataFrame, model: Model | float, threshold: float = 0.5, te
     """The rows of docs whose text scores below the threshold, with all their columns."""
     if not isinstance(model, Model):
         return docs.where(F.lit(float(model) < threshold))
-    names = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                pdf = whole.iloc[at : at + 512]
-                texts = [t if isinstance(t, str) else "" for t in pdf[text_col]]
-                yield pdf[model.scores(values_of(texts, model, known)) < threshold][names]
+            for at in range(0, whole.num_rows, 512):
+                part = whole.slice(at, 512)
+                texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
+                yield part.filter(pa.array(model.scores(values_of(texts, model, known)) < threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
