@@ -1,6 +1,6 @@
 """Queries and their SQL twins."""
 
-from colligo.plans import scan  # noqa: F401
+from colligo.plans import grouping, scan  # noqa: F401
 from colligo.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
