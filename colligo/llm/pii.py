@@ -2,14 +2,13 @@
 
 Base spans follow fixed patterns, leftmost and non-overlapping per kind; matches
 that fail a kind's check are dropped. A protected entity is a kind with its
-value. The corpus then says how strongly a term reveals an entity: over distinct
-lines (so copies of a text add no evidence), with n_te lines holding both, n_t
-the term, n_e the entity and n all,
+value. The corpus then says how strongly a term reveals an entity: with n_te
+lines holding both, n_t the term, n_e the entity and n lines in all,
 
     disclosure = PMI(t; e) / IC(e) = ln(n_te * n / (n_t * n_e)) / ln(n / n_e)
 
 which is 1 if the term never stands without the entity. Terms seen with an
-entity on at least `support` distinct lines are generalised from a disclosure
+entity on at least `support` distinct lines (copies of a line are no further evidence) are generalised from a disclosure
 of `generalise` up and removed from `remove` up, on the lines that hold the entity.
 
 Terms are white-space tokens without a digit or @, stripped of what is not a
@@ -115,13 +114,13 @@ def entities(found: DataFrame) -> DataFrame:
 
 def disclosing_terms(rows: DataFrame, ents: DataFrame, support: int = 3, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
     """(term, e, disclosure, action) of terms over the thresholds; rows has the texts of the corpus."""
-    seen = ents.select("e", "l", F.explode(line_terms(F.col("line"))).alias("term")).distinct()
-    pairs = staged(seen.groupBy("term", "e").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support), "pairs")
-    n_e = ents.select("e", "l").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    lines = rows.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("l"), "line")
-    n = lines.agg(F.countDistinct("l")).first()[0]
-    wanted = pairs.select("term").distinct()
-    n_t = lines.select("l", F.explode(line_terms(F.col("line"))).alias("term")).join(staged(wanted, "terms"), "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    seen = ents.select("id", "tie", "e", "l", F.explode(line_terms(F.col("line"))).alias("term"))
+    pairs = staged(seen.groupBy("term", "e").agg(F.count("*").alias("n_te"), F.countDistinct("l").alias("lines")).where(F.col("lines") >= support), "pairs")
+    n_e = ents.groupBy("e").agg(F.count("*").alias("n_e"))
+    lines = rows.select(F.explode(F.split("text", "\n")).alias("line"))
+    n = lines.count()
+    # Counted where they are read, so that one row for each term and task is shuffled.
+    n_t = lines.select(F.explode(line_terms(F.col("line"))).alias("term")).join(staged(pairs.select("term").distinct(), "terms"), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     counted = pairs.join(n_t, "term").join(n_e, "e")
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log(F.col("n_te").cast("double") * F.lit(float(n)) / (F.col("n_t").cast("double") * F.col("n_e")))
@@ -137,11 +136,13 @@ def find(docs: DataFrame, support: int = 3, generalise: float = 0.75, remove: fl
     found = staged(found.select("id", "tie", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "spans")
     ents = staged(entities(found), "entities")
     telling = staged(disclosing_terms(rows, ents, support, generalise, remove), "telling")
-    hits = ents.join(telling, "e").select("id", "tie", "line", "line_start", "term", "action").distinct()
-    hits = hits.select("*", F.explode(matches(F.col("line"), TOKEN, is_term)).alias("m")).where(F.lower(stripped(F.col("m.value"))) == F.col("term"))
+    acts = F.map_from_entries(F.collect_list(F.struct("term", "action")))
+    hits = ents.join(telling, "e").groupBy("id", "tie", "line_start", "line", "term").agg(F.max("action").alias("action")).groupBy("id", "tie", "line_start", "line").agg(acts.alias("acts"))
+    hits = hits.select("*", F.explode(matches(F.col("line"), TOKEN, lambda x: is_term(x) & F.map_contains_key("acts", F.lower(stripped(x))))).alias("m"))
     lead = F.length("m.value") - F.length(F.regexp_replace("m.value", r"^\P{L}+", ""))
     start = F.col("line_start") + F.col("m.start") + lead
-    hits = hits.select("id", "tie", start.alias("start"), (start + F.length("term")).alias("end"), "action")
+    term = stripped(F.col("m.value"))
+    hits = hits.select("id", "tie", start.alias("start"), (start + F.length(term)).alias("end"), F.element_at("acts", F.lower(term)).alias("action"))
     spans = hits.groupBy("id", "tie", "start", "end").agg(F.max("action").alias("action")).groupBy("id", "tie").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     spans = spans.withColumnsRenamed({"id": "_id", "tie": "_tie"})
     out = found.drop("text").join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
