@@ -85,7 +85,10 @@ from (select l.l_orderkey as app_id, 1 + l.l_suppkey % 2 as disc, p.p_name as st
 """,
     "judge_responses": r"""
 select doc_id as app_id,
-  '
+  '```json' || chr(10) || '{"identity_confidence": ' || cast(doc_id * 7 % 101 as varchar(20)) || ', "integrity_quality": ' || cast(doc_id * 13 % 101 as varchar(20))
+  || ', "strategy": "' || case doc_id % 4 when 0 then 'STEAM_BASED' when 1 then 'LOCAL_BASED' when 2 then 'HYBRID' else 'MBZ_BASED' end || '",}' || chr(10) || '```' as raw,
+  case when n_chars > 5000 then 'length' else 'stop' end as done_reason
+from documents
 """,
     "ledger": r"""
 select o.o_orderkey as app_id, case o.o_orderstatus when 'F' then 'archive' when 'O' then 'review' else 'skip' end as status,
