@@ -61,7 +61,12 @@ def bucket_components(
     pairs = with_leaders(left, columns).where(close("_u", "_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
     labels = components(labels.union(staged(confirm(pairs), "confirmed")))
     left = apart(extra)
-    a = left.select("key", *[F.col(c).alias(f"{c}_u") for c in ("id", "n", "comp", *columns)])
-    b = left.select("key", *[F.col(c).alias(f"{c}_v") for c in ("id", "n", "comp", *columns)])
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("comp_u") < F.col("comp_v")) & plausible("_u", "_v") & close("_u", "_v"))
+    # A pair with several common keys is met at the first of them only.
+    short = F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    left = left.join(left.groupBy("id").agg(F.sort_array(F.collect_list(short)).alias("keys")), "id")
+    columns = ["id", "n", "comp", "keys", *columns]
+    a = left.select("key", short.alias("short"), *[F.col(c).alias(f"{c}_u") for c in columns])
+    b = left.select("key", *[F.col(c).alias(f"{c}_v") for c in columns])
+    first = F.element_at(F.array_intersect("keys_u", "keys_v"), 1) == F.col("short")
+    rest = a.join(b, (a["key"] == b["key"]) & (F.col("comp_u") < F.col("comp_v")) & plausible("_u", "_v") & close("_u", "_v") & first)
     return components(labels.union(staged(confirm(rest.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()), "confirmed")))
