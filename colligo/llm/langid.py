@@ -44,8 +44,8 @@ def counts(texts: list[str]) -> np.ndarray:
     c = np.concatenate([x for a in arrays for x in (edge, a, edge)]) if arrays else edge
     owner = np.repeat(np.arange(len(arrays)), [len(a) + 2 for a in arrays])
     c = np.where(_LETTER[c], c, 0).astype(np.uint64)
-    last = np.r_[owner[1:] != owner[:-1], True]
-    keep = (c > 0) | np.r_[True, c[:-1] > 0] | last
+    new = owner[1:] != owner[:-1]
+    keep = (c > 0) | np.r_[True, (c[:-1] > 0) | new] | np.r_[new, True]
     c, owner = c[keep], owner[keep]
     if len(c) < 3:
         return np.zeros((len(texts), DIMS), dtype=np.float32)

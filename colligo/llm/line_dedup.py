@@ -162,9 +162,11 @@ def deletions(docs: DataFrame, anchor_words: int = 8, block_words: int = 8, id_c
 def line_dedup(docs: DataFrame, anchor_words: int = 8, block_words: int = 8, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = "n_removed") -> DataFrame:
     """docs with common blocks deleted from later documents; removed_col, if given, has the number of deleted lines."""
     gone = staged(deletions(docs, anchor_words, block_words, id_col, text_col), "gone").select(F.col("doc.id").alias("_id"), F.col("doc.tie").alias("_tie"), F.col("lines").alias("_lines"))
-    wide = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_tie")), "left")
-    dead = F.map_from_arrays(F.col("_lines"), F.col("_lines"))
-    kept = F.array_join(F.filter(F.split(text_or_empty(text_col), "\n"), lambda x, i: ~F.map_contains_key(dead, i)), "\n")
-    text = F.when(F.col("_lines").isNotNull(), kept).otherwise(F.col(text_col))
-    out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != removed_col]
-    return wide.select(*out, *([F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []))
+    whole = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    wide = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(whole) == gone["_tie"]), "left")
+    lines = gone["_lines"]
+    dead = F.map_from_arrays(lines, lines)
+    kept = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.map_contains_key(dead, i)), "\n")
+    text = F.when(lines.isNotNull(), kept).otherwise(docs[text_col])
+    out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c != removed_col]
+    return wide.select(*out, *([F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []))

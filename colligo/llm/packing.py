@@ -33,9 +33,10 @@ from colligo.llm.common import text_or_empty
 #: Pieces that one call of the bin search holds at a time.
 CHUNK = 32768
 #: Distinct words whose ids a Python worker remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 800_000
 #: Stands between words that are encoded together.
 MARK = "\x00"
+SIGNS = (".", ",")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -47,16 +48,16 @@ def _tokenizer(path: str) -> tuple:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    return tok, tok.encode(MARK, add_special_tokens=False).ids, {}, {}
+    return tok, tok.encode(MARK, add_special_tokens=False).ids, {}
 
 
-def _encode_stems(tok, mark: list[int], stems: list[str]) -> list[bytes]:
+def _encode_words(tok, mark: list[int], words: list[str]) -> list[bytes]:
     """Ids of words without white space. Words share a call, with a mark of one known id between them."""
-    if len(mark) != 1 or any(MARK in w for w in stems):
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(stems, add_special_tokens=False)]
+    if len(mark) != 1 or any(MARK in w for w in words):
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
     out = []
-    for i in range(0, len(stems), 256):
-        part = stems[i : i + 256]
+    for i in range(0, len(words), 256):
+        part = words[i : i + 256]
         ids = np.asarray(tok.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(ids == mark[0])
         if len(ends) != len(part) - 1:
@@ -72,24 +73,29 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     The tokenizer lower-cases, drops white space, never merges across it and
     parts letters from punctuation, so a text's ids are those of its words in
     turn, and those of a word ending in a letter and "." or "," are its stem's
-    and the sign's. Each distinct stem is encoded once.
+    and the sign's. Each distinct word is encoded once.
     """
-    tok, mark, known, stems = _tokenizer(path)
+    tok, mark, known = _tokenizer(path)
     if len(known) > WORDS_KEPT:
         known.clear()
-    if len(stems) > WORDS_KEPT:
-        stems.clear()
-    split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    parts = {}
-    for w in set().union(*split).difference(known):
-        stem, sign = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() else (w, "")
-        parts[w] = (stem if "\u03a3" in stem else stem.lower(), sign)
-    new = list({x for pair in parts.values() for x in pair} - stems.keys())
-    stems.update(zip(new, _encode_stems(tok, mark, new), strict=True))
-    known.update((w, stems[a] + stems[b]) for w, (a, b) in parts.items())
+    split = [_lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    new = set().union(*split).difference(known)
+    signed = [w for w in new if w[-1:] in SIGNS and w[-2:-1].isalpha()]
+    plain = list(new.difference(signed).union(SIGNS, [w[:-1] for w in signed]).difference(known))
+    known.update(zip(plain, _encode_words(tok, mark, plain), strict=True))
+    known.update((w, known[w[:-1]] + known[w[-1]]) for w in signed)
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+def _lowered(text: str) -> str:
+    """Latin text in lower case, which the tokenizer would do itself; other text as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length and the crc32 of its ids."""
 
@@ -120,26 +126,28 @@ def best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule
     order = np.argsort(-need.max(axis=1), kind="stable")
     least = need.min(axis=0)
     where = np.empty(len(need), dtype=np.int64)
-    rest = np.empty((max(1, len(need)), need.shape[1]))
+    rest = np.empty((need.shape[1], max(1, len(need))))
     ids = np.empty(max(1, len(need)), dtype=np.int64)
     n = made = 0
     slack = 1e-12
     for i in order:
         d = need[i]
-        left = rest[:n] - d
-        fits = (left >= -slack).all(axis=1)
-        score = (left * left) @ weights if rule == "residual_norm" else -(rest[:n] * d) @ weights
-        score[~fits] = np.inf
-        b = int(score.argmin()) if n else -1
-        if b < 0 or score[b] == np.inf:
+        b = -1
+        if n:
+            left = rest[:, :n] - d[:, None]
+            score = weights @ (left * left) if rule == "residual_norm" else -((weights * d) @ rest[:, :n])
+            score[left.min(axis=0) < -slack] = np.inf
+            b = int(score.argmin())
+            b = b if score[b] < np.inf else -1
+        if b < 0:
             b, n = n, n + 1
-            rest[b], ids[b] = 1.0, made
+            rest[:, b], ids[b] = 1.0, made
             made += 1
-        rest[b] -= d
+        rest[:, b] -= d
         where[i] = ids[b]
-        if (rest[b] < least - slack).any():
+        if (rest[:, b] < least - slack).any():
             n -= 1
-            rest[b], ids[b] = rest[n], ids[n]
+            rest[:, b], ids[b] = rest[:, n], ids[n]
     return where
 
 

@@ -161,14 +161,15 @@ def report(docs: DataFrame, **how) -> DataFrame:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with every span replaced: base spans by <KIND>, generalised terms by <TERM>, removed terms by nothing. Overlapping spans are replaced together by the first one's mark."""
     found = find(docs, id_col=id_col, text_col=text_col, **how).distinct().withColumnsRenamed({"id": "_id", "tie": "_tie", "base": "_base", "terms": "_terms"})
-    marks = F.concat(F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("mark"))), F.transform("_terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", F.lit("")).otherwise(F.lit("<TERM>")).alias("mark"))))
-    text = text_or_empty(text_col)
+    base, terms = found["_base"], found["_terms"]
+    marks = F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("mark"))), F.transform(terms, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", F.lit("")).otherwise(F.lit("<TERM>")).alias("mark"))))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     cut = F.aggregate(
         F.array_sort(marks),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["mark"])).otherwise(acc["out"]).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_tie"))
+    same = docs[id_col].eqNullSafe(found["_id"]) & (F.xxhash64(text) == found["_tie"])
     wide = docs.join(found, same, "left")
-    return wide.select(*[F.when(F.size("_base") + F.size("_terms") > 0, cut).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return wide.select(*[F.when(F.size(base) + F.size(terms) > 0, cut).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
