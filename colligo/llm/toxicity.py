@@ -8,8 +8,8 @@ put together. Landmark words give every word an explicit feature vector
 (K_mm^-1/2 k_m), on which a linear machine with squared hinge loss is trained.
 
 Labels stand on documents. A sentence of a document labelled 0 is negative; a
-sentence of one labelled 1 is a positive bag: words that occur in many distinct
-toxic sentences, and hardly elsewhere, are its witnesses and train as positive;
+sentence of one labelled 1 is a positive bag: words that occur in many toxic
+sentences among different neighbours, and hardly elsewhere, are its witnesses and train as positive;
 words of negative sentences that look at all like a witness (they share letter
 triples with it, gaps allowed) train as negative. Words that look like no
 witness get the lowest value without working out their kernel. A text's value is its highest word's (so of its
@@ -283,7 +283,7 @@ def highest_values(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """word, t and n: distinct texts of label 1 and documents of label 0 that hold it, s: distinct toxic sentences that do."""
+    """word, t and n: distinct texts of label 1 and documents of label 0 that hold it, s: distinct pairs of neighbours that it has in toxic sentences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -292,7 +292,9 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
                 if toxic:
                     d = zlib.crc32(text.encode())
-                    rows += [(w[:SPAN], d, zlib.crc32(s.encode()), 0) for s in sentences_of(text) for w in set(words_of(s))]
+                    for s in sentences_of(text):
+                        ws = ["", *words_of(s), ""]
+                        rows += [(w[:SPAN], d, zlib.crc32(f"{a} {b}".encode()), 0) for a, w, b in zip(ws, ws[1:], ws[2:], strict=False)]
                 else:
                     clean.update({w[:SPAN] for w in words_of(text)})
             rows += [(w, None, None, c) for w, c in clean.items()]
@@ -317,8 +319,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, witnesse
     counts = staged(_word_counts(rows), "words")
     odds = float(ones) / (all_rows - ones)
     expected = (F.col("t") + F.col("n")) * (odds / (1 + odds))
-    z = (F.col("t") - expected) / F.sqrt(expected + 1)
-    best = counts.withColumn("z", z).where((F.col("t") >= 9 * odds * F.col("n")) & (F.col("s") >= 3))
+    # Words that only copies of one text share have few distinct neighbours, however many the copies.
+    z = (F.least("t", "s") - expected) / F.sqrt(expected + 1)
+    best = counts.withColumn("z", z).where((F.col("t") >= 9 * odds * F.col("n")) & (F.col("s") >= 3) & (2 * F.col("s") >= F.col("t")))
     pos = [r.word for r in best.where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(witnesses).collect()]
     if not pos:
         pos = [r.word for r in best.orderBy(F.desc("z"), "word").limit(20).collect()]
