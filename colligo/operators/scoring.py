@@ -27,6 +27,12 @@ def length_bound(a: Column, b: Column) -> Column:
     return 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
 
+def with_similarity(rows: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """rows whose texts a and b are more alike than least, with their ratio as sim; each distinct pair is measured once."""
+    distinct = rows.select(a, b).where(length_bound(F.col(a), F.col(b)) > least).distinct()
+    return rows.join(distinct.withColumn("sim", similarity(a, b)).where(F.col("sim") > least), [a, b])
+
+
 def pairs(candidates: DataFrame) -> DataFrame:
     return candidates.select(*KEY).distinct()
 
@@ -87,8 +93,8 @@ def set_similarity(candidates: DataFrame, local: DataFrame, release_tracks: Data
     r = release_tracks.select("mbid", "position", F.lower("title").alias("r_title"), F.col("duration_ms").alias("r_ms"))
     mine = local.select("app_id", "v_idx", F.lower("title").alias("title"), "duration_ms")
     near = (F.abs(F.col("duration_ms") - F.col("r_ms")) < within_ms) | F.col("duration_ms").isNull() | F.col("r_ms").isNull()
-    all_pairs = pairs(candidates).join(mine, "app_id").join(r, "mbid").where(near & (length_bound(F.col("title"), F.col("r_title")) > least))
-    rated = all_pairs.withColumn("sim", similarity("title", "r_title")).where(F.col("sim") > least).select(*KEY, "v_idx", "position", "sim")
+    all_pairs = pairs(candidates).join(mine, "app_id").join(r, "mbid").where(near)
+    rated = with_similarity(all_pairs, "title", "r_title", least).select(*KEY, "v_idx", "position", "sim")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: set = set()
@@ -113,8 +119,8 @@ def title_coverage(candidates: DataFrame, local: DataFrame, release_tracks: Data
     if exact:
         like = c.join(theirs, "mbid").join(mine, (mine["app_id"] == c["app_id"]) & (F.col("title") == F.col("r_title"))).select(c["app_id"], "mbid", "title")
     else:
-        wide = c.join(mine, "app_id").join(theirs, "mbid").where(length_bound(F.col("title"), F.col("r_title")) > least)
-        like = wide.where(similarity("title", "r_title") > least).select(*KEY, "title")
+        wide = c.join(mine, "app_id").join(theirs, "mbid")
+        like = with_similarity(wide, "title", "r_title", least).select(*KEY, "title")
     covered = like.groupBy(*KEY).agg(F.countDistinct("title").alias("covered"))
     m = release_tracks.groupBy("mbid").agg(F.count("*").alias("m"))
     ratio = F.coalesce("covered", F.lit(0)) / F.col("m")
