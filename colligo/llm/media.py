@@ -37,11 +37,11 @@ WIDTH = 64
 #: Signature, header chunk and its checksum.
 HEADER = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-LEVEL = 6
+LEVEL = 8
 #: Stored bytes of one shard at most, but for its last member.
 SHARD_BYTES = 256 << 20
 STORED = "digest string, n_payload long, shard string, offset long, length long"
-READ = "digest string, width long, height long, bit_depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "digest string, width long, height long, bit_depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long"
 
 
 def padded(raw: bytes) -> bytes:
@@ -173,7 +173,7 @@ def features(stored: DataFrame, folder: str) -> DataFrame:
                         head = png_header(f.read_at(HEADER, int(o)))
                         png = f.read_at(int(n), int(o))
                         x = from_png(png)
-                        rows.append((d, *head, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-WIDTH:]), len(png), hashlib.sha256(png).hexdigest(), feature(x)))
+                        rows.append((d, *head, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-WIDTH:]), len(png), hashlib.sha256(png).hexdigest(), feature(x), shard, o, n))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
 
     return stored.mapInPandas(run, READ)
@@ -195,4 +195,4 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
     # One copy for each digest, in the order of shards, so that a task reads whole stretches of few shards.
     chosen = staged(copies.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*").repartition("shard").sortWithinPartitions("shard", "offset"), "chosen")
     read = staged(features(chosen, folder), "read")
-    return keyed.join(read, "digest").join(chosen, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bit_depth")
+    return keyed.join(read, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bit_depth")
