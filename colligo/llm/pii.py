@@ -7,9 +7,12 @@ lines holding both, n_t the term, n_e the entity and n lines in all,
 
     disclosure = PMI(t; e) / IC(e) = ln(n_te * n / (n_t * n_e)) / ln(n / n_e)
 
-which is 1 if the term never stands without the entity. Terms seen with an
-entity on at least `support` distinct lines (copies of a line are no further evidence) are generalised from a disclosure
-of `generalise` up and removed from `remove` up, on the lines that hold the entity.
+which is 1 if the term never stands without the entity. For n_te / n_t stands
+its lower confidence bound (Wilson's, at `z` standard errors) over the distinct
+lines, as copies of a line are no further evidence: a term that stands on one
+line, with the entity, counts half, and entities on a single line have
+disclosing terms as well. Terms are generalised from a disclosure of
+`generalise` up and removed from `remove` up, on every line of the corpus.
 
 Terms are white-space tokens without a digit or @, stripped of what is not a
 letter at both ends, lower-cased, of at least MIN_LETTERS characters.
@@ -37,6 +40,8 @@ PATTERNS = {
 }
 TERM = "term"
 MIN_LETTERS = 3
+#: Hash values by which terms of texts are held against disclosing ones before they are joined; bounds that broadcast.
+SLOTS = 1 << 22
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: The same matches as PATTERNS["email"], entering a run of name characters only at its start or after a match.
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))" + PATTERNS["email"]
@@ -112,39 +117,55 @@ def entities(found: DataFrame) -> DataFrame:
     return spans.select("id", "tie", F.md5(F.concat_ws(":", "s.kind", F.lower("s.value"))).alias("e"), (F.col("s.start") - F.length(head)).alias("line_start"), line.alias("line"), F.xxhash64(line).alias("l"))
 
 
-def disclosing_terms(rows: DataFrame, ents: DataFrame, support: int = 3, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
+def disclosing_terms(rows: DataFrame, ents: DataFrame, z: float = 1.0, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
     """(term, e, disclosure, action) of terms over the thresholds; rows has the texts of the corpus."""
     seen = ents.select("id", "tie", "e", "l", F.explode(line_terms(F.col("line"))).alias("term"))
-    pairs = staged(seen.groupBy("term", "e").agg(F.count("*").alias("n_te"), F.countDistinct("l").alias("lines")).where(F.col("lines") >= support), "pairs")
+    pairs = seen.groupBy("term", "e").agg(F.count("*").alias("n_te"), F.countDistinct("l").alias("lines"))
     n_e = ents.groupBy("e").agg(F.count("*").alias("n_e"))
     lines = rows.select(F.explode(F.split("text", "\n")).alias("line"))
     n = lines.count()
     # Counted where they are read, so that one row for each term and task is shuffled.
-    n_t = lines.select(F.explode(line_terms(F.col("line"))).alias("term")).join(staged(pairs.select("term").distinct(), "terms"), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = lines.select(F.explode(line_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     counted = pairs.join(n_t, "term").join(n_e, "e")
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
-    pmi = F.log(F.col("n_te").cast("double") * F.lit(float(n)) / (F.col("n_t").cast("double") * F.col("n_e")))
+    # An entity twice on a line gives two rows, so the share is cut at 1; trials are as many as distinct lines make of it.
+    p = F.least(F.lit(1.0), F.col("n_te").cast("double") / F.col("n_t"))
+    trials, zz = F.col("lines") / p, F.lit(z * z)
+    bound = (p + zz / (2 * trials) - F.lit(z) * F.sqrt(p * (1 - p) / trials + zz / (4 * trials * trials))) / (1 + zz / trials)
+    pmi = F.log(bound * F.lit(float(n)) / F.col("n_e"))
     scored = counted.withColumn("disclosure", F.when(ic > 0, pmi / ic)).where(F.col("disclosure") >= generalise)
     return scored.select("term", "e", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
-def find(docs: DataFrame, support: int = 3, generalise: float = 0.75, remove: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, tie (a hash of the text), base and terms (arrays of spans) of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    found = rows.select("id", F.xxhash64("text").alias("tie"), base_spans(F.col("text")).alias("spans"), "text")
-    # Texts are kept only where a span was found; the others are done.
-    found = staged(found.select("id", "tie", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "spans")
-    ents = staged(entities(found), "entities")
-    telling = staged(disclosing_terms(rows, ents, support, generalise, remove), "telling")
-    acts = F.map_from_entries(F.collect_list(F.struct("term", "action")))
-    hits = ents.join(telling, "e").groupBy("id", "tie", "line_start", "line", "term").agg(F.max("action").alias("action")).groupBy("id", "tie", "line_start", "line").agg(acts.alias("acts"))
+def term_spans(rows: DataFrame, telling: DataFrame) -> DataFrame:
+    """id, tie and the spans (start, end, action) of telling terms (term, action) in every text that holds one."""
+    slot = lambda term: F.pmod(F.xxhash64(term), F.lit(SLOTS))
+    held = rows.select("id", F.xxhash64("text").alias("tie"), F.explode(line_terms(F.col("text"))).alias("term"))
+    # At most SLOTS numbers, so the broadcast is bounded; what passes by chance falls out of the join.
+    held = held.withColumn("slot", slot("term")).join(F.broadcast(telling.select(slot("term").alias("slot")).distinct()), "slot", "left_semi").drop("slot")
+    acts = F.map_from_entries(F.collect_set(F.struct("term", "action")))
+    found = staged(held.join(telling, "term").groupBy("id", "tie").agg(acts.alias("acts")), "held").withColumnsRenamed({"id": "_id", "tie": "_tie"})
+    texts = rows.select("id", F.xxhash64("text").alias("tie"), "text").join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    # Only lines with a telling term are looked at closer.
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: F.arrays_overlap(line_terms(x["line"]), F.map_keys("acts")))
+    hits = texts.select("id", "tie", "text", "acts", F.explode(lines).alias("x")).select("id", "tie", "acts", F.when(F.col("x.i") > 0, F.length(F.call_function("substring_index", F.col("text"), F.lit("\n"), F.col("x.i"))) + 1).otherwise(0).alias("line_start"), F.col("x.line").alias("line"))
     hits = hits.select("*", F.explode(matches(F.col("line"), TOKEN, lambda x: is_term(x) & F.map_contains_key("acts", F.lower(stripped(x))))).alias("m"))
     lead = F.length("m.value") - F.length(F.regexp_replace("m.value", r"^\P{L}+", ""))
     start = F.col("line_start") + F.col("m.start") + lead
     term = stripped(F.col("m.value"))
     hits = hits.select("id", "tie", start.alias("start"), (start + F.length(term)).alias("end"), F.element_at("acts", F.lower(term)).alias("action"))
-    spans = hits.groupBy("id", "tie", "start", "end").agg(F.max("action").alias("action")).groupBy("id", "tie").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    spans = spans.withColumnsRenamed({"id": "_id", "tie": "_tie"})
+    return hits.groupBy("id", "tie").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
+
+
+def find(docs: DataFrame, z: float = 1.0, generalise: float = 0.75, remove: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, tie (a hash of the text), base and terms (arrays of spans) of every row."""
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    found = rows.select("id", F.xxhash64("text").alias("tie"), base_spans(F.col("text")).alias("spans"), "text")
+    # Texts are kept only where a span was found, for their lines.
+    found = staged(found.select("id", "tie", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "spans")
+    ents = staged(entities(found), "entities")
+    telling = staged(disclosing_terms(rows, ents, z, generalise, remove).groupBy("term").agg(F.max("action").alias("action")), "telling")
+    spans = term_spans(rows, telling).withColumnsRenamed({"id": "_id", "tie": "_tie"})
     out = found.drop("text").join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
     return out.select("id", "tie", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("terms"))
 

@@ -76,7 +76,7 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"), support=3, generalise=0.75, remove=0.95)
+    return pii.report(table(spark, sf_dir, "documents"), z=1.0, generalise=0.75, remove=0.95)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

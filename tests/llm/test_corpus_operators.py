@@ -204,6 +204,16 @@ def test_disclosing_terms_and_sanitised_text(spark):
     assert "Quimby" not in clean[0] and "<EMAIL>" in clean[0] and clean[10] == plain[0][1]
 
 
+def test_terms_of_rare_entities_are_placed_on_every_line(spark):
+    once = "Reach Zephyrine about rain\nmail z@example.net of Zephyrine about birds"
+    texts = [(1, once), (2, "news\n\nDear zephyrine, rain"), (3, "copied line of Wolfram at w@example.org"), (4, "copied line of Wolfram at w@example.org")]
+    plain = [(10 + i, f"Reach nobody, mail the news about rain and birds, a copied line of what stands at {i}") for i in range(4000)]
+    d = spark.createDataFrame(texts + plain, "doc_id long, text string")
+    terms = {r.id: [dict(texts)[r.id][s.start : s.end] for s in r.terms] for r in pii.find(d).where("id < 10").collect()}
+    assert terms == {1: ["Zephyrine", "Zephyrine"], 2: ["zephyrine"], 3: ["Wolfram"], 4: ["Wolfram"]}
+    assert pii.find(d).where("id >= 10 and size(terms) > 0").count() == 0
+
+
 def test_pii_odd_rows(odd, empty):
     assert pii.report(odd).count() == len(ODD)
     got = pii.sanitise(odd)
