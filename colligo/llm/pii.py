@@ -99,8 +99,8 @@ def is_term(token: Column) -> Column:
 
 
 def line_terms(line: Column) -> Column:
-    tokens = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: is_term(t))
-    return F.array_distinct(F.transform(tokens, lambda t: F.lower(stripped(t))))
+    tokens = F.transform(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: ~t.rlike("[0-9@]")), stripped)
+    return F.array_distinct(F.transform(F.filter(tokens, lambda t: F.length(t) >= MIN_LETTERS), F.lower))
 
 
 def joined(spans: Column) -> Column:
@@ -146,10 +146,11 @@ def term_spans(rows: DataFrame, telling: DataFrame) -> DataFrame:
     acts = F.map_from_entries(F.collect_set(F.struct("term", "action")))
     found = staged(held.join(telling, "term").groupBy("id", "tie").agg(acts.alias("acts")), "held").withColumnsRenamed({"id": "_id", "tie": "_tie"})
     texts = rows.select("id", F.xxhash64("text").alias("tie"), "text").join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
-    # Only lines with a telling term are looked at closer.
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: F.arrays_overlap(line_terms(x["line"]), F.map_keys("acts")))
+    # Only lines and tokens that contain a telling term are looked at closer.
+    near = lambda x: F.exists(F.map_keys("acts"), lambda k: F.contains(F.lower(x), k))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: near(x["line"]))
     hits = texts.select("id", "tie", "text", "acts", F.explode(lines).alias("x")).select("id", "tie", "acts", F.when(F.col("x.i") > 0, F.length(F.call_function("substring_index", F.col("text"), F.lit("\n"), F.col("x.i"))) + 1).otherwise(0).alias("line_start"), F.col("x.line").alias("line"))
-    hits = hits.select("*", F.explode(matches(F.col("line"), TOKEN, lambda x: is_term(x) & F.map_contains_key("acts", F.lower(stripped(x))))).alias("m"))
+    hits = hits.select("*", F.explode(matches(F.col("line"), TOKEN, lambda x: near(x) & is_term(x) & F.map_contains_key("acts", F.lower(stripped(x))))).alias("m"))
     lead = F.length("m.value") - F.length(F.regexp_replace("m.value", r"^\P{L}+", ""))
     start = F.col("line_start") + F.col("m.start") + lead
     term = stripped(F.col("m.value"))
