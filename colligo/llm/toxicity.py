@@ -43,11 +43,14 @@ from pyspark.sql import functions as F
 from colligo.llm.common import staged, text_or_empty
 
 ORDER, DECAY, POWER = 3, 0.7, 3
+#: Landmarks at least.
 LANDMARKS = 96
-#: Share of a toxic landmark's letter triples that a word must hold, gaps allowed, for its kernel to be worked out.
+#: Share of a witness's letter triples that a word must hold, gaps allowed, for its kernel to be worked out.
 SHARED = 0.5
 #: Letters of a word that the kernel sees at once; longer words are seen in overlapping windows.
 SPAN = 24
+#: Similarity that every witness has at least to one landmark; landmarks are added to the usual number until that holds.
+COVER = 0.25
 LABELLED = 20_000
 #: Words whose values a Python worker remembers.
 WORDS_KEPT = 500_000
@@ -78,6 +81,13 @@ def sentences_of(text: str) -> list[str]:
     return [s for s in re.split(r"[.!?]+\s|\n", text) if s.strip()]
 
 
+def windows(word: str) -> list[str]:
+    """The word, or the overlapping windows of SPAN letters in which a longer one is seen."""
+    if len(word) <= SPAN:
+        return [word]
+    return [word[at : at + SPAN] for at in range(0, len(word) - SPAN // 2, SPAN // 2)]
+
+
 def codes(words: list[str]) -> np.ndarray:
     """Letters as numbers, between a start and an end mark, 0 behind; words of at most SPAN letters."""
     size = np.array([len(w) for w in words], dtype=np.int64)
@@ -154,15 +164,16 @@ def similarity(words: list[str], landmarks: list[str]) -> np.ndarray:
     own = np.sqrt(np.maximum(own_kernel(marks), 1e-12))
     out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(order), 512):
-        part = order[at : at + 512]
+    step = max(16, 512 * LANDMARKS // max(LANDMARKS, len(landmarks)))
+    for at in range(0, len(order), step):
+        part = order[at : at + step]
         c = codes([words[i] for i in part])
         out[part] = (raw_kernel(c, marks) / (np.sqrt(np.maximum(own_kernel(c), 1e-12))[:, None] * own)) ** POWER
     return out
 
 
 class Gate:
-    """Which words are like a toxic landmark at all: those that hold SHARED of its letter triples."""
+    """Which words are like a witness at all: those that hold SHARED of its letter triples."""
 
     def __init__(self, marks: list[str]) -> None:
         held = [{int(h) for t in triples(codes([w]), False) for h in t.ravel() if h >= 0} for w in marks]
@@ -190,16 +201,12 @@ class Model:
     shift: float
 
     def values(self, words: list[str]) -> np.ndarray:
-        """The machine's value of every word; of a long word, its highest window's; LOWEST for a word like no toxic landmark."""
+        """The machine's value of every word; of a long word, its highest window's; LOWEST for a word like no witness."""
         parts, owner = [], []
         for i, w in enumerate(words):
-            if len(w) <= SPAN:
-                parts.append(w)
-                owner.append(i)
-            else:
-                starts = range(0, len(w) - SPAN // 2, SPAN // 2)
-                parts += [w[at : at + SPAN] for at in starts]
-                owner += [i] * len(starts)
+            seen = windows(w)
+            parts += seen
+            owner += [i] * len(seen)
         out = np.full(len(words), LOWEST)
         for at in range(0, len(parts), 4096):
             some = at + np.flatnonzero(self.gate.passes(parts[at : at + 4096]))
@@ -244,18 +251,16 @@ def fit_logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def _spread(words: list[str], n: int) -> list[str]:
-    """n words that are unlike each other, taken in the given order of preference and by distance."""
-    words = words[:300]
+def _spread(words: list[str], n: int, cover: float = 0.0) -> list[str]:
+    """n words that are unlike each other, the first and then by distance, and more until every word is as near as cover to one."""
     if len(words) <= n:
         return words
-    k = similarity(words, words)
-    near = k[0].copy()
+    near = similarity(words, words[:1])[:, 0]
     picked = [0]
-    while len(picked) < n:
+    while len(picked) < n or near.min() < cover:
         i = int(np.argmin(near))
         picked.append(i)
-        near = np.maximum(near, k[i])
+        near = np.maximum(near, similarity(words, [words[i]])[:, 0])
     return [words[i] for i in picked]
 
 
@@ -294,9 +299,9 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                     d = zlib.crc32(text.encode())
                     for s in sentences_of(text):
                         ws = ["", *words_of(s), ""]
-                        rows += [(w[:SPAN], d, zlib.crc32(f"{a} {b}".encode()), 0) for a, w, b in zip(ws, ws[1:], ws[2:], strict=False)]
+                        rows += [(x, d, zlib.crc32(f"{a} {b}".encode()), 0) for a, w, b in zip(ws, ws[1:], ws[2:], strict=False) for x in windows(w)]
                 else:
-                    clean.update({w[:SPAN] for w in words_of(text)})
+                    clean.update({x for w in words_of(text) for x in windows(w)})
             rows += [(w, None, None, c) for w, c in clean.items()]
             yield pd.DataFrame(rows, columns=["word", "d", "h", "n"]).astype({"d": "Int64", "h": "Int64"})
 
@@ -326,8 +331,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, witnesse
     if not pos:
         pos = [r.word for r in best.orderBy(F.desc("z"), "word").limit(20).collect()]
     toxic_marks = pos[: LANDMARKS // 4]
-    toxic_marks += _spread(pos[len(toxic_marks) :], LANDMARKS * 5 // 8 - len(toxic_marks))
-    gate = Gate(toxic_marks)
+    toxic_marks += _spread(pos[len(toxic_marks) :], LANDMARKS * 5 // 8 - len(toxic_marks), COVER)
+    gate = Gate(pos)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -336,7 +341,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, witnesse
     # Only words that pass the gate are ever valued, so only they are worth training on.
     clean = counts.where(F.col("t") <= 2 * odds * F.col("n")).select("word").repartition("word").mapInPandas(pick, "word string")
     neg = [r.word for r in clean.orderBy(F.xxhash64("word"), "word").limit(others).collect()] or [""]
-    marks = toxic_marks + [w for w in _spread(neg, LANDMARKS - len(toxic_marks)) if w not in toxic_marks]
+    marks = toxic_marks + [w for w in _spread(neg[:300], LANDMARKS * 3 // 8) if w not in toxic_marks]
     y = np.r_[np.ones(len(pos)), np.zeros(len(neg))]
     weights, bias = fit_machine(pos + neg, y, marks)
     machine = Model(marks, gate, weights, bias, 1.0, 0.0)

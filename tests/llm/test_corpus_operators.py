@@ -302,6 +302,23 @@ def test_toxicity_on_held_out_documents(spark):
     assert {r.doc_id for r in left.collect()} == {4, 5, 6} and left.columns == ["doc_id", "text", "value"]
 
 
+def test_toxicity_of_a_large_insult_vocabulary(spark):
+    rng = np.random.default_rng(2)
+    spell = lambda letters, n: "".join(rng.choice(list(letters), n))
+    words = [spell("aeioulmnrst", int(rng.integers(3, 9))) for _ in range(3000)]
+    bad = [spell("bcdfghjkpqvwxyz", 8) for _ in range(450)]
+    made = [(i, " ".join(w for pair in zip(rng.choice(words, 20), rng.choice(bad, 20, False), strict=True) for w in pair) if i < 400 else " ".join(rng.choice(words, 40)), int(i < 400)) for i in range(2400)]
+    d = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    model = toxicity.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    assert np.mean(model.scores(model.values(bad)) >= 0.5) > 0.98 and np.mean(model.scores(model.values(words)) >= 0.5) < 0.02
+
+
+def test_long_words_are_counted_in_windows(spark):
+    d = spark.createDataFrame([(1, "x" * 30 + "insult", 1), (2, "y" * 30 + "praise", 0)], "doc_id long, text string, toxic int")
+    assert {r.word for r in toxicity._word_counts(d).collect()} == {*toxicity.windows("x" * 30 + "insult"), *toxicity.windows("y" * 30 + "praise")}
+    assert toxicity.windows("x" * 30 + "insult")[-1].endswith("insult")
+
+
 def test_toxicity_odd_rows(odd, empty, docs, spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs.select("doc_id", "text"), labels)
