@@ -7,7 +7,11 @@ above a share of the ratios' standard deviation are content. Content lines vote,
 by their length, for the containers that hold them; the region is the article
 or main element with most votes, or else the innermost container that holds
 nearly all of them. All lines of the region are kept, short ones too, but for
-what stands in elements that are no article text by their kind, role or class.
+what stands in elements that are no article text by their kind or role, or by a
+word of their class or id that the ratios bear out: a named element stays if it
+holds half of the votes, if its lines' ratio is above the page's mean, or if it
+holds the heading of an article. One named for comments stays only if it holds
+nearly all votes. If names leave nothing, the content lines stay.
 
 Defined results: null and empty pages and pages without text give an empty
 text; unclosed and stray tags are allowed; repeated rows get equal texts; an
@@ -36,18 +40,22 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id that mark what is no article text.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies disqus discussion widget toolbar pagination pager".split())
+#: Those of them that are text, but a reader's.
+READERS = frozenset("comment comments reply replies disqus discussion".split())
 WIDTH = 2
 SHARE = 0.5
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags, ancestors that are containers, and whether they are skipped."""
+    """Collects lines: text, tags, ancestors that are containers, whether they are skipped, and ancestors with a name of NAMES."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, container number or -1, skipped
+        self.open: list[tuple[str, int, bool, int]] = []  # name, container number or -1, skipped, number in named or -1
+        self.named: list[bool] = []  # whether for READERS
+        self.titled: set[int] = set()  # those that hold the heading of a region
         self.kinds: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, tuple[int, ...]]] = []
         self.parts: list[str] = []
         self.tags = 0
 
@@ -55,7 +63,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open if n >= 0), any(s for *_, s in self.open)))
+            self.lines.append((text, self.tags, tuple(n for _, n, *_ in self.open if n >= 0), any(s for _, _, s, _ in self.open), tuple(m for *_, m in self.open if m >= 0)))
             self.tags = 0
 
     def inside(self, *names: str) -> bool:
@@ -69,9 +77,15 @@ class Lines(HTMLParser):
             return True
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")):
             return True
-        if name in ("html", "body", *REGIONS) and not NAMES & {"comment", "comments"} & set(self.names(given)):
-            return False
-        return bool(NAMES & set(self.names(given)))
+        return False
+
+    def marked(self, name: str, attrs: list) -> int:
+        """The number of a new named element, or -1."""
+        words = NAMES & set(self.names({k: v or "" for k, v in attrs}))
+        if not words or name in ("html", "body", *REGIONS) and not words & {"comment", "comments"}:
+            return -1
+        self.named.append(bool(words & READERS))
+        return len(self.named) - 1
 
     @staticmethod
     def names(given: dict) -> list[str]:
@@ -102,7 +116,9 @@ class Lines(HTMLParser):
         if name in CONTAINERS:
             number = len(self.kinds)
             self.kinds.append(name)
-        self.open.append((name, number, self.skips(name, attrs)))
+        self.open.append((name, number, self.skips(name, attrs), self.marked(name, attrs)))
+        if name == "h1" and self.inside(*REGIONS):
+            self.titled.update(m for *_, m in self.open if m >= 0)
 
     def handle_startendtag(self, name: str, attrs: list) -> None:
         self.handle_starttag(name, attrs)
@@ -128,6 +144,31 @@ def content_lines(ratios: np.ndarray, width: int = WIDTH, share: float = SHARE)
     return smooth >= share * ratios.std()
 
 
+def voted(lines: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' ratios and votes."""
+    size = np.array([len(x[0]) for x in lines], dtype=float)
+    ratios = size / np.maximum(1, [x[1] for x in lines])
+    votes = np.where(content_lines(ratios), size, 0.0)
+    return ratios, votes if votes.any() else size
+
+
+def without_named(parser: Lines, lines: list[tuple]) -> list[tuple]:
+    """The lines outside named elements that the ratios don't take for content."""
+    if not any(x[4] for x in lines):
+        return lines
+    ratios, votes = voted(lines)
+    sums = np.zeros((3, len(parser.named)))  # votes, letters, tags
+    for (text, tags, _, _, names), v in zip(lines, votes, strict=True):
+        for m in names:
+            sums[:, m] += (v, len(text), max(1, tags))
+    share = sums[0] / votes.sum()
+    rich = sums[1] > ratios.mean() * sums[2]
+    readers = np.array(parser.named)
+    titled = np.isin(np.arange(len(readers)), list(parser.titled))
+    stays = np.where(readers, share >= 0.9, (share >= 0.5) | rich | titled)
+    return [x for x in lines if all(stays[m] for m in x[4])] or [x for x, v in zip(lines, votes, strict=True) if v > 0]
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
@@ -136,12 +177,10 @@ def main_text(html: str) -> str:
     lines = [x for x in parser.lines if not x[3]]
     if not lines:
         return ""
-    size = np.array([len(t) for t, *_ in lines], dtype=float)
-    votes = np.where(content_lines(size / np.maximum(1, [n for _, n, *_ in lines])), size, 0.0)
-    if not votes.any():
-        votes = size
+    lines = without_named(parser, lines)
+    _, votes = voted(lines)
     for_each = np.zeros(len(parser.kinds) + 1)
-    for (*_, inside, _), v in zip(lines, votes, strict=True):
+    for (_, _, inside, *_), v in zip(lines, votes, strict=True):
         for n in inside:
             for_each[n] += v
     named = [i for i, k in enumerate(parser.kinds) if k in REGIONS and for_each[i] > 0]
@@ -151,7 +190,7 @@ def main_text(html: str) -> str:
     else:
         wide = [i for i, k in enumerate(parser.kinds) if for_each[i] >= 0.9 * votes.sum()]
         region = max(wide, default=-1)
-    return "\n".join(t for t, _, inside, _ in lines if region < 0 or region in inside)
+    return "\n".join(t for t, _, inside, *_ in lines if region < 0 or region in inside)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -232,6 +232,17 @@ def test_main_text():
     assert html_extract.main_text("<body><div><div class=menu>m</div><div><p>One two three four five six.</p><p>Short.</p></div></div>") == "One two three four five six.\nShort."
 
 
+def test_main_text_of_elements_with_telling_names():
+    text = "A long paragraph that goes on and on with many words."
+    body = f"<article><h1>Head</h1><p>{text}</p><p>{text}</p><div class=share>Share</div></article>"
+    for name in ("layout has-sidebar", "elementor-widget", "no-sidebar", "with-banner", "comments-open"):
+        assert html_extract.main_text(f"<div class=menu><a>m</a></div><div id=page class='{name}'>{body}</div>") == f"Head\n{text}\n{text}", name
+    widgets = "".join(f"<div class=elementor-widget><p>{text}</p></div>" for _ in range(4))
+    assert html_extract.main_text(f"<div class=menu><a>m</a></div><div>{widgets}</div>") == "\n".join([text] * 4)
+    assert html_extract.main_text(f"<article><div class=entry-header><h1>Head</h1></div><p>{text}</p><section class=comments><article class=comment><p>{text}</p></article></section></article>") == f"Head\n{text}"
+    assert html_extract.main_text(f"<div class=reply><p>{text}</p></div>") == text
+
+
 def test_extract_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
