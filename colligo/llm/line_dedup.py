@@ -1,17 +1,17 @@
 """Line dedup by pairwise alignment: common blocks of lines are deleted from the later document.
 
 Every line has a hash; blank lines carry no evidence. A line of at least
-`anchor_words` words is an anchor. For each anchor that several documents hold,
+`anchor_words` words is an anchor, and so is, from each shorter line on, the
+shortest run of such lines with `block_words` words. For each anchor that several documents hold,
 the first document holding it is paired with each of the others: one pair for
 each further holder, never all pairs of the holders, and as the first holder of
-every line keeps it, nothing is lost. A rare line so gives few pairs and the
+every anchor keeps it, nothing is lost. A rare line so gives few pairs and the
 commonest line one pair per document.
 
 The line sequences of a pair are aligned with patience diff: lines that are
 unique in both texts and in increasing order are fixed, gaps between them are
 aligned again (by equal occurrences where nothing is unique), and matches are
-extended to equal neighbours. Blocks with an anchor and at least `block_words`
-words are deleted from the later document. What is left is aligned again until
+extended to equal neighbours. Blocks with at least `block_words` words are deleted from the later document. What is left is aligned again until
 no block is found, so passages in another order are caught as well.
 
 Documents are ordered by id, nulls last, then by a hash of the text.
@@ -94,19 +94,34 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def anchors_of(hashes: list[int], words: list[int], anchor_words: int, block_words: int) -> list[tuple[int, int]]:
+    """(position, key) of anchors: a long line's hash, or a hash of the shortest run of short lines from there that has block_words words."""
+    out = []
+    for j, w in enumerate(words):
+        if w >= anchor_words:
+            out.append((j, hashes[j]))
+        elif w > 0:
+            n, k = w, j + 1
+            while n < block_words and k < len(words) and words[k] < anchor_words:
+                n, k = n + words[k], k + 1
+            if n >= block_words:
+                out.append((j, hash(tuple(hashes[j:k]))))
+    return out
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], anchor_words: int, block_words: int) -> list[int]:
     """Positions of b in blocks that a holds too, over repeated alignments. words: of each line of b."""
     gone: set[int] = set()
     held = set(a)
     while True:
         rest = [j for j, h in enumerate(b) if j not in gone and h in held]
-        if not any(words[j] >= anchor_words for j in rest):
+        if sum(words[j] for j in rest) < block_words:
             return sorted(gone)
         found, run, last = [], [], (-2, -2)
         for i, k in [*patience(a, [b[j] for j in rest]), (-9, -9)]:
             j = rest[k] if k >= 0 else -9
             if run and (i != last[0] + 1 or j != last[1] + 1):
-                if max(words[x] for x in run) >= anchor_words and sum(words[x] for x in run) >= block_words:
+                if sum(words[x] for x in run) >= block_words:
                     found += run
                 run = []
             run.append(j)
@@ -116,12 +131,14 @@ def common_blocks(a: list[int], b: list[int], words: list[int], anchor_words: in
         gone.update(found)
     # Anchors that a chain of short lines kept out of every alignment: each with its equal neighbours.
     places: dict[int, list[int]] = {}
-    for i, h in enumerate(a):
-        places.setdefault(h, []).append(i)
-    for j in rest:
-        if words[j] < anchor_words or j in gone:
+    size = dict(zip(b, words, strict=True))
+    # A line that b lacks ends a run, as a long line does.
+    for i, key in anchors_of(a, [size.get(h, anchor_words) for h in a], anchor_words, block_words):
+        places.setdefault(key, []).append(i)
+    for j, key in anchors_of(b, words, anchor_words, block_words):
+        if j in gone:
             continue
-        for i in places[b[j]]:
+        for i in places.get(key, ()):
             lo, hi = j, j + 1
             while lo > 0 and lo - 1 not in gone and i - (j - lo) > 0 and a[i - (j - lo) - 1] == b[lo - 1]:
                 lo -= 1
@@ -141,7 +158,14 @@ def deletions(docs: DataFrame, anchor_words: int = 8, block_words: int = 8, id_c
     count = lambda line: F.size(F.filter(F.split(line, SPACES), lambda w: w != ""))
     lined = split.select("doc", F.transform("lines", lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform("lines", count).alias("words"))
     lined = staged(lined, "lines")
-    anchors = lined.select("doc", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= anchor_words))).alias("x")).select("doc", F.col("x.hashes").alias("h"))
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [list({k for _, k in anchors_of(h.tolist(), w.tolist(), anchor_words, block_words)}) for h, w in zip(pdf["hashes"], pdf["words"], strict=True)]
+            yield pdf[["no_id", "id", "tie"]].assign(h=found)
+
+    keyed = lined.select("doc.no_id", "doc.id", "doc.tie", "hashes", "words").mapInPandas(keys, "no_id boolean, id long, tie long, h array<long>")
+    anchors = keyed.select(F.struct("no_id", F.col("id"), "tie").alias("doc"), F.explode("h").alias("h"))
     firsts = staged(anchors.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first"), "firsts")
     pairs = staged(anchors.join(firsts, "h").where("first < doc").select("first", "doc").distinct(), "pairs")
     # Only documents of pairs take part from here on.

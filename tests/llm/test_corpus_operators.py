@@ -49,6 +49,14 @@ def test_line_dedup_removes_blocks_from_the_later_document_only(spark):
     assert got == {1: (texts[0][1], 0), 2: ("own line here\nmore", 2), 3: (texts[2][1], 0), 4: (texts[3][1], 0), 5: ("", 1)}
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = "\n".join(f"line {w} of verse" for w in "one two three four five six seven eight nine ten eleven twelve thirteen".split())
+    texts = [(1, verse), (2, verse), (3, f"own\n{verse}\nend"), (4, "line one of verse\nother")]
+    texts += [(5, "a long line of at least eight words here"), (6, "a long line of at least eight words here\nroses are red\nviolets are blue\nso are you"), (7, "roses are red\nviolets are blue\nso are you")]
+    got = {r["doc_id"]: r["text"] for r in rows(line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert got == {1: verse, 2: "", 3: "own\nend", 4: texts[3][1], 5: texts[4][1], 6: "roses are red\nviolets are blue\nso are you", 7: ""}
+
+
 def test_line_dedup_keeps_every_line_once(docs):
     before, after = docs.select("text").collect(), line_dedup.line_dedup(docs).collect()
     lines = lambda rs: {x.strip() for r in rs for x in r.text.split("\n")} - {""}
