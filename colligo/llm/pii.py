@@ -2,17 +2,18 @@
 
 Base spans follow fixed patterns, leftmost and non-overlapping per kind; matches
 that fail a kind's check are dropped. A protected entity is a kind with its
-value. The corpus then says how strongly a term reveals an entity: with n_te
-lines holding both, n_t the term, n_e the entity and n lines in all,
+value. The corpus then says how strongly a term reveals an entity. It is counted
+in contexts: lines, and of longer lines each stretch of CONTEXT tokens. With
+n_te contexts that hold both, n_t the term, n_e the entity and n in all,
 
     disclosure = PMI(t; e) / IC(e) = ln(n_te * n / (n_t * n_e)) / ln(n / n_e)
 
 which is 1 if the term never stands without the entity. For n_te / n_t stands
 its lower confidence bound (Wilson's, at `z` standard errors) over the distinct
-lines, as copies of a line are no further evidence: a term that stands on one
-line, with the entity, counts half, and entities on a single line have
+contexts, as copies of a line are no further evidence: a term that stands in one
+context, with the entity, counts half, and entities in a single context have
 disclosing terms as well. Terms are generalised from a disclosure of
-`generalise` up and removed from `remove` up, on every line of the corpus.
+`generalise` up and removed from `remove` up, wherever the corpus has them.
 
 Terms are white-space tokens without a digit or @, stripped of what is not a
 letter at both ends, lower-cased, of at least MIN_LETTERS characters.
@@ -20,11 +21,16 @@ letter at both ends, lower-cased, of at least MIN_LETTERS characters.
 Defined results: a null text is empty and has no spans; rows that repeat an id
 and text have the same spans; rows without an id are handled like others; an
 empty table gives an empty table; offsets count code points of the whole text;
-extra columns are ignored by `find` and kept by `sanitise`.
+extra columns are ignored by `find` and kept by `sanitise`. Very long texts,
+lines and runs of digits, dots or signs are matched without recursion and in
+nearly linear time, and a context makes no more pairs of terms and entities
+than its tokens allow, however long its line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +49,38 @@ MIN_LETTERS = 3
 #: Hash values by which terms of texts are held against disclosing ones before they are joined; bounds that broadcast.
 SLOTS = 1 << 22
 TOKEN = r"[^\x20\x09-\x0D]+"
-#: The same matches as PATTERNS["email"], entering a run of name characters only at its start or after a match.
-_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))" + PATTERNS["email"]
+#: The same matches as PATTERNS, in the form that the Java matcher works through without recursion: possessive groups, and
+#: runs of digits or name characters entered only at their start (or, for addresses, right after a match).
+_ITERATIVE = {
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "phone": PATTERNS["phone"],
+}
+#: Tokens of a context. It goes on over tokens that could be the rest of a number, so that no span is cut.
+CONTEXT = 256
+_CONTEXT = r"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){1,%d}+(?:[0-9().-][^\x20\x09-\x0D]*+[\x20\x09\x0B-\x0D]*+)*+" % CONTEXT
+#: What is not a letter at both ends of a token.
+_ENDS = r"^\P{L}++|(?<!\P{L})\P{L}++$"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def ends(lengths: Column) -> Column:
+    """Running sums of an array of numbers, over sums of blocks of about the square root of its size."""
+
+    def of(all_: Column, width: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / width).cast("int")), lambda b: F.slice(all_, b * width + 1, width))
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda p, q: p + q)
+        summed = lambda bs: F.transform(bs, total)
+        inner = lambda bs, ts: F.flatten(F.transform(bs, lambda block, b: let(total(F.slice(ts, F.lit(1), b)), lambda base: F.transform(block, lambda _, i: base + total(F.slice(block, F.lit(1), i + 1))))))
+        return let(blocks, lambda bs: let(summed(bs), lambda ts: inner(bs, ts)))
+
+    none = F.array().cast("array<int>")
+    return let(lengths, lambda x: F.when(F.size(x) > 0, let(F.ceil(F.sqrt(F.size(x))).cast("int"), lambda w: of(x, w))).otherwise(none))
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -63,20 +99,19 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str, keep, guard: Column | None = None) -> Column:
+def matches(text: Column, pattern: str, keep: Callable[[Column], Column], guard: Column | None = None) -> Column:
     """array<struct<start, end, value>> of the matches that keep(value) accepts; offsets in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if guard is not None:
         found = F.when(guard, found).otherwise(F.array().cast("array<string>"))
-    kept = F.filter(F.transform(found, lambda m, i: F.struct(i.alias("i"), m.alias("value"))), lambda x: keep(x["value"]))
-    lengths = F.zip_with(F.split(text, pattern, -1), found, lambda s, m: F.length(s) + F.coalesce(F.length(m), F.lit(0)))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def placed(x: Column) -> Column:
-        end = F.aggregate(F.slice(lengths, 1, x["i"] + 1), F.lit(0), lambda a, b: a + b)
-        return F.struct((end - F.length(x["value"])).alias("start"), end.alias("end"), x["value"].alias("value"))
+    def placed(ms: Column) -> Column:
+        lengths = F.zip_with(F.split(text, pattern, -1), ms, lambda s, m: F.length(s) + F.coalesce(F.length(m), F.lit(0)))
+        at = lambda e: F.transform(ms, lambda m, i: F.struct((e[i] - F.length(m)).alias("start"), e[i].alias("end"), m.alias("value")))
+        return let(ends(lengths), lambda e: F.filter(at(e), lambda x: keep(x["value"])))
 
-    return F.when(F.size(kept) > 0, F.transform(kept, placed)).otherwise(none)
+    return let(found, lambda ms: F.when(F.exists(ms, keep), placed(ms)).otherwise(none))
 
 
 def base_spans(text: Column) -> Column:
@@ -84,52 +119,56 @@ def base_spans(text: Column) -> Column:
 
     def of(kind: str) -> Column:
         guard = F.contains(text, F.lit({"email": "@", "ip": ".", "phone": "+"}[kind])) if kind != "card" else None
-        found = matches(text, _EMAIL if kind == "email" else PATTERNS[kind], lambda m: _valid(kind, m), guard)
+        found = matches(text, _ITERATIVE[kind], lambda m: _valid(kind, m), guard)
         return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
     return F.concat(*map(of, KINDS))
 
 
 def stripped(token: Column) -> Column:
-    return F.regexp_replace(token, r"^\P{L}+|\P{L}+$", "")
+    return F.regexp_replace(token, _ENDS, "")
 
 
 def is_term(token: Column) -> Column:
     return ~token.rlike("[0-9@]") & (F.length(stripped(token)) >= MIN_LETTERS)
 
 
-def line_terms(line: Column) -> Column:
-    tokens = F.transform(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: ~t.rlike("[0-9@]")), stripped)
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text or a part of one."""
+    tokens = F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda t: ~t.rlike("[0-9@]")), stripped)
     return F.array_distinct(F.transform(F.filter(tokens, lambda t: F.length(t) >= MIN_LETTERS), F.lower))
 
 
+def contexts(text: Column) -> Column:
+    """The lines of a text that are not blank, longer ones in stretches of CONTEXT tokens."""
+    return F.regexp_extract_all(text, F.lit(_CONTEXT), F.lit(0))
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def entities(found: DataFrame) -> DataFrame:
-    """One row per base span: id, tie, e (a hash of kind and value), the line it begins on, where that starts, and the line's hash."""
-    spans = found.where("size(spans) > 0").select("id", "tie", "text", F.explode("spans").alias("s"))
-    before = F.substring(F.col("text"), F.lit(1), F.col("s.start"))
-    head = F.substring_index(before, "\n", -1)
-    tail = F.substring_index(F.substring(F.col("text"), F.col("s.start") + 1, F.length("text")), "\n", 1)
-    line = F.concat(head, tail)
-    return spans.select("id", "tie", F.md5(F.concat_ws(":", "s.kind", F.lower("s.value"))).alias("e"), (F.col("s.start") - F.length(head)).alias("line_start"), line.alias("line"), F.xxhash64(line).alias("l"))
+    """One row per context with base spans: c, a hash of it, its entities es (hashes of kind and value) and its terms."""
+    lines = found.where("size(spans) > 0").select(F.explode(contexts(F.col("text"))).alias("line"))
+    spans = lines.select("line", base_spans(F.col("line")).alias("spans")).where("size(spans) > 0")
+    es = F.array_distinct(F.transform("spans", lambda s: F.md5(F.concat_ws(":", s["kind"], F.lower(s["value"])))))
+    return spans.select(F.xxhash64("line").alias("c"), es.alias("es"), terms_of(F.col("line")).alias("terms"))
 
 
 def disclosing_terms(rows: DataFrame, ents: DataFrame, z: float = 1.0, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
     """(term, e, disclosure, action) of terms over the thresholds; rows has the texts of the corpus."""
-    seen = ents.select("id", "tie", "e", "l", F.explode(line_terms(F.col("line"))).alias("term"))
-    pairs = seen.groupBy("term", "e").agg(F.count("*").alias("n_te"), F.countDistinct("l").alias("lines"))
-    n_e = ents.groupBy("e").agg(F.count("*").alias("n_e"))
-    lines = rows.select(F.explode(F.split("text", "\n")).alias("line"))
-    n = lines.count()
+    seen = ents.select("c", "terms", F.explode("es").alias("e")).select("c", "e", F.explode("terms").alias("term"))
+    pairs = seen.groupBy("term", "e").agg(F.count("*").alias("n_te"), F.countDistinct("c").alias("lines"))
+    n_e = ents.select(F.explode("es").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    held = rows.select(contexts(F.col("text")).alias("cs"))
+    n = held.agg(F.sum(F.size("cs"))).first()[0] or 0
     # Counted where they are read, so that one row for each term and task is shuffled.
-    n_t = lines.select(F.explode(line_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = held.select(F.explode("cs").alias("line")).select(F.explode(terms_of(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     counted = pairs.join(n_t, "term").join(n_e, "e")
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
-    # An entity twice on a line gives two rows, so the share is cut at 1; trials are as many as distinct lines make of it.
-    p = F.least(F.lit(1.0), F.col("n_te").cast("double") / F.col("n_t"))
+    # Trials are as many as distinct contexts make of the share.
+    p = F.col("n_te").cast("double") / F.col("n_t")
     trials, zz = F.col("lines") / p, F.lit(z * z)
     bound = (p + zz / (2 * trials) - F.lit(z) * F.sqrt(p * (1 - p) / trials + zz / (4 * trials * trials))) / (1 + zz / trials)
     pmi = F.log(bound * F.lit(float(n)) / F.col("n_e"))
@@ -140,22 +179,21 @@ def disclosing_terms(rows: DataFrame, ents: DataFrame, z: float = 1.0, generalis
 def term_spans(rows: DataFrame, telling: DataFrame) -> DataFrame:
     """id, tie and the spans (start, end, action) of telling terms (term, action) in every text that holds one."""
     slot = lambda term: F.pmod(F.xxhash64(term), F.lit(SLOTS))
-    held = rows.select("id", F.xxhash64("text").alias("tie"), F.explode(line_terms(F.col("text"))).alias("term"))
-    # At most SLOTS numbers, so the broadcast is bounded; what passes by chance falls out of the join.
-    held = held.withColumn("slot", slot("term")).join(F.broadcast(telling.select(slot("term").alias("slot")).distinct()), "slot", "left_semi").drop("slot")
-    acts = F.map_from_entries(F.collect_set(F.struct("term", "action")))
-    found = staged(held.join(telling, "term").groupBy("id", "tie").agg(acts.alias("acts")), "held").withColumnsRenamed({"id": "_id", "tie": "_tie"})
-    texts = rows.select("id", F.xxhash64("text").alias("tie"), "text").join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
-    # Only lines and tokens that contain a telling term are looked at closer.
-    near = lambda x: F.exists(F.map_keys("acts"), lambda k: F.contains(F.lower(x), k))
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: near(x["line"]))
-    hits = texts.select("id", "tie", "text", "acts", F.explode(lines).alias("x")).select("id", "tie", "acts", F.when(F.col("x.i") > 0, F.length(F.call_function("substring_index", F.col("text"), F.lit("\n"), F.col("x.i"))) + 1).otherwise(0).alias("line_start"), F.col("x.line").alias("line"))
-    hits = hits.select("*", F.explode(matches(F.col("line"), TOKEN, lambda x: near(x) & is_term(x) & F.map_contains_key("acts", F.lower(stripped(x))))).alias("m"))
-    lead = F.length("m.value") - F.length(F.regexp_replace("m.value", r"^\P{L}+", ""))
-    start = F.col("line_start") + F.col("m.start") + lead
-    term = stripped(F.col("m.value"))
-    hits = hits.select("id", "tie", start.alias("start"), (start + F.length(term)).alias("end"), F.element_at("acts", F.lower(term)).alias("action"))
-    return hits.groupBy("id", "tie").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
+    # At most SLOTS numbers, so the broadcast is bounded; what passes by chance falls out of the joins on terms.
+    slots = telling.select(slot("term").alias("slot")).distinct()
+    told = lambda df: df.withColumn("slot", slot("term")).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    held = told(rows.select("id", F.xxhash64("text").alias("tie"), F.explode(terms_of(F.col("text"))).alias("term")))
+    found = staged(held.join(telling, "term").groupBy("id", "tie").agg(F.collect_set("term").alias("keys")), "held").withColumnsRenamed({"id": "_id", "tie": "_tie"})
+    texts = rows.select("id", F.xxhash64("text").alias("tie"), "text").join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).distinct()
+    # Only lines that contain a telling term are cut into tokens.
+    lines = let(F.split("text", "\n"), lambda ls: let(ends(F.transform(ls, lambda x: F.length(x) + 1)), lambda e: F.transform(ls, lambda x, i: F.struct((e[i] - F.length(x) - 1).alias("at"), x.alias("line")))))
+    near = F.filter(lines, lambda x: let(F.lower(x["line"]), lambda low: F.exists("keys", lambda k: F.contains(low, k))))
+    tokens = texts.select("id", "tie", F.explode(near).alias("x")).select("id", "tie", "x.at", F.explode(matches(F.col("x.line"), TOKEN, is_term)).alias("m"))
+    lead = F.length("m.value") - F.length(F.regexp_replace("m.value", r"^\P{L}++", ""))
+    word = stripped(F.col("m.value"))
+    placed = tokens.select("id", "tie", (F.col("at") + F.col("m.start") + lead).alias("start"), F.length(word).alias("n"), F.lower(word).alias("term"))
+    hits = told(placed).join(telling, "term").select("id", "tie", F.struct("start", (F.col("start") + F.col("n")).alias("end"), "action").alias("s"))
+    return hits.groupBy("id", "tie").agg(F.array_sort(F.collect_set("s")).alias("terms"))
 
 
 def find(docs: DataFrame, z: float = 1.0, generalise: float = 0.75, remove: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -222,6 +222,41 @@ def test_terms_of_rare_entities_are_placed_on_every_line(spark):
     assert pii.find(d).where("id >= 10 and size(terms) > 0").count() == 0
 
 
+def test_long_runs_and_many_spans_on_a_line(spark):
+    """Texts on which a matcher that recurses or sums anew for each span would die or crawl."""
+    texts = ["9" * 1_000_000, "a@b" + ".c" * 200_000, "1." * 100_000, "a" + "." * 300_000 + "b", "+1" + "(" * 300_000, " ".join(f"u{i}@h{i}.org" for i in range(5000)), "  ".join(["4111111111111111"] * 5000)]
+    got = {r.id: [(s.kind, s.start, s.end) for s in r.base] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [len(got[i]) for i in range(7)] == [0, 1, 25_000, 0, 0, 5000, 5000]
+    assert got[5] == base_spans(texts[5]) and got[6] == base_spans(texts[6])
+
+
+def test_disclosing_terms_against_brute_force(spark, docs):
+    from math import log, sqrt
+
+    few = docs.where("doc_id < 120")
+    lines = [x for r in few.collect() for x in (r.text or "").split("\n") if x.split()]
+    assert max(len(x.split()) for x in lines) > pii.CONTEXT
+    parts = [" ".join(w[i : i + pii.CONTEXT]) for w in (re.split(r"[\x20\x09-\x0d]+", x.strip(" \t\x0b\f\r")) for x in lines) for i in range(0, len(w), pii.CONTEXT)]
+    strip = lambda t: re.sub(r"^[\W\d_]+|[\W\d_]+$", "", t).lower()
+    terms = [{strip(t) for t in p.split(" ") if not re.search("[0-9@]", t) and len(strip(t)) >= pii.MIN_LETTERS} for p in parts]
+    held = [{(k, p[a:b].lower()) for k, a, b in base_spans(p)} for p in parts]
+    n, want = len(parts), {}
+    for e in set().union(*held):
+        where = [i for i, h in enumerate(held) if e in h]
+        for t in set().union(*(terms[i] for i in where)):
+            both, n_t = [i for i in where if t in terms[i]], sum(t in x for x in terms)
+            p = len(both) / n_t
+            m = len({parts[i] for i in both}) / p
+            low = (p + 1 / (2 * m) - sqrt(p * (1 - p) / m + 1 / (4 * m * m))) / (1 + 1 / m)
+            d = log(low * n / len(where)) / log(n / len(where))
+            if d >= 0.75:
+                want[t, hashlib.md5(":".join(e).encode()).hexdigest()] = d
+    rows_ = few.select(F.col("doc_id").alias("id"), "text")
+    found = rows_.select("id", "text", pii.base_spans(F.col("text")).alias("spans"))
+    got = {(r.term, r.e): r.disclosure for r in pii.disclosing_terms(rows_, pii.entities(found)).collect()}
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_pii_odd_rows(odd, empty):
     assert pii.report(odd).count() == len(ODD)
     got = pii.sanitise(odd)
