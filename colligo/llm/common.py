@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and the session runs on this machine alone, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,5 +46,29 @@ def crc32_mod(name: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def with_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, no_id and text for pandas functions: an absent id is 0 with no_id set, as pandas would turn ids beside a null into floats."""
+    given = F.col(id_col).cast("long")
+    return docs.select(F.coalesce(given, F.lit(0)).alias("doc_id"), given.isNull().alias("no_id"), text_or_empty(text_col).alias("text"))
+
+
+def ids_back(ids: pd.Series, no_id: pd.Series) -> pd.Series:
+    """The ids of with_ids as nullable whole numbers."""
+    return ids.astype("Int64").mask(no_id.astype(bool))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join of left with right on key, for keys that may hold a large share of left.
+
+    Rows of such a key are dealt over tasks by the column `by`, about `rows` to a
+    part, and its rows of right are repeated for each part. counted: a stored
+    table with the keys of left, where left itself is not one.
+    """
+    parts = (left if counted is None else counted).groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts"))
+    dealt = left.join(parts, key).withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
+    copied = right.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
