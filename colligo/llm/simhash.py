@@ -14,14 +14,16 @@ buckets are handled without listing their pairs.
 
 Defined results: null and empty texts and texts of white space only have no
 term and the fingerprint 0; equal texts have equal fingerprints; rows are
-ordered by id, nulls first, and rows that repeat an id by a hash of their text;
-an empty table gives an empty table; extra columns are ignored.
+ordered by id, nulls first, and rows that repeat an id by a hash of their text,
+so that absent or repeated ids are spread as others are; very long texts vote
+whole; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
-from itertools import combinations
+from itertools import accumulate, combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +33,8 @@ from colligo.llm.common import staged, text_or_empty
 
 LANES = 0x0000000100000001
 BLOCKS = 6
-#: Buckets of the id order for each shuffle partition.
-SPREAD = 4
+#: Bytes of texts in a bucket of the id order, about, and buckets at most (beyond, buckets grow; a window spills).
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
 _NO_ID = -(2**63)
 
 
@@ -57,29 +59,42 @@ def signed_bits() -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), high, reduce(lambda x, y: x + y, [c.cast("long") for c in low]))
 
 
-def in_id_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def in_id_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """bucket, rid, next_rid, id, text and the next row's text, by ascending id, the last row's next being the first.
 
-    Rows go to buckets by id quantiles, and the first row of each bucket is also
+    Rows go to buckets by quantiles of the id, as many as the texts' bytes ask
+    for, and a frequent id's (or absent ids') rows to several by the hash of
+    their text, the second key of the order. The first row of each bucket is also
     dealt to the bucket before it, so that no window spans more than a bucket.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("key"), text_or_empty(text_col).alias("text"))
-    parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, cuts = rows.agg(F.min("key"), F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts)).first()
-    cuts = sorted({c for c in cuts or [] if c > low})
-    first = F.lit(low if low is not None else 0)
-    # Two levels, so that a row is compared with about 2 * sqrt(cuts) of them.
-    step = max(1, int(len(cuts) ** 0.5))
-    coarse = F.array(*[F.lit(c) for c in cuts[::step]]).cast("array<long>")
-    fine = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)]).cast("array<array<long>>")
-    rows = rows.withColumn("c", F.size(F.filter(coarse, lambda c: c <= F.col("key"))))
-    rows = rows.withColumn("f", F.when(F.col("c") > 0, F.element_at(fine, F.greatest("c", F.lit(1)))))
-    below = F.size(F.filter(F.coalesce("f", F.array().cast("array<long>")), lambda c: c <= F.col("key")))
-    rows = rows.withColumn("bucket", F.greatest(F.lit(0), (F.col("c") - 1) * step + below).cast("long")).withColumn("starts", F.array_contains(F.coalesce("f", F.array().cast("array<long>")), F.col("key")))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("key"), text_or_empty(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes)))
+    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts))).first()[0] or []
+    # Each distinct cut with the number of its repeats, and of all repeats before it; two levels, so that a row is
+    # compared with about 2 * sqrt(cuts) of them.
+    often = sorted(Counter(cuts).items())
+    before = [0, *accumulate(m for _, m in often)]
+    step = max(1, int(len(often) ** 0.5))
+    made = [F.struct(F.lit(c).cast("long").alias("c"), F.lit(m).alias("m"), F.lit(n).alias("n")) for (c, m), n in zip(often, before, strict=False)] or [F.struct(F.lit(_NO_ID).cast("long").alias("c"), F.lit(1).alias("m"), F.lit(0).alias("n"))]
+    fine = F.array(*[F.array(*made[i : i + step]) for i in range(0, len(made), step)])
+    coarse = F.array(*[F.lit(often[i][0]).cast("long") for i in range(0, len(often), step)] or [F.lit(_NO_ID).cast("long")])
+    rows = rows.withColumn("f", F.element_at(fine, F.greatest(F.lit(1), F.size(F.filter(coarse, lambda c: c <= F.col("key"))))))
+    below = F.filter("f", lambda x: x["c"] <= F.col("key"))
+    rows = rows.withColumn("at", F.when(F.size(below) > 0, F.element_at(below, -1))).drop("f")
+    share = F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("at.m")), F.col("at.m") - 1)
+    rows = rows.withColumn("raw", F.when(F.col("at").isNull(), 0).when(F.col("at.c") == F.col("key"), F.col("at.n") + share + 1).otherwise(F.col("at.n") + F.col("at.m")).cast("long")).drop("at")
+    # One row a bucket comes to the driver, MOST_BUCKETS and one at most; empty buckets get no number.
+    firsts = sorted(rows.groupBy("raw").agg(F.min(F.struct("key", "tie")).alias("first")).select("raw", "first.*").collect())
+    last = len(firsts) - 1
+    numbered = spark.createDataFrame([(r.raw, i, r.key, r.tie) for i, r in enumerate(firsts)], "raw long, bucket long, first_key long, first_tie long")
+    rows = rows.join(F.broadcast(numbered), "raw")
     place = lambda b, ghost: F.struct(b.cast("long").alias("bucket"), F.lit(ghost).alias("ghost"))
-    places = F.array_compact(F.array(place(F.col("bucket"), 0), F.when(F.col("starts"), place(F.col("bucket") - 1, 1)), F.when(F.col("key") == first, place(F.lit(len(cuts)), 2))))
-    dealt = rows.select("key", "text", F.explode(places).alias("p")).select("p.*", "key", "text", F.xxhash64("text").alias("tie"))
+    starts = (F.col("key") == F.col("first_key")) & (F.col("tie") == F.col("first_tie"))
+    ahead = F.when(F.col("bucket") > 0, place(F.col("bucket") - 1, 1)).otherwise(place(F.lit(last), 2))
+    dealt = rows.select("key", "text", "tie", F.explode(F.array_compact(F.array(place(F.col("bucket"), 0), F.when(starts, ahead)))).alias("p")).select("p.*", "key", "text", "tie")
+    dealt = dealt.repartition(max(1, last + 1), "bucket")
     order = Window.partitionBy("bucket").orderBy("ghost", "key", "tie")
     seen = dealt.select("*", F.row_number().over(order).alias("n"), F.lead("text").over(order).alias("next_text"), F.lead("ghost").over(order).alias("next_ghost")).where("ghost = 0")
     start = lambda b: F.shiftleft(b, 34) + 1
