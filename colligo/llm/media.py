@@ -5,15 +5,21 @@ without loss). Each task writes one tar shard to a shared folder through a file
 system handle that also opens remote stores; a member is named by the sha256 of
 its payload and written once in a shard. Rows carry digest, shard, offset and
 length; all rows of a digest point to the same copy, the one of the smallest
-shard name. A shard is first written under a name of its task attempt, so a
-lost task leaves an orphan but never half a shard that rows point to.
+shard name. The shards are the result's home and stay: each call writes a
+folder of its own below the given one (the warehouse, by default), and `shard` is
+the whole address, so that a row alone finds its payload. A shard is first
+written under a name of its task attempt, so a lost task never leaves half a
+shard that rows point to; files that no row points to are removed at the end. A
+text that several tasks meet is stored by each of them; moving texts to one task
+first would cost more than these copies.
 
 Metadata columns come from reading only the first HEADER bytes of a stored
 payload; features come from reading the stored range back and undoing it.
 
 Defined results: a null text is an empty payload, 64 zero bytes; equal payloads
 are stored once in a shard and have equal columns; a payload of any length is
-one member; an empty table gives an empty table; extra columns are ignored.
+one member; repeated rows have equal columns; an empty table gives an empty
+table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colligo.llm.common import fresh_path, staged, text_or_empty
+from colligo.llm.common import staged, text_or_empty
 
 WIDTH = 64
 #: Signature, header chunk and its checksum.
@@ -135,7 +141,7 @@ def store(payloads: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> D
                 out.write(head)
                 out.write(png)
                 out.write(bytes(-len(png) % 512))
-                rows.append((digest, len(payload), name, at + len(head), len(png)))
+                rows.append((digest, len(payload), f"{folder}/{name}", at + len(head), len(png)))
                 seen[digest] = True
                 at += len(head) + len(png) + -len(png) % 512
             if rows:
@@ -145,30 +151,45 @@ def store(payloads: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> D
     return payloads.mapInPandas(run, STORED)
 
 
-def headers(stored: DataFrame, folder: str) -> DataFrame:
+def _open(shard: str):
+    files, path = _files(shard)
+    return files.open_input_file(path)
+
+
+def drop_orphans(stored: DataFrame, folder: str) -> None:
+    """Remove what is in folder but no row of stored points to: files of lost attempts, and shards of copies not chosen."""
+    from pyarrow import fs
+
+    files, root = _files(folder)
+    names = [(f"{folder}/{f.base_name}",) for f in files.get_file_info(fs.FileSelector(root, allow_not_found=True))]
+    if names:
+        listed = stored.sparkSession.createDataFrame(names, "shard string")
+        for r in listed.join(stored.select("shard").distinct(), "shard", "left_anti").toLocalIterator():
+            files.delete_file(root + r.shard[len(folder) :])
+
+
+def headers(stored: DataFrame) -> DataFrame:
     """digest, width, height, bit_depth: from range reads of the first HEADER bytes only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, root = _files(folder)
         for pdf in batches:
             rows = []
             for shard, part in pdf.groupby("shard", sort=False):
-                with files.open_input_file(f"{root}/{shard}") as f:
+                with _open(shard) as f:
                     rows += [(d, *png_header(f.read_at(HEADER, int(o)))) for d, o in zip(part["digest"], part["offset"], strict=True)]
             yield pd.DataFrame(rows, columns=["digest", "width", "height", "bit_depth"])
 
     return stored.select("digest", "shard", "offset").mapInPandas(run, "digest string, width long, height long, bit_depth int")
 
 
-def features(stored: DataFrame, folder: str) -> DataFrame:
+def features(stored: DataFrame) -> DataFrame:
     """READ for every row of stored: header columns by a header-only range read, the others from the whole stored range."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, root = _files(folder)
         for pdf in batches:
             rows = []
             for shard, part in pdf.groupby("shard", sort=False):
-                with files.open_input_file(f"{root}/{shard}") as f:
+                with _open(shard) as f:
                     for d, o, n in zip(part["digest"], part["offset"], part["length"], strict=True):
                         head = png_header(f.read_at(HEADER, int(o)))
                         png = f.read_at(int(n), int(o))
@@ -180,12 +201,14 @@ def features(stored: DataFrame, folder: str) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as a payload, point every row to one copy, read it back and add its columns.
+    """Store every text as a payload below folder, point every row to one copy, read it back and add its columns.
 
     The digest of a row's payload is worked out by Spark; padding with zero bytes
     needs no second look at the text.
     """
-    folder = folder or fresh_path(docs.sparkSession, "shards")
+    home = folder or docs.sparkSession.conf.get("spark.sql.warehouse.dir")
+    folder = f"{home.rstrip('/')}/media-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8").alias("raw"))
     size = F.length("raw").cast("long")
     fill = F.when(size == 0, F.lit(WIDTH)).otherwise(F.pmod(-size, F.lit(WIDTH))).cast("int")
@@ -194,5 +217,6 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
     copies = staged(store(rows.select("raw"), folder), "copies")
     # One copy for each digest, in the order of shards, so that a task reads whole stretches of few shards.
     chosen = staged(copies.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*").repartition("shard").sortWithinPartitions("shard", "offset"), "chosen")
-    read = staged(features(chosen, folder), "read")
+    read = staged(features(chosen), "read")
+    drop_orphans(chosen, folder)
     return keyed.join(read, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bit_depth")
