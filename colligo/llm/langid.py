@@ -5,16 +5,21 @@ Texts are lower-cased, everything but letters becomes a word boundary, and the
 dimensions over the whole text. A vector is the square roots of the counts times
 the inverse document frequency, of length 1. Every language has several
 centroids from spherical k-means, so that its kinds of text keep apart; a text
-gets the language of the centroid of the largest cosine, and is rejected if
-that cosine does not exceed `reject`.
+gets the language of the centroid of the largest cosine (of equal ones, the
+first by name). It is rejected if that cosine is below the language's limit, the
+`tail` quantile of its own training texts' cosines; `identify` tells it in
+the column rejected, and gives `und` for such texts only if `strict`.
 
-Document frequencies come from all training documents; centroids from at most
-`per_language` of each language (by a hash of the id), a bound that is a parameter.
+Document frequencies come from all training documents; centroids and limits from
+at most `per_language` of each language (by a hash of the id), a bound that is a
+parameter. Each language is clustered by itself in a task; its centroids alone
+reach the driver.
 
 Defined results: null and empty texts and texts without a letter have no vector
-and are rejected (`und`, score 0); rows without a language are never learned
-from; repeated rows get equal results; without any training row all is `und`;
-an empty table gives an empty table; extra columns are ignored.
+and are rejected (`und`, score 0); any other text gets a language, unless
+`strict`; very long texts are counted whole; rows without a language are never
+learned from; repeated rows get equal results; without any training row all is
+`und`; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colligo.llm.common import text_or_empty
+from colligo.llm.common import ids_back, text_or_empty, with_ids
 
 DIMS = 2048
 #: Texts whose counts are held together; letters of a longer buffer are counted alone.
@@ -99,24 +104,27 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owners: np.ndarray  # language number of each centroid
-    reject: float
+    limits: np.ndarray  # least cosine of each language
     sharpness: float = 30.0
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Languages and scores; the score is the share of the best language in a softmax over languages' best cosines."""
-        names, scores = [], []
+    def predict(self, texts: list[str], strict: bool = False) -> tuple[list[str], np.ndarray, list[bool]]:
+        """Languages, scores and rejections; the score is the share of the best language in a softmax over languages' best cosines."""
+        names, scores, rejected = [], [], []
         for _, n in in_groups(texts):
             cos = vectors(n, self.idf) @ self.centroids.T
             best = np.stack([cos[:, self.owners == i].max(axis=1) for i in range(len(self.languages))], axis=1)
             top = best.argmax(axis=1)
             share = 1 / np.exp(self.sharpness * (best - best.max(axis=1, keepdims=True))).sum(axis=1)
-            known = (n.sum(axis=1) > 0) & (best.max(axis=1) > self.reject)
+            lettered = n.sum(axis=1) > 0
+            near = lettered & (best.max(axis=1) >= self.limits[top])
+            known = near if strict else lettered
             names += [self.languages[i] if k else UNKNOWN for i, k in zip(top, known, strict=True)]
             scores += np.where(known, share, 0.0).tolist()
-        return names, np.array(scores, dtype=float)
+            rejected += (~near).tolist()
+        return names, np.array(scores, dtype=float), rejected
 
 
-def train(docs: DataFrame, per_language: int = 1000, clusters: int = 4, reject: float = 0.0, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
+def train(docs: DataFrame, per_language: int = 1000, clusters: int = 4, tail: float = 0.001, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
     """Fit on rows with a language; None if there are none."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
@@ -142,25 +150,32 @@ def train(docs: DataFrame, per_language: int = 1000, clusters: int = 4, reject:
     few = -(-per_language // 64)
     ids = rows.select("id", "lang").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= few).select("id", "lang").distinct()
     # At most per_language ids (rounded up to 64) for each language: the broadcast is bounded.
-    picked = rows.join(F.broadcast(ids), ["id", "lang"]).mapInPandas(samples, "lang string, n array<float>").toPandas()
-    languages, centroids, owners = sorted(picked["lang"].unique()), [], []
-    for i, name in enumerate(languages):
-        v = vectors(np.stack(picked.loc[picked["lang"] == name, "n"].to_list()), idf)
-        c = clustered(v[np.linalg.norm(v, axis=1) > 0], clusters) if (np.linalg.norm(v, axis=1) > 0).any() else v[:1]
-        centroids.append(c)
-        owners += [i] * len(c)
-    return Model(languages, idf.astype(np.float32), np.concatenate(centroids).astype(np.float32), np.array(owners), reject)
-
-
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    picked = rows.join(F.broadcast(ids), ["id", "lang"]).mapInPandas(samples, "lang string, n array<float>")
+
+    def centre(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = vectors(np.stack(pdf["n"].to_list()), idf)
+        v = v[np.lexsort(v.T[:8])]
+        some = v[np.linalg.norm(v, axis=1) > 0]
+        c = clustered(some, clusters) if len(some) else v[:1]
+        limit = float(np.quantile((some @ c.T).max(axis=1), tail)) if len(some) else 1.0
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "limit": limit, "c": list(c.astype(np.float32))})
+
+    # One group is one language's bounded sample.
+    made = picked.groupBy("lang").applyInPandas(centre, "lang string, limit double, c array<float>").toPandas().sort_values("lang", kind="stable")
+    languages = sorted(made["lang"].unique())
+    owners = made["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy()
+    limits = made.groupby("lang")["limit"].first().reindex(languages).to_numpy()
+    return Model(languages, idf.astype(np.float32), np.stack(made["c"].to_list()).astype(np.float32), owners, limits)
+
+
+def identify(docs: DataFrame, model: Model | None, strict: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score and rejected of every row."""
     if model is None:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            names, scores = model.predict(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": names, "score": scores})
+            names, scores, rejected = model.predict(pdf["text"].tolist(), strict)
+            yield pd.DataFrame({"doc_id": ids_back(pdf["doc_id"], pdf["no_id"]), "lang_pred": names, "score": scores, "rejected": rejected})
 
-    return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return with_ids(docs, id_col, text_col).mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")

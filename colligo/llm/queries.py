@@ -101,9 +101,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.train(docs.where(crc32_mod("doc_id", 4) != 2).select("doc_id", "text", "lang"), reject=0.0)
+    model = langid.train(docs.where(crc32_mod("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     found = langid.identify(docs, model)
-    return found.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
