@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colligo.llm.common import text_or_empty
+from colligo.llm.common import ids_back, with_ids
 
 #: Pieces that one call of the bin search holds at a time.
 CHUNK = 32768
@@ -72,15 +72,16 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
 
     The tokenizer lower-cases, drops white space, never merges across it and
     parts letters from punctuation, so a text's ids are those of its words in
-    turn, and those of a word ending in a letter and "." or "," are its stem's
-    and the sign's. Each distinct word is encoded once.
+    turn, and those of a word ending in an ASCII letter and "." or "," are its
+    stem's and the sign's (other letters may end in a mark once lower-cased,
+    which the sign would join). Each distinct word is encoded once.
     """
     tok, mark, known = _tokenizer(path)
     if len(known) > WORDS_KEPT:
         known.clear()
     split = [_lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
     new = set().union(*split).difference(known)
-    signed = [w for w in new if w[-1:] in SIGNS and w[-2:-1].isalpha()]
+    signed = [w for w in new if w[-1:] in SIGNS and w[-2:-1].isascii() and w[-2:-1].isalpha()]
     plain = list(new.difference(signed).union(SIGNS, [w[:-1] for w in signed]).difference(known))
     known.update(zip(plain, _encode_words(tok, mark, plain), strict=True))
     known.update((w, known[w[:-1]] + known[w[-1]]) for w in signed)
@@ -105,15 +106,14 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
             for at in range(0, len(whole), 2048):
                 pdf = whole.iloc[at : at + 2048]
                 out = []
-                for doc, ids in zip(pdf["doc_id"], encode_texts(pdf["text"].tolist(), tokenizer_path), strict=True):
+                for doc, no_id, ids in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), encode_texts(pdf["text"].tolist(), tokenizer_path), strict=True):
                     ids += end
                     n = len(ids) // 4
-                    out += [(doc, k, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for k, s in enumerate(range(0, n, capacity))]
-                made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                made["doc_id"] = made["doc_id"].astype("Int64")
-                yield made
+                    out += [(doc, no_id, k, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for k, s in enumerate(range(0, n, capacity))]
+                made = pd.DataFrame(out, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
+                yield made.assign(doc_id=ids_back(made["doc_id"], made["no_id"])).drop(columns="no_id")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, PIECES)
+    return with_ids(docs, id_col, text_col).mapInPandas(run, PIECES)
 
 
 def best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "residual_norm") -> np.ndarray:
@@ -191,8 +191,11 @@ def pack_pieces(pieces: DataFrame, partitions: int, capacity: int = 2048, max_do
         if held:
             yield place(pd.concat(held, ignore_index=True), first)[0]
 
+    # Ids travel with a mark for absent ones, so that pandas keeps them whole.
     dealt = pieces.withColumn("_deal", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(partitions, "_deal").sortWithinPartitions("_deal", "doc_id", "piece")
-    return dealt.drop("_deal").mapInPandas(run, PIECES + ", sequence_id long, offset long")
+    marked = dealt.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "piece", "start", "length", "ids_crc32")
+    packed = marked.mapInPandas(run, PIECES + ", no_id boolean, sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, docs_per_task: int = 16384, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
