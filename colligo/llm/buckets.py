@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colligo.llm.common import staged
+from colligo.llm.common import spread_join, staged
 from colligo.llm.components import components
 
+#: Members of a bucket that are compared with all of it in one task, about.
+BUCKET_ROWS = 2048
+
 
 def bucket_components(
     probes: DataFrame,
@@ -63,10 +66,11 @@ def bucket_components(
     left = apart(extra)
     # A pair with several common keys is met at the first of them only.
     short = F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    left = left.join(left.groupBy("id").agg(F.sort_array(F.collect_list(short)).alias("keys")), "id")
+    left = staged(left.join(left.groupBy("id").agg(F.sort_array(F.collect_set(short)).alias("keys")), "id"), "rest")
     columns = ["id", "n", "comp", "keys", *columns]
     a = left.select("key", short.alias("short"), *[F.col(c).alias(f"{c}_u") for c in columns])
     b = left.select("key", *[F.col(c).alias(f"{c}_v") for c in columns])
     first = F.element_at(F.array_intersect("keys_u", "keys_v"), 1) == F.col("short")
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("comp_u") < F.col("comp_v")) & plausible("_u", "_v") & close("_u", "_v") & first)
+    # Members of a large bucket are dealt over tasks; each meets all the others there.
+    rest = spread_join(a, b, "key", "id_u", BUCKET_ROWS).where((F.col("comp_u") < F.col("comp_v")) & plausible("_u", "_v") & close("_u", "_v") & first)
     return components(labels.union(staged(confirm(rest.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()), "confirmed")))

@@ -14,14 +14,18 @@ Texts with equal sets are first folded into one class, so copies are never
 paired. Inside a bucket of equal keys members are not paired either: each is
 compared with leaders, components are contracted, and only pairs of members
 that still stand in different components are left; those whose one-bit
-signatures (2048 hashes) are as close as a link's are compared as well.
+signatures (2048 hashes) are as close as a link's are compared as well. That
+filter passes over a link once in 100,000 times; `bit_filter=False` does without.
+A template whose copies are alike but not linked costs a comparison of two
+signatures for each pair of copies, dealt over tasks; no such pair is a row.
 
 Defined results: null and empty texts and texts without words have an empty
 set, link with nothing and are their own component; rows that repeat a doc_id
 are one document, linked with whatever any of them is linked with; rows
 without a doc_id take part through their text's class and have the component
-of that class, or none (null, kept) if no row of it has an id; an empty table
-gives an empty table; extra columns are ignored, whatever their names.
+of that class, or none (null, kept) if no row of it has an id; very long texts
+are hashed whole; an empty table gives an empty table; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,10 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colligo.llm.buckets import bucket_components
-from colligo.llm.common import staged, text_or_empty
+from colligo.llm.common import ids_back, spread_join, staged, with_ids
 from colligo.llm.shingles import in_buffers, mix
 
 CHUNKS, WIDTH, ERRORS, BITS = 9, 6, 1, 16
+#: Pairs of one hub that a task confirms together, about.
+HUB_ROWS = 256
 #: One-bit signature of documents whose buckets hold several components after the first round.
 SKETCH_BITS = 2048
 
@@ -87,13 +93,13 @@ def sketch(docs: DataFrame, words: int, chunks: int = CHUNKS, width: int = WIDTH
                         keys[i] = k
                 h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                 h2 = np.array([mix(s * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": n, "h1": h1, "h2": h2, "keys": keys})
+                yield pd.DataFrame({"doc_id": ids_back(pdf["doc_id"], pdf["no_id"]), "n_shingles": n, "h1": h1, "h2": h2, "keys": keys})
 
     return docs.mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
 def bit_sketch(texts: DataFrame, words: int, bits: int = SKETCH_BITS) -> DataFrame:
-    """id and x, a one-bit-per-hash MinHash signature as 64-bit integers; of rows that repeat an id, one."""
+    """id and x, a one-bit-per-hash MinHash signature as 64-bit integers, of every distinct set of an id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -106,8 +112,7 @@ def bit_sketch(texts: DataFrame, words: int, bits: int = SKETCH_BITS) -> DataFra
                 sig = np.packbits(signatures([s for s in sets if len(s)], bits, 1, seed=23).astype(np.uint8), axis=1).view(np.int64)
                 yield pd.DataFrame({"id": pdf["doc_id"][some], "x": list(sig)})
 
-    made = texts.select("doc_id", "text").mapInPandas(run, "id long, x array<long>")
-    return made.groupBy("id").agg(F.min("x").alias("x"))
+    return texts.select("doc_id", "text").mapInPandas(run, "id long, x array<long>").distinct()
 
 
 def sketch_distance(a: str, b: str, bits: int = SKETCH_BITS) -> Column:
@@ -140,28 +145,33 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                     ok.append(100 * both >= percent * (len(s) + len(last[2]) - both))
                 yield pdf.loc[ok, ["u", "v"]]
 
+    pairs = staged(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     held = texts.join(needed, "doc_id", "left_semi")
-    wide = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    wide = wide.join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
+    # All pairs of a hub have the same v: they are dealt over tasks, here and where a member meets many.
+    wide = spread_join(pairs, held.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u", "v", HUB_ROWS, pairs)
+    wide = spread_join(wide, held.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v", "u", HUB_ROWS, pairs)
     return wide.select("u", "v", "text_u", "text_v").mapInPandas(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bit_filter: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for every row.
+
+    Without bit_filter every candidate is confirmed on its sets, none is left out by its one-bit signature.
+    """
+    texts = with_ids(docs, id_col, text_col)
     rows = staged(sketch(texts, words), "sketch")
     classes = staged(rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     # One row per representative: of rows that repeat its id, each that leads a class.
     heads = rows.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")
     probes = staged(heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct(), "probes")
-    with_id = texts.where("doc_id is not null")
+    with_id = texts.where("not no_id").select("doc_id", "text")
     labels = bucket_components(
         probes,
         lambda pairs: confirm(pairs, with_id, words, percent),
         lambda a, b: 100 * F.least(f"n{a}", f"n{b}") >= percent * F.greatest(f"n{a}", f"n{b}"),
-        lambda ids: bit_sketch(with_id.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), words),
-        lambda a, b: sketch_distance(f"x{a}", f"x{b}") <= bit_limit(percent),
+        (lambda ids: bit_sketch(with_id.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), words)) if bit_filter else None,
+        (lambda a, b: sketch_distance(f"x{a}", f"x{b}") <= bit_limit(percent)) if bit_filter else None,
     )
     named = classes.join(labels.withColumnsRenamed({"u": "rep", "v": "comp"}), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
