@@ -1,25 +1,30 @@
 """Line dedup by pairwise alignment: common blocks of lines are deleted from the later document.
 
-Every line has a hash; blank lines carry no evidence. A line of at least
-`anchor_words` words is an anchor, and so is, from each shorter line on, the
-shortest run of such lines with `block_words` words. For each anchor that several documents hold,
-the first document holding it is paired with each of the others: one pair for
-each further holder, never all pairs of the holders, and as the first holder of
-every anchor keeps it, nothing is lost. A rare line so gives few pairs and the
-commonest line one pair per document.
-
-The line sequences of a pair are aligned with patience diff: lines that are
-unique in both texts and in increasing order are fixed, gaps between them are
-aligned again (by equal occurrences where nothing is unique), and matches are
-extended to equal neighbours. Blocks with at least `block_words` words are deleted from the later document. What is left is aligned again until
-no block is found, so passages in another order are caught as well.
+Lines are compared by the words in them, so that white space at their ends does
+not matter; blank lines carry no evidence. The evidence is rare by make: a key is
+the hash of the shortest run of lines from (or up to) a line that has
+`block_words` words, one long line or several short ones. For each key that
+several documents hold, the first document holding it is paired with each of the
+others: one pair for each further holder, never all pairs of the holders. As
+every line of a common block lies in such a run inside the block, and the first
+holder of the run has the run, no block goes without a pair, and as the first
+holder keeps it, nothing is lost.
+
+The runs of a pair are aligned with patience diff: runs that are unique in both
+texts and in increasing order are fixed, gaps between them are aligned again (by
+equal occurrences where nothing is unique), and matches are extended to equal
+neighbours. Aligned blocks have at least `block_words` words and are deleted from
+the later document, wherever it repeats them. Passages in another order are
+found by aligning what is left again, `rounds` times at most; what so many
+alignments could not bring into order stays.
 
 Documents are ordered by id, nulls last, then by a hash of the text.
 
 Defined results: rows that repeat an id and text are one document and all get
 its result; null and empty texts stay as they are; a text of which every line
-is deleted becomes empty; an empty table gives an empty table; all columns of
-the input stay, whatever their names.
+is deleted becomes empty; blank lines go with the block that encloses them; an
+empty table gives an empty table; all columns of the input stay, whatever their
+names; a pair of very long texts takes at most `rounds` sorted passes.
 """
 
 from __future__ import annotations
@@ -28,13 +33,18 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colligo.llm.common import staged, text_or_empty
+from colligo.llm.common import spread_join, staged, text_or_empty
 
 SPACES = r"[\x20\x09-\x0D]+"
+BLOCK_WORDS = 16
+ROUNDS = 16
+#: Pairs of one first document that a task aligns together, about.
+FIRST_ROWS = 512
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -94,98 +104,108 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def anchors_of(hashes: list[int], words: list[int], anchor_words: int, block_words: int) -> list[tuple[int, int]]:
-    """(position, key) of anchors: a long line's hash, or a hash of the shortest run of short lines from there that has block_words words."""
-    out = []
-    for j, w in enumerate(words):
-        if w >= anchor_words:
-            out.append((j, hashes[j]))
-        elif w > 0:
-            n, k = w, j + 1
-            while n < block_words and k < len(words) and words[k] < anchor_words:
-                n, k = n + words[k], k + 1
-            if n >= block_words:
-                out.append((j, hash(tuple(hashes[j:k]))))
-    return out
-
-
-def common_blocks(a: list[int], b: list[int], words: list[int], anchor_words: int, block_words: int) -> list[int]:
-    """Positions of b in blocks that a holds too, over repeated alignments. words: of each line of b."""
+def runs(hashes: list[int], words: list[int], block_words: int) -> tuple[list[int | None], list[int]]:
+    """For each line the key of the shortest run from it that has block_words words (None past the last), and the run's size."""
+    keys: list[int | None] = []
+    sizes = []
+    end = total = 0
+    for at in range(len(hashes)):
+        while end < len(hashes) and total < block_words:
+            total += words[end]
+            end += 1
+        keys.append(hash(tuple(hashes[at:end])) if total >= block_words else None)
+        sizes.append(end - at)
+        total -= words[at]
+    return keys, sizes
+
+
+def keys_of(hashes: list[int], words: list[int], block_words: int) -> set[int]:
+    """Keys of the runs from every line and of those up to every line."""
+    out = set(runs(hashes, words, block_words)[0])
+    end = total = 0
+    back, count = hashes[::-1], words[::-1]
+    for at in range(len(back)):
+        while end < len(back) and total < block_words:
+            total += count[end]
+            end += 1
+        if total >= block_words:
+            out.add(hash(tuple(back[at:end][::-1])))
+        total -= count[at]
+    return out - {None}
+
+
+def common_blocks(a: list[int], a_words: list[int], b: list[int], b_words: list[int], block_words: int = BLOCK_WORDS, rounds: int = ROUNDS) -> list[int]:
+    """Positions of b in aligned blocks that a holds too. Lines are given by hashes and words; those without a word match nothing."""
+    ia, ib = ([i for i, w in enumerate(ws) if w > 0] for ws in (a_words, b_words))
+    x, y = [a[i] for i in ia], [b[i] for i in ib]
+    a_keys, _ = runs(x, [a_words[i] for i in ia], block_words)
+    b_keys, sizes = runs(y, [b_words[i] for i in ib], block_words)
+    both = set(a_keys) & set(b_keys) - {None}
+    of_a = [i for i, k in enumerate(a_keys) if k in both]
     gone: set[int] = set()
-    held = set(a)
-    while True:
-        rest = [j for j, h in enumerate(b) if j not in gone and h in held]
-        if sum(words[j] for j in rest) < block_words:
-            return sorted(gone)
-        found, run, last = [], [], (-2, -2)
-        for i, k in [*patience(a, [b[j] for j in rest]), (-9, -9)]:
-            j = rest[k] if k >= 0 else -9
-            if run and (i != last[0] + 1 or j != last[1] + 1):
-                if sum(words[x] for x in run) >= block_words:
-                    found += run
-                run = []
-            run.append(j)
-            last = (i, j)
-        if not found:
+    for _ in range(rounds):
+        left = [j for j, k in enumerate(b_keys) if k in both]
+        if not left:
             break
-        gone.update(found)
-    # Anchors that a chain of short lines kept out of every alignment: each with its equal neighbours.
-    places: dict[int, list[int]] = {}
-    size = dict(zip(b, words, strict=True))
-    # A line that b lacks ends a run, as a long line does.
-    for i, key in anchors_of(a, [size.get(h, anchor_words) for h in a], anchor_words, block_words):
-        places.setdefault(key, []).append(i)
-    for j, key in anchors_of(b, words, anchor_words, block_words):
-        if j in gone:
-            continue
-        for i in places.get(key, ()):
-            lo, hi = j, j + 1
-            while lo > 0 and lo - 1 not in gone and i - (j - lo) > 0 and a[i - (j - lo) - 1] == b[lo - 1]:
-                lo -= 1
-            while hi < len(b) and hi not in gone and i + hi - j < len(a) and a[i + hi - j] == b[hi]:
+        aligned = set()
+        for i, j in patience([a_keys[i] for i in of_a], [b_keys[j] for j in left]):
+            i, j = of_a[i], left[j]
+            aligned.add(b_keys[j])
+            lo, hi = 0, sizes[j]
+            while i + hi < len(x) and j + hi < len(y) and j + hi not in gone and x[i + hi] == y[j + hi]:
                 hi += 1
-            if sum(words[lo:hi]) >= block_words:
-                gone.update(range(lo, hi))
-                break
-    return sorted(gone)
+            while i - lo > 0 and j - lo > 0 and j - lo - 1 not in gone and x[i - lo - 1] == y[j - lo - 1]:
+                lo += 1
+            gone.update(range(j - lo, j + hi))
+        # What is aligned once is deleted wherever b repeats it.
+        for j in left:
+            if b_keys[j] in aligned:
+                gone.update(range(j, j + sizes[j]))
+        both -= aligned
+    out = {ib[j] for j in gone}
+    for j in gone:
+        if j + 1 in gone:
+            out.update(range(ib[j], ib[j + 1]))
+    return sorted(out)
 
 
-def deletions(docs: DataFrame, anchor_words: int = 8, block_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, lines): the numbers (from 0) of the lines to delete from each document that loses any; doc is a struct (no_id, id, tie)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    doc = F.struct(F.col("id").isNull().alias("no_id"), "id", F.xxhash64("text").alias("tie"))
-    split = rows.select(doc.alias("doc"), F.split("text", "\n").alias("lines"))
-    count = lambda line: F.size(F.filter(F.split(line, SPACES), lambda w: w != ""))
-    lined = split.select("doc", F.transform("lines", lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform("lines", count).alias("words"))
-    lined = staged(lined, "lines")
+    doc = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie"))
+    words = F.transform(F.split("text", "\n"), lambda x: F.filter(F.split(x, SPACES), lambda w: w != ""))
+    split = rows.select(doc.alias("doc"), words.alias("lines"))
+    lined = staged(split.select("doc", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.size(x)).alias("words")), "lines")
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [list({k for _, k in anchors_of(h.tolist(), w.tolist(), anchor_words, block_words)}) for h, w in zip(pdf["hashes"], pdf["words"], strict=True)]
+            found = [list(keys_of(h[w > 0].tolist(), w[w > 0].tolist(), block_words)) for h, w in zip(pdf["hashes"], pdf["words"], strict=True)]
             yield pdf[["no_id", "id", "tie"]].assign(h=found)
 
     keyed = lined.select("doc.no_id", "doc.id", "doc.tie", "hashes", "words").mapInPandas(keys, "no_id boolean, id long, tie long, h array<long>")
-    anchors = keyed.select(F.struct("no_id", F.col("id"), "tie").alias("doc"), F.explode("h").alias("h"))
+    anchors = keyed.select(F.struct("no_id", "id", "tie").alias("doc"), F.explode("h").alias("h"))
     firsts = staged(anchors.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first"), "firsts")
     pairs = staged(anchors.join(firsts, "h").where("first < doc").select("first", "doc").distinct(), "pairs")
-    # Only documents of pairs take part from here on.
+    # Only documents of pairs take part from here on; the many of one first document are dealt over tasks.
     both = lined.distinct()
-    wide = pairs.join(both.withColumnRenamed("words", "w"), "doc").join(both.select(F.col("doc").alias("first"), F.col("hashes").alias("first_hashes")), "first")
+    wide = spread_join(pairs, both.select("doc", "hashes", "words"), "doc", "first", FIRST_ROWS)
+    wide = spread_join(wide, both.select(F.col("doc").alias("first"), F.col("hashes").alias("first_hashes"), F.col("words").alias("first_words")), "first", "doc", FIRST_ROWS, pairs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lines = [common_blocks(list(a), list(b), list(w), anchor_words, block_words) for a, b, w in zip(pdf["first_hashes"], pdf["hashes"], pdf["w"], strict=True)]
+            sides = [map(np.ndarray.tolist, pdf[c]) for c in ("first_hashes", "first_words", "hashes", "words")]
+            lines = [common_blocks(*x, block_words, rounds) for x in zip(*sides, strict=True)]
             out = pdf[["no_id", "id", "tie"]].assign(lines=lines)
             yield out[[len(x) > 0 for x in lines]]
 
-    flat = wide.select("doc.no_id", "doc.id", "doc.tie", "first_hashes", "hashes", "w")
+    flat = wide.select("doc.no_id", "doc.id", "doc.tie", "first_hashes", "first_words", "hashes", "words")
     found = flat.mapInPandas(run, "no_id boolean, id long, tie long, lines array<int>")
     return found.groupBy(F.struct("no_id", "id", "tie").alias("doc")).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
 
 
-def line_dedup(docs: DataFrame, anchor_words: int = 8, block_words: int = 8, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = "n_removed") -> DataFrame:
+def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = "n_removed") -> DataFrame:
     """docs with common blocks deleted from later documents; removed_col, if given, has the number of deleted lines."""
-    gone = staged(deletions(docs, anchor_words, block_words, id_col, text_col), "gone").select(F.col("doc.id").alias("_id"), F.col("doc.tie").alias("_tie"), F.col("lines").alias("_lines"))
+    gone = staged(deletions(docs, block_words, rounds, id_col, text_col), "gone").select(F.when(~F.col("doc.no_id"), F.col("doc.id")).alias("_id"), F.col("doc.tie").alias("_tie"), F.col("lines").alias("_lines"))
     whole = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     wide = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(whole) == gone["_tie"]), "left")
     lines = gone["_lines"]

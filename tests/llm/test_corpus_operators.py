@@ -44,31 +44,72 @@ def rows(df):
 # 1: line dedup
 
 
+def deduped(spark, texts, **how):
+    return {r["doc_id"]: (r["text"], r["n_removed"]) for r in rows(line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string"), **how))}
+
+
+def kept_lines(texts, block_words):
+    """Plain search: a line goes if it lies in a run of lines with block_words words or more that an earlier text has as well."""
+    split = [[" ".join(x.split()) for x in t.split("\n")] for t in texts]
+    out, earlier = [], set()
+    for lines in split:
+        some = [i for i, x in enumerate(lines) if x]
+        spans = [(i, j) for i in range(len(some)) for j in range(i + 1, len(some) + 1) if sum(len(lines[k].split()) for k in some[i:j]) >= block_words]
+        spans = [(i, j, tuple(lines[k] for k in some[i:j])) for i, j in spans]
+        gone = {k for i, j, run in spans if run in earlier for k in range(some[i], some[j - 1] + 1)}
+        out.append([x for k, x in enumerate(lines) if k not in gone])
+        earlier |= {run for _, _, run in spans}
+    return out
+
+
 def test_line_dedup_removes_blocks_from_the_later_document_only(spark):
     a, b, c = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight", "u v w"
     texts = [(1, f"{a}\n{b}\n{c}"), (2, f"own line here\n{b}\nmore\n{a}"), (3, "nothing shared at all"), (4, f"{c}\nrest"), (5, a)]
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in rows(line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")))}
-    assert got == {1: (texts[0][1], 0), 2: ("own line here\nmore", 2), 3: (texts[2][1], 0), 4: (texts[3][1], 0), 5: ("", 1)}
+    assert deduped(spark, texts, block_words=8) == {1: (texts[0][1], 0), 2: ("own line here\nmore", 2), 3: (texts[2][1], 0), 4: (texts[3][1], 0), 5: ("", 1)}
+    # With more words to a block, single lines are none, but two aligned ones are.
+    assert deduped(spark, [*texts, (6, f"x\n{a}\n\n  {b}\r\ny")]) == {**{i: (t, 0) for i, t in texts}, 6: ("x\ny", 3)}
 
 
 def test_line_dedup_of_short_lines(spark):
     verse = "\n".join(f"line {w} of verse" for w in "one two three four five six seven eight nine ten eleven twelve thirteen".split())
     texts = [(1, verse), (2, verse), (3, f"own\n{verse}\nend"), (4, "line one of verse\nother")]
     texts += [(5, "a long line of at least eight words here"), (6, "a long line of at least eight words here\nroses are red\nviolets are blue\nso are you"), (7, "roses are red\nviolets are blue\nso are you")]
-    got = {r["doc_id"]: r["text"] for r in rows(line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")))}
+    got = {i: t for i, (t, _) in deduped(spark, texts, block_words=8).items()}
     assert got == {1: verse, 2: "", 3: "own\nend", 4: texts[3][1], 5: texts[4][1], 6: "roses are red\nviolets are blue\nso are you", 7: ""}
 
 
+def test_line_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    pool = [" ".join(f"w{int(k)}" for k in rng.integers(0, 99, rng.integers(0, 7))) for _ in range(24)]
+    ends = ["", "", " ", "\r", "\t"]
+    texts = ["\n".join(pool[int(i)] + ends[int(e)] for i, e in zip(rng.integers(0, 24, n), rng.integers(0, 5, n), strict=True)) for n in rng.integers(1, 14, 60)]
+    texts += ["\n".join([*t.split("\n")[k:], *t.split("\n")[:k]]) for t, k in zip(texts[:20], rng.integers(0, 9, 20), strict=True)]
+    got = deduped(spark, list(enumerate(texts)), block_words=8)
+    want = kept_lines(texts, 8)
+    assert [[" ".join(x.split()) for x in got[i][0].split("\n")] for i in range(len(texts))] == [w or [""] for w in want]
+    assert sum(n for _, n in got.values()) > 50
+
+
 def test_line_dedup_keeps_every_line_once(docs):
     before, after = docs.select("text").collect(), line_dedup.line_dedup(docs).collect()
-    lines = lambda rs: {x.strip() for r in rs for x in r.text.split("\n")} - {""}
+    lines = lambda rs: {" ".join(x.split()) for r in rs for x in r.text.split("\n")} - {""}
     assert lines(before) == lines(after)
     held: dict = {}
     for r in after:
-        for x in {x.strip() for x in r.text.split("\n") if len(x.split()) >= 8}:
+        for x in {x.strip() for x in r.text.split("\n") if len(x.split()) >= 16}:
             assert held.setdefault(x, r.doc_id) == r.doc_id
 
 
+def test_reversed_long_texts_take_bounded_time():
+    import time
+
+    a = list(range(1, 20_001))
+    began = time.time()
+    found = line_dedup.common_blocks(a, [9] * 20_000, a[::-1], [9] * 20_000, 8)
+    assert len(found) == line_dedup.ROUNDS and time.time() - began < 10
+    assert line_dedup.common_blocks(a, [9] * 20_000, a[10_000:] + a[:10_000], [9] * 20_000, 8) == list(range(20_000))
+
+
 def test_patience_is_a_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -553,7 +594,7 @@ def test_ids_beyond_doubles_stay_whole_beside_null_ids(spark, docs):
     deduped = {r.doc_id: r.text for r in line_dedup.line_dedup(d).collect()}
     assert deduped == {BIG: line, BIG + 2: "own", BIG + 4: "other words", None: "no id"}
     near = {r.doc_id: r.component_id for r in minhash.near_duplicates(d.union(spark.createDataFrame([(BIG + 6, line)], "doc_id long, text string"))).collect()}
-    assert near == {BIG: BIG, BIG + 2: BIG + 2, BIG + 4: BIG + 4, BIG + 6: BIG, None: None}
+    assert near == {BIG: BIG, BIG + 2: BIG, BIG + 4: BIG + 4, BIG + 6: BIG, None: None}
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
     for got in (toxicity.score(d, toxicity.train(docs.select("doc_id", "text"), labels)), langid.identify(d, langid.train(docs)), packing.pack_documents(d, queries.tokenizer_path()), simhash.compare_edited(d), pii.report(d)):
         assert {r.doc_id for r in got.collect()} == want
