@@ -346,6 +346,63 @@ def test_main_text_of_elements_with_telling_names():
     assert html_extract.main_text(f"<div class=reply><p>{text}</p></div>") == text
 
 
+PARAGRAPH = "A long paragraph that goes on and on with many words of plain text."
+
+
+def test_regions_are_chosen_by_ratio():
+    """Pages whose tags and names point elsewhere than their text."""
+    twenty = "".join(f"<p>{PARAGRAPH} {i}</p>" for i in range(20))
+    want = "\n".join(f"{PARAGRAPH} {i}" for i in range(20))
+    menu = "<nav>" + "".join(f"<a href=/{i}>Item {i}</a>" for i in range(9)) + "</nav>"
+    assert html_extract.main_text(f"<body><form action=/>{menu}<div>{twenty}</div></form></body>") == want
+    assert html_extract.main_text(f"<article>{twenty}<section id=discussion><h2>Discussion</h2><p>{PARAGRAPH} of it</p></section></article>") == f"{want}\nDiscussion\n{PARAGRAPH} of it"
+    assert html_extract.main_text(f"<body>{menu}<div class=post><div class=post-header><h1>Head</h1></div><div class=post-body>{twenty}</div></div><div>© 2020</div></body>") == f"Head\n{want}"
+    teaser = f"<body>{menu}<article>Read this too</article><div>{twenty}</div></body>"
+    assert html_extract.main_text(teaser).endswith(want)
+    assert html_extract.main_text(f"<body>{menu}<div>{twenty}</div><div class=sidebar><p>{PARAGRAPH}</p></div><div class=comments><p>{PARAGRAPH}</p></div></body>") == want
+    # No tag or name tells the text from the links.
+    links = "".join(f"<div><a href=/{i}>Go {i}</a></div>" for i in range(30))
+    assert html_extract.main_text(f"<body><div>{links}</div><div>{twenty}</div></body>") == want
+
+
+def test_content_lines_against_brute_force():
+    from math import exp
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 40):
+        r = rng.integers(1, 200, n).astype(float)
+        mean = sum(r) / n
+        deviation = (sum((x - mean) ** 2 for x in r) / n) ** 0.5
+        g = lambda d: exp(-d * d / 8) if abs(d) <= 6 else 0.0
+        smooth = [sum(g(i - j) * r[j] for j in range(n)) / sum(g(i - j) for j in range(n)) for i in range(n)]
+        assert html_extract.content_lines(r).tolist() == [x >= 0.5 * deviation for x in smooth]
+
+
+def test_malformed_and_deep_pages():
+    import random
+    import time
+
+    assert html_extract.main_text(f"<p>{PARAGRAPH}</p><![foo[bar]]><p>Rest of the text</p>") == f"{PARAGRAPH}\nRest of the text"
+    pick = random.Random(5)
+    bits = ["<", ">", "</", "<!", "<![", "]]>", "<!--", "-->", "<p", "<div class='", "'", '"', "&#", "&amp", ";", "=", "/>", "x y", "<?", "<![CDATA[", "<!DOCTYPE [", "</>", "<a b=c", "\x00", "<script>", "</script", "<svg/>"]
+    for _ in range(3000):
+        html_extract.main_text("".join(pick.choice(bits) for _ in range(pick.randrange(1, 25))))
+    took = []
+    for n in (10_000, 40_000):
+        began = time.time()
+        html_extract.main_text("<div>x" * n)
+        html_extract.main_text("<b>" + "<i>y" * n + "</b></p></i>" * n)
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_extract_odd_columns_and_repeated_rows(spark):
+    html_ = f"<article><p>{PARAGRAPH}</p></article>"
+    odd_pages = spark.createDataFrame([(2**53 + 1, "u", html_, [1], "t", 1), (None, None, html_, None, None, None), (None, None, html_, None, None, None), (3, "u", None, [2], "t", 2)], "page_id long, url string, html string, _html array<int>, text string, n_chars int")
+    got = html_extract.extract(odd_pages.coalesce(1)).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, PARAGRAPH, len(PARAGRAPH))] * 2 + [(3, "", 0), (2**53 + 1, PARAGRAPH, len(PARAGRAPH))]
+
+
 def test_extract_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
