@@ -7,17 +7,24 @@ digits, are lower-cased, marked at their start, and runs of single letters are
 put together. Landmark words give every word an explicit feature vector
 (K_mm^-1/2 k_m), on which a linear machine with squared hinge loss is trained.
 
-Labels stand on documents. A sentence of a document labelled 0 is negative; a
-sentence of one labelled 1 is a positive bag: words that occur in many toxic
-sentences among different neighbours, and hardly elsewhere, are its witnesses and train as positive;
-words of negative sentences that look at all like a witness (they share letter
-triples with it, gaps allowed) train as negative. Words that look like no
-witness get the lowest value without working out their kernel. A text's value is its highest word's (so of its
-highest sentence), which a logistic curve fitted on the training documents
-turns into a score between 0 and 1.
-
-The machine is fitted on at most `labelled` documents (by a hash of the id), a
-bound that is a parameter; every word of every whole text is scored.
+The machine is trained on labelled sentences, as a multi-instance machine: a
+sentence of a document labelled 0 is a negative bag, all of whose words are
+negative; a document labelled 1 is a positive bag of sentences. Words that occur
+in many toxic sentences among different neighbours, and hardly elsewhere, are
+its witnesses; they train as positive, as they are and with one letter inserted
+at each place, and so does, in further rounds, the word
+of each positive bag to which the machine of the round before gave the highest
+value, if no negative bag has it. Landmarks are witnesses, spread until each is
+near one, and the clean words most like them. A text's value is its highest
+word's (so of its highest sentence), which a logistic curve, as steep
+as it is among the training documents and even at half the machine's margin,
+turns into a score between 0 and 1. Insults of several words
+that each stand in clean sentences have no witness and are missed.
+
+The machine is fitted on at most `labelled` documents (by a hash of the id) and
+`sentences` sentences of either label, bounds that are parameters; every word of
+every whole text is scored, with its kernel. The kernel is worked out over the
+subsequences that landmarks have, not pair by pair.
 
 Defined results: null and empty texts and texts without a word get the score of
 the lowest value, not toxic; repeated rows get equal scores; without a label of
@@ -30,9 +37,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -40,21 +49,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colligo.llm.common import staged, text_or_empty
+from colligo.llm.common import staged, with_ids
 
 ORDER, DECAY, POWER = 3, 0.7, 3
 #: Landmarks at least.
 LANDMARKS = 96
-#: Share of a witness's letter triples that a word must hold, gaps allowed, for its kernel to be worked out.
-SHARED = 0.5
 #: Letters of a word that the kernel sees at once; longer words are seen in overlapping windows.
 SPAN = 24
 #: Similarity that every witness has at least to one landmark; landmarks are added to the usual number until that holds.
 COVER = 0.25
-LABELLED = 20_000
+LABELLED, SENTENCES = 20_000, 8_000
+#: Numbers of a table of subsequences that is worked on at once.
+PART = 1 << 18
 #: Words whose values a Python worker remembers.
 WORDS_KEPT = 500_000
 LOWEST = -3.0
+#: Values beyond the machine's margin say no more to the curve.
+MARGIN = 1.0
+#: A letter of private use, for no word's own.
+FOREIGN = "\ue000"
 _DROP = re.compile(r"[\W_]+")
 
 
@@ -88,6 +101,11 @@ def windows(word: str) -> list[str]:
     return [word[at : at + SPAN] for at in range(0, len(word) - SPAN // 2, SPAN // 2)]
 
 
+def disguised(word: str) -> list[str]:
+    """The word with one foreign letter inserted, at each place inside it; as long as it still is one window."""
+    return [f"{word[:i]}{FOREIGN}{word[i:]}" for i in range(1, len(word))] if len(word) < SPAN else []
+
+
 def codes(words: list[str]) -> np.ndarray:
     """Letters as numbers, between a start and an end mark, 0 behind; words of at most SPAN letters."""
     size = np.array([len(w) for w in words], dtype=np.int64)
@@ -99,132 +117,106 @@ def codes(words: list[str]) -> np.ndarray:
     return out
 
 
-def triples(c: np.ndarray, gaps: bool) -> Iterator[np.ndarray]:
-    """Hashes below 2^18 of letter triples in order, one table for each way of leaving at most one letter out twice; -1 past a word's end."""
-    for one, two in ((1, 1), (2, 1), (1, 2), (2, 2)) if gaps else ((1, 1),):
-        width = c.shape[1] - one - two
-        if width > 0:
-            x, y, z = c[:, :width], c[:, one : one + width], c[:, one + two :]
-            h = ((x * 31 + y) * 1009 + z) * np.int32(40503)
-            yield np.where(z > 0, (h >> 6) & 0x3FFFF, -1)
-
-
-def raw_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Sums over common subsequences for all pairs of rows of two code tables, by the usual recursion over prefixes."""
-    n, m, lb = len(a), len(b), b.shape[1]
-    lam = np.float32(decay)
-    # tail[i][j]: weight of common subsequences of i letters, decayed up to the current ends of both prefixes.
-    tail = [np.ones((lb + 1, n, m), dtype=np.float32)] + [np.zeros((lb + 1, n, m), dtype=np.float32) for _ in range(order - 1)]
-    total = np.zeros((n, m), dtype=np.float32)
-    for k in range(a.shape[1]):
-        live = a[:, k] > 0
-        if not live.any():
-            break
-        same = [((a[:, k][:, None] == b[:, j][None, :]) & live[:, None]).astype(np.float32) for j in range(lb)]
-        grown = []
-        for i in range(1, order):
-            new = np.zeros_like(tail[i])
-            part = np.zeros((n, m), dtype=np.float32)
-            for j in range(lb):
-                part = lam * part + lam * lam * same[j] * tail[i - 1][j]
-                new[j + 1] = lam * tail[i][j + 1] + part
-            grown.append(new)
-        for j in range(lb):
-            total += lam * lam * same[j] * tail[order - 1][j]
-        tail[1:] = grown
-    return total
-
-
-def own_kernel(a: np.ndarray) -> np.ndarray:
-    """Every row's kernel with itself."""
-    n, width = a.shape
-    lam = np.float32(DECAY)
-    tail = [np.ones((width + 1, n), dtype=np.float32)] + [np.zeros((width + 1, n), dtype=np.float32) for _ in range(ORDER - 1)]
-    total = np.zeros(n, dtype=np.float32)
-    for k in range(width):
-        live = a[:, k] > 0
-        same = [((a[:, k] == a[:, j]) & live).astype(np.float32) for j in range(width)]
-        grown = []
-        for i in range(1, ORDER):
-            new = np.zeros_like(tail[i])
-            part = np.zeros(n, dtype=np.float32)
-            for j in range(width):
-                part = lam * part + lam * lam * same[j] * tail[i - 1][j]
-                new[j + 1] = lam * tail[i][j + 1] + part
-            grown.append(new)
-        for j in range(width):
-            total += lam * lam * same[j] * tail[ORDER - 1][j]
-        tail[1:] = grown
-    return total
-
-
-def similarity(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of words (at most SPAN letters) and landmarks, to the power POWER (a kernel again, and a more local one)."""
-    marks = codes(landmarks)
-    own = np.sqrt(np.maximum(own_kernel(marks), 1e-12))
-    out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    step = max(16, 512 * LANDMARKS // max(LANDMARKS, len(landmarks)))
-    for at in range(0, len(order), step):
-        part = order[at : at + step]
-        c = codes([words[i] for i in part])
-        out[part] = (raw_kernel(c, marks) / (np.sqrt(np.maximum(own_kernel(c), 1e-12))[:, None] * own)) ** POWER
-    return out
-
-
-class Gate:
-    """Which words are like a witness at all: those that hold SHARED of its letter triples."""
-
-    def __init__(self, marks: list[str]) -> None:
-        held = [{int(h) for t in triples(codes([w]), False) for h in t.ravel() if h >= 0} for w in marks]
-        known = sorted(set().union(*held))
-        self.place = np.full((1 << 18) + 1, len(known), dtype=np.int32)  # the last for -1
-        self.place[known] = np.arange(len(known))
-        self.holds = np.array([[h in x for x in held] for h in known], dtype=np.float32).reshape(len(known), len(marks))
-        self.need = np.array([max(1, np.ceil(SHARED * len(x))) for x in held], dtype=np.float32)
+def subsequences(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all subsequences of ORDER letters, one row a word, and the decay of each column; words of one length, without padding."""
+    places = np.array(list(combinations(range(c.shape[1]), ORDER)), dtype=np.int64).reshape(-1, ORDER)
+    keys = np.zeros((len(c), len(places)), dtype=np.int64)
+    for k in range(ORDER):
+        keys = (keys << 21) | c[:, places[:, k]]
+    return keys, DECAY ** (places[:, -1] - places[:, 0] + 1.0)
+
+
+def grouped(words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Numbers, keys and decays of words of the same length, a bounded table at a time."""
+    by_size: dict[int, list[int]] = defaultdict(list)
+    for i, w in enumerate(words):
+        by_size[len(w)].append(i)
+    for size, mine in by_size.items():
+        step = max(1, PART // max(1, comb(size + 2, ORDER)))
+        for at in range(0, len(mine), step):
+            part = mine[at : at + step]
+            yield part, *subsequences(codes([words[i] for i in part]))
+
+
+def own_kernel(keys: np.ndarray, decays: np.ndarray) -> np.ndarray:
+    """Every word's kernel with itself."""
+    if not keys.size:
+        return np.zeros(len(keys))
+    order = np.argsort(keys, axis=1, kind="stable")
+    sorted_keys = np.take_along_axis(keys, order, axis=1)
+    head = np.ones(keys.shape, dtype=bool)
+    head[:, 1:] = sorted_keys[:, 1:] != sorted_keys[:, :-1]
+    sums = np.add.reduceat(decays[order].ravel(), np.flatnonzero(head))
+    return np.add.reduceat(sums * sums, np.r_[0, np.cumsum(head.sum(axis=1))[:-1]])
+
+
+class Kernel:
+    """Kernels of words with given landmarks: a row of weights for each subsequence that a landmark has."""
+
+    def __init__(self, landmarks: list[str]) -> None:
+        rows, columns, weights = [], [], []
+        self.own = np.zeros(len(landmarks))
+        for part, keys, decays in grouped(landmarks):
+            self.own[part] = own_kernel(keys, decays)
+            rows.append(keys.ravel())
+            columns.append(np.repeat(part, keys.shape[1]))
+            weights.append(np.tile(decays, len(part)))
+        self.keys, place = np.unique(np.concatenate(rows), return_inverse=True)
+        table = np.zeros((len(self.keys), len(landmarks)))
+        np.add.at(table, (place, np.concatenate(columns)), np.concatenate(weights))
+        self.table = table.astype(np.float32)
+
+    def raw(self, keys: np.ndarray, decays: np.ndarray) -> np.ndarray:
+        """Sums over common subsequences of their decays in both words."""
+        out = np.zeros((len(keys), self.table.shape[1]), dtype=np.float32)
+        if keys.size and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            word, column = np.nonzero(self.keys[at] == keys)
+            if len(word):
+                parts = self.table[at[word, column]] * decays[column, None].astype(np.float32)
+                head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                out[word[head]] = np.add.reduceat(parts, head, axis=0)
+        return out
 
-    def passes(self, words: list[str]) -> np.ndarray:
-        flags = np.zeros((len(words), len(self.holds) + 1), dtype=np.float32)
-        rows = np.arange(len(words))[:, None]
-        for t in triples(codes(words), True):
-            flags[rows, self.place[t]] = 1
-        return ((flags[:, :-1] @ self.holds) >= self.need).any(axis=1)
+    def similarity(self, words: list[str]) -> np.ndarray:
+        """Normalised kernels to the power POWER (a kernel again, and a more local one); words of at most SPAN letters."""
+        out = np.zeros((len(words), self.table.shape[1]), dtype=np.float32)
+        norm = np.sqrt(np.maximum(self.own, 1e-12))
+        for part, keys, decays in grouped(words):
+            out[part] = (self.raw(keys, decays) / (np.sqrt(np.maximum(own_kernel(keys, decays), 1e-12))[:, None] * norm)) ** POWER
+        return out
 
 
 @dataclass(frozen=True)
 class Model:
     landmarks: list[str]
-    gate: Gate
+    kernel: Kernel
     weights: np.ndarray  # on similarities, the Nyström map folded in
     bias: float
-    slope: float
-    shift: float
+    slope: float = 1.0
+    shift: float = 0.0
 
     def values(self, words: list[str]) -> np.ndarray:
-        """The machine's value of every word; of a long word, its highest window's; LOWEST for a word like no witness."""
+        """The machine's value of every word; of a long word, its highest window's."""
         parts, owner = [], []
         for i, w in enumerate(words):
             seen = windows(w)
             parts += seen
             owner += [i] * len(seen)
         out = np.full(len(words), LOWEST)
-        for at in range(0, len(parts), 4096):
-            some = at + np.flatnonzero(self.gate.passes(parts[at : at + 4096]))
-            if len(some):
-                found = similarity([parts[i] for i in some], self.landmarks) @ self.weights + self.bias
-                np.maximum.at(out, [owner[i] for i in some], found)
+        np.maximum.at(out, owner, self.kernel.similarity(parts) @ self.weights + self.bias)
         return out
 
     def scores(self, values: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * values + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.minimum(values, MARGIN) + self.shift, -30, 30)))
 
 
-def fit_machine(words: list[str], y: np.ndarray, landmarks: list[str], cost: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
+def fit_machine(words: list[str], y: np.ndarray, kernel: Kernel, landmarks: list[str], cost: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
     """Weights on similarities and bias: squared hinge loss, both classes weighing the same, by Newton steps."""
-    k = similarity(landmarks, landmarks).astype(float)
+    k = kernel.similarity(landmarks).astype(float)
     val, vec = np.linalg.eigh((k + k.T) / 2)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-3))) @ vec.T
-    x = np.c_[similarity(words, landmarks).astype(float) @ root, np.ones(len(words))]
+    x = np.c_[kernel.similarity(words).astype(float) @ root, np.ones(len(words))]
     s = np.where(y > 0, 1.0, -1.0)
     c = cost * np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y <= 0).sum())) * len(y) / 2
     w = np.zeros(x.shape[1])
@@ -255,12 +247,12 @@ def _spread(words: list[str], n: int, cover: float = 0.0) -> list[str]:
     """n words that are unlike each other, the first and then by distance, and more until every word is as near as cover to one."""
     if len(words) <= n:
         return words
-    near = similarity(words, words[:1])[:, 0]
+    near = Kernel(words[:1]).similarity(words)[:, 0]
     picked = [0]
     while len(picked) < n or near.min() < cover:
         i = int(np.argmin(near))
         picked.append(i)
-        near = np.maximum(near, similarity(words, [words[i]])[:, 0])
+        near = np.maximum(near, Kernel([words[i]]).similarity(words)[:, 0])
     return [words[i] for i in picked]
 
 
@@ -274,17 +266,17 @@ def values_of(texts: list[str], model: Model, known: dict[str, float]) -> np.nda
     return np.array([max(map(known.__getitem__, ws), default=LOWEST) for ws in split])
 
 
-def highest_values(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and the highest word value of rows (doc_id, text)."""
+def highest_values(docs: DataFrame, model: Model, kept: str) -> DataFrame:
+    """The kept columns (a schema of columns without nulls) and the highest word value of every text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, float] = {}
         for whole in batches:
             for at in range(0, len(whole), 512):
                 pdf = whole.iloc[at : at + 512]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "value": values_of(pdf["text"].tolist(), model, known)})
+                yield pdf.drop(columns="text").assign(value=values_of(pdf["text"].tolist(), model, known))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, value double")
+    return docs.mapInPandas(run, f"{kept}, value double")
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -309,10 +301,25 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return made.groupBy("word").agg(F.countDistinct("d").alias("t"), F.countDistinct("h").alias("s"), F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, witnesses: int = 1500, others: int = 8000, least_z: float = 4.0) -> Model | float:
+def _sentences(docs: DataFrame, most: int) -> list[tuple[int, bool, list[str]]]:
+    """doc_id, label and distinct word windows of at most `most` sentences of each label, by a hash."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(d, bool(y), zlib.crc32(s.encode()), sorted({x for w in words_of(s) for x in windows(w)})) for d, y, t in zip(pdf["doc_id"], pdf["toxic"], pdf["text"], strict=True) for s in sentences_of(t)]
+            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "h", "words"])
+
+    made = staged(docs.select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic boolean, h long, words array<string>"), "sentences")
+    found = []
+    for label in (True, False):
+        found += made.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most).collect()
+    return [(r.doc_id, r.toxic, r.words) for r in found]
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, sentences: int = SENTENCES, witnesses: int = 1500, least_z: float = 4.0, rounds: int = 2) -> Model | float:
     """Fit on documents with a label, both given as (doc_id, text) and (doc_id, toxic); a number, the share of label 1, if a class is missing.
 
-    To the driver go at most `witnesses` + `others` words and one value per training document.
+    To the driver go at most 2 * `sentences` sentences, `witnesses` words and one value per training document.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     chosen = staged(chosen, "labels")
@@ -330,33 +337,45 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, witnesse
     pos = [r.word for r in best.where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(witnesses).collect()]
     if not pos:
         pos = [r.word for r in best.orderBy(F.desc("z"), "word").limit(20).collect()]
-    toxic_marks = pos[: LANDMARKS // 4]
-    toxic_marks += _spread(pos[len(toxic_marks) :], LANDMARKS * 5 // 8 - len(toxic_marks), COVER)
-    gate = Gate(pos)
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[gate.passes(pdf["word"].tolist())]
-
-    # Only words that pass the gate are ever valued, so only they are worth training on.
-    clean = counts.where(F.col("t") <= 2 * odds * F.col("n")).select("word").repartition("word").mapInPandas(pick, "word string")
-    neg = [r.word for r in clean.orderBy(F.xxhash64("word"), "word").limit(others).collect()] or [""]
-    marks = toxic_marks + [w for w in _spread(neg[:300], LANDMARKS * 3 // 8) if w not in toxic_marks]
-    y = np.r_[np.ones(len(pos)), np.zeros(len(neg))]
-    weights, bias = fit_machine(pos + neg, y, marks)
-    machine = Model(marks, gate, weights, bias, 1.0, 0.0)
-    fitted = highest_values(rows, machine).join(F.broadcast(chosen), "doc_id").select("value", "toxic").collect()
-    slope, shift = fit_logistic(np.array([r.value for r in fitted]), np.array([float(r.toxic) for r in fitted]))
-    return Model(marks, gate, weights, bias, slope, shift)
+    bags = _sentences(rows, sentences)
+    seen = set(pos)
+    neg = sorted({w for _, toxic, words in bags if not toxic for w in words} - seen) or [""]
+    marks = pos[: LANDMARKS // 4]
+    marks += _spread(pos[len(marks) :], LANDMARKS * 5 // 8 - len(marks), COVER)
+    if not marks:
+        return float(ones) / all_rows
+    like = Kernel(marks).similarity(neg).max(axis=1)
+    marks += [neg[i] for i in np.argsort(-like, kind="stable")[: LANDMARKS * 3 // 8]]
+    kernel = Kernel(marks)
+    positive: dict[int, list[str]] = defaultdict(list)
+    for d, toxic, words in bags:
+        if toxic:
+            positive[d] += words
+    clean = set(neg)
+    for _ in range(rounds):
+        hidden = [x for w in pos for x in disguised(w)]
+        weights, bias = fit_machine(pos + hidden + neg, np.r_[np.ones(len(pos) + len(hidden)), np.zeros(len(neg))], kernel, marks)
+        machine = Model(marks, kernel, weights, bias)
+        known = dict(zip(all_, machine.values(all_).tolist(), strict=True)) if (all_ := sorted({w for ws in positive.values() for w in ws})) else {}
+        tops = {max(ws, key=lambda w: (known[w], w)) for ws in positive.values() if ws}
+        more = sorted(w for w in tops if known[w] > 0 and w not in seen and w not in clean)
+        if not more:
+            break
+        pos, seen = pos + more, seen | set(more)
+    fitted = highest_values(rows.select("toxic", "text"), machine, "toxic int").collect()
+    slope, _ = fit_logistic(np.array([min(r.value, MARGIN) for r in fitted]), np.array([float(r.toxic) for r in fitted]))
+    # Even odds stand at half the margin, wherever noise in the labels would move them.
+    return Model(marks, kernel, weights, bias, max(slope, 1.0), -max(slope, 1.0) * MARGIN / 2)
 
 
 def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = with_ids(docs, id_col, text_col)
+    given = F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
     if not isinstance(model, Model):
-        return rows.select("doc_id", F.lit(float(model)).alias("score"))
-    curve = F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.slope) * F.col("value") + F.lit(model.shift)))))
-    return highest_values(rows, model).select("doc_id", curve.alias("score"))
+        return rows.select(given, F.lit(float(model)).alias("score"))
+    curve = F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.slope) * F.least("value", F.lit(MARGIN)) + F.lit(model.shift)))))
+    return highest_values(rows, model, "doc_id long, no_id boolean").select(given, curve.alias("score"))
 
 
 def drop_toxic(docs: DataFrame, model: Model | float, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
