@@ -60,7 +60,7 @@ SPAN = 24
 COVER = 0.25
 LABELLED, SENTENCES = 20_000, 8_000
 #: Numbers of a table of subsequences that is worked on at once.
-PART = 1 << 18
+PART = 1 << 16
 #: Words whose values a Python worker remembers.
 WORDS_KEPT = 500_000
 LOWEST = -3.0
@@ -117,17 +117,14 @@ def codes(words: list[str]) -> np.ndarray:
     return out
 
 
-def subsequences(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all subsequences of ORDER letters, one row a word, and the decay of each column; words of one length, without padding."""
-    places = np.array(list(combinations(range(c.shape[1]), ORDER)), dtype=np.int64).reshape(-1, ORDER)
-    keys = np.zeros((len(c), len(places)), dtype=np.int64)
-    for k in range(ORDER):
-        keys = (keys << 21) | c[:, places[:, k]]
-    return keys, DECAY ** (places[:, -1] - places[:, 0] + 1.0)
+def places(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All choices of ORDER places out of width, and the decay of each for the stretch it spans."""
+    found = np.array(list(combinations(range(width), ORDER)), dtype=np.int64).reshape(-1, ORDER)
+    return found, (DECAY ** (found[:, -1] - found[:, 0] + 1.0)).astype(np.float32)
 
 
-def grouped(words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Numbers, keys and decays of words of the same length, a bounded table at a time."""
+def grouped(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Numbers and codes of words of the same length, a bounded number at a time."""
     by_size: dict[int, list[int]] = defaultdict(list)
     for i, w in enumerate(words):
         by_size[len(w)].append(i)
@@ -135,55 +132,80 @@ def grouped(words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarra
         step = max(1, PART // max(1, comb(size + 2, ORDER)))
         for at in range(0, len(mine), step):
             part = mine[at : at + step]
-            yield part, *subsequences(codes([words[i] for i in part]))
-
-
-def own_kernel(keys: np.ndarray, decays: np.ndarray) -> np.ndarray:
-    """Every word's kernel with itself."""
-    if not keys.size:
-        return np.zeros(len(keys))
-    order = np.argsort(keys, axis=1, kind="stable")
-    sorted_keys = np.take_along_axis(keys, order, axis=1)
-    head = np.ones(keys.shape, dtype=bool)
-    head[:, 1:] = sorted_keys[:, 1:] != sorted_keys[:, :-1]
-    sums = np.add.reduceat(decays[order].ravel(), np.flatnonzero(head))
-    return np.add.reduceat(sums * sums, np.r_[0, np.cumsum(head.sum(axis=1))[:-1]])
+            yield part, codes([words[i] for i in part])
+
+
+def own_kernel(c: np.ndarray) -> np.ndarray:
+    """Every word's kernel with itself, by the usual recursion over prefixes; words of one length."""
+    n, width = c.shape
+    lam = np.float32(DECAY)
+    tail = [np.ones((width + 1, n), dtype=np.float32)] + [np.zeros((width + 1, n), dtype=np.float32) for _ in range(ORDER - 1)]
+    total = np.zeros(n, dtype=np.float32)
+    for k in range(width):
+        same = np.ascontiguousarray((c == c[:, k : k + 1]).T, dtype=np.float32) * (lam * lam)
+        grown = []
+        for i in range(1, ORDER):
+            new = lam * tail[i]
+            part = np.zeros(n, dtype=np.float32)
+            for j in range(width):
+                part = lam * part + same[j] * tail[i - 1][j]
+                new[j + 1] += part
+            grown.append(new)
+        total += (same * tail[ORDER - 1][:-1]).sum(axis=0)
+        tail[1:] = grown
+    return total
 
 
 class Kernel:
-    """Kernels of words with given landmarks: a row of weights for each subsequence that a landmark has."""
+    """Kernels of words with given landmarks, by the subsequences that landmarks have."""
 
     def __init__(self, landmarks: list[str]) -> None:
-        rows, columns, weights = [], [], []
         self.own = np.zeros(len(landmarks))
-        for part, keys, decays in grouped(landmarks):
-            self.own[part] = own_kernel(keys, decays)
+        coded = list(grouped(landmarks))
+        self.letters = np.unique(np.concatenate([c.ravel() for _, c in coded]))  # all others have the number 0
+        base = len(self.letters) + 1
+        rows, columns, weights = [], [], []
+        for part, c in coded:
+            self.own[part] = own_kernel(c)
+            keys, decays = self._keys(c)
             rows.append(keys.ravel())
             columns.append(np.repeat(part, keys.shape[1]))
             weights.append(np.tile(decays, len(part)))
-        self.keys, place = np.unique(np.concatenate(rows), return_inverse=True)
-        table = np.zeros((len(self.keys), len(landmarks)))
-        np.add.at(table, (place, np.concatenate(columns)), np.concatenate(weights))
-        self.table = table.astype(np.float32)
-
-    def raw(self, keys: np.ndarray, decays: np.ndarray) -> np.ndarray:
+        self.size = len(landmarks)
+        # One entry for each subsequence of each landmark, by subsequence; most have one or two.
+        pairs, place = np.unique(np.concatenate(rows) * self.size + np.concatenate(columns), return_inverse=True)
+        self.entries = np.bincount(place, weights=np.concatenate(weights))
+        self.owners = pairs % self.size
+        self.first = np.searchsorted(pairs, np.arange(base**ORDER + 1, dtype=np.int64) * self.size).astype(np.int32)
+
+    def _keys(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all subsequences of ORDER letters, one row a word, and the decay of each column."""
+        at = np.minimum(np.searchsorted(self.letters, c), len(self.letters) - 1)
+        number = np.where(self.letters[at] == c, at + 1, 0)
+        found, decays = places(c.shape[1])
+        keys = np.zeros((len(c), len(found)), dtype=np.int64)
+        for k in range(ORDER):
+            keys = keys * (len(self.letters) + 1) + number[:, found[:, k]]
+        return keys, decays
+
+    def raw(self, c: np.ndarray) -> np.ndarray:
         """Sums over common subsequences of their decays in both words."""
-        out = np.zeros((len(keys), self.table.shape[1]), dtype=np.float32)
-        if keys.size and len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            word, column = np.nonzero(self.keys[at] == keys)
-            if len(word):
-                parts = self.table[at[word, column]] * decays[column, None].astype(np.float32)
-                head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                out[word[head]] = np.add.reduceat(parts, head, axis=0)
-        return out
+        keys, decays = self._keys(c)
+        start, count = self.first[keys], self.first[keys + 1] - self.first[keys]
+        word, column = np.nonzero(count)
+        start, count = start[word, column], count[word, column]
+        ends = np.cumsum(count, dtype=np.int64)
+        entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
+        at = np.repeat(word * self.size, count) + self.owners[entry]
+        found = np.bincount(at, weights=self.entries[entry] * np.repeat(decays[column], count), minlength=len(c) * self.size)
+        return found.reshape(len(c), self.size).astype(np.float32)
 
     def similarity(self, words: list[str]) -> np.ndarray:
         """Normalised kernels to the power POWER (a kernel again, and a more local one); words of at most SPAN letters."""
-        out = np.zeros((len(words), self.table.shape[1]), dtype=np.float32)
+        out = np.zeros((len(words), self.size), dtype=np.float32)
         norm = np.sqrt(np.maximum(self.own, 1e-12))
-        for part, keys, decays in grouped(words):
-            out[part] = (self.raw(keys, decays) / (np.sqrt(np.maximum(own_kernel(keys, decays), 1e-12))[:, None] * norm)) ** POWER
+        for part, c in grouped(words):
+            out[part] = (self.raw(c) / (np.sqrt(np.maximum(own_kernel(c), 1e-12))[:, None] * norm)) ** POWER
         return out
 
 
