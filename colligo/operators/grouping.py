@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
+from math import ceil, floor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +16,6 @@ from colligo.functions.text import first_int, junk_to_null, norm_stem, strip_zer
 # Formats from best to worst.
 FORMATS = ("flac", "alac", "aiff", "wav", "mp3", "m4a", "ogg")
 LOSSLESS = ("flac", "wav", "aiff", "alac", "aif")
-#: Files of one album that the greedy pass takes; larger albums are grouped by exact stem.
-MOST_FILES = 5000
 
 
 def disc_number(tag: Column, path: Column) -> Column:
@@ -46,41 +47,62 @@ def group_tracks_exact(files: DataFrame) -> DataFrame:
     return with_stems(files).groupBy("app_id", "disc", "norm_stem").agg(F.count("*").alias("variants"), F.min("file_no").alias("first_file"))
 
 
-def greedy_groups(rows: list[tuple], within: float = 1.0, alike: float = 0.85) -> list[int]:
-    """Group number of each (disc, stem, track_no, duration), taken in order: the first fitting group wins."""
-    groups: list[tuple] = []
-    out = []
-    for disc, stem, no, length in rows:
-        for g, (d, s, n, first) in enumerate(groups):
-            if d != disc:
-                continue
-            near = length is not None and first is not None and abs(length - first) <= within
-            bound = 2 * min(len(stem), len(s)) / max(1, len(stem) + len(s))
-            if s == stem or near and (no is not None and n == no or bound >= alike and SequenceMatcher(None, stem, s).ratio() >= alike):
-                out.append(g)
-                break
-        else:
-            groups.append((disc, stem, no, length))
-            out.append(len(groups) - 1)
-    return out
-
-
-def group_tracks(files: DataFrame, most: int = MOST_FILES) -> DataFrame:
-    """app_id, file_no, group_no and exact of every file, in path order; albums over `most` files by exact stem (exact true)."""
-    rows = with_stems(files).select("app_id", "file_no", "disc", "norm_stem", "track_no", "duration_s")
-    size = rows.groupBy("app_id").agg((F.count("*") > most).alias("exact"))
-    rows = rows.join(size, "app_id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("file_no")
-        none = lambda v: None if pd.isna(v) else v
-        items = [(d, s, none(n), none(t)) for d, s, n, t in zip(pdf["disc"], pdf["norm_stem"], pdf["track_no"], pdf["duration_s"], strict=True)]
-        return pd.DataFrame({"app_id": pdf["app_id"], "file_no": pdf["file_no"], "group_no": greedy_groups(items), "exact": False})
-
-    greedy = rows.where("not exact").groupBy("app_id").applyInPandas(run, "app_id long, file_no long, group_no long, exact boolean")
-    rank = F.dense_rank().over(Window.partitionBy("app_id").orderBy("disc", "norm_stem")) - 1
-    plain = rows.where("exact").select("app_id", F.col("file_no").cast("long").alias("file_no"), rank.cast("long").alias("group_no"), "exact")
-    return greedy.unionByName(plain)
+class Groups:
+    """Groups of one album in the order in which files open them; each file joins the first group that fits.
+
+    A group fits on the same disc if its first file has the same stem, or lasts
+    nearly as long and has the same track number or a like stem. Groups are looked
+    up by stem and by second, so a file meets only those that may fit.
+    """
+
+    def __init__(self, within: float = 1.0, alike: float = 0.85) -> None:
+        self.within, self.alike, self.count = within, alike, 0
+        self.by_stem: dict[tuple, int] = {}
+        self.by_second: dict[tuple, list[tuple]] = {}
+
+    def place(self, disc: int, stem: str, no: int | None, length: float | None) -> int:
+        found = [self.by_stem[disc, stem]] if (disc, stem) in self.by_stem else []
+        if length is not None:
+            at, reach = floor(length), ceil(self.within)
+            found += [g for k in range(at - reach, at + reach + 1) for g, *first in self.by_second.get((disc, k), ()) if self.fits(stem, no, length, *first)]
+        if found:
+            return min(found)
+        g = self.count
+        self.count += 1
+        self.by_stem.setdefault((disc, stem), g)
+        if length is not None:
+            self.by_second.setdefault((disc, floor(length)), []).append((g, stem, no, length))
+        return g
+
+    def fits(self, stem: str, no: int | None, length: float, s: str, n: int | None, first: float) -> bool:
+        if abs(length - first) >= self.within:
+            return False
+        if no is not None and n == no:
+            return True
+        # The ratio can't exceed what the lengths of both allow.
+        possible = 2 * min(len(stem), len(s)) >= self.alike * (len(stem) + len(s))
+        return possible and SequenceMatcher(None, stem, s).ratio() >= self.alike
+
+
+def group_tracks(files: DataFrame) -> DataFrame:
+    """app_id, file_no and group_no of every file, in path order.
+
+    Albums lie whole and sorted in one task; batches of rows hold many of them,
+    and the groups of the album at a batch's end carry over to the next.
+    """
+    rows = with_stems(files).select("app_id", F.col("file_no").cast("long").alias("file_no"), F.col("disc").cast("long").alias("disc"), F.coalesce("norm_stem", F.lit("")).alias("norm_stem"), "track_no", F.col("duration_s").cast("double").alias("duration_s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        album, groups = None, Groups()
+        for batch in batches:
+            out = []
+            for app, disc, stem, no, length in zip(*[batch.column(c).to_pylist() for c in ("app_id", "disc", "norm_stem", "track_no", "duration_s")], strict=True):
+                if (app,) != album:
+                    album, groups = (app,), Groups()
+                out.append(groups.place(disc, stem, no, length))
+            yield pa.RecordBatch.from_arrays([batch.column("app_id"), batch.column("file_no"), pa.array(out, pa.int64())], ["app_id", "file_no", "group_no"])
+
+    return rows.repartition("app_id").sortWithinPartitions("app_id", "file_no").mapInArrow(run, "app_id long, file_no long, group_no long")
 
 
 def split_groups(files: DataFrame) -> DataFrame:
@@ -128,9 +150,10 @@ def commonest(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return counts.groupBy(key).agg(F.min_by(value, F.struct(-F.col("c"), "o")).alias(value))
 
 
-def album_consensus(tags: DataFrame) -> DataFrame:
-    artist, year = commonest(tags, "app_id", "artist", "file_no"), commonest(tags, "app_id", "year_tag", "file_no")
-    return artist.join(year, "app_id", "full_outer")
+def album_consensus(tags: DataFrame, values: tuple[str, ...] = ("artist", "year_tag")) -> DataFrame:
+    """The commonest value of each tag among an album's files; null where no file has one that means something."""
+    found = [commonest(tags, "app_id", v, "file_no") for v in values]
+    return reduce(lambda a, b: a.join(b, "app_id", "full_outer"), found)
 
 
 def total_discs(files: DataFrame, store: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from colligo.functions.text import blank_to_null, clean_title, first_int, fold,
 # Default priorities of the sources of each tag, and the trusted ones.
 PRIORITY = {"title": ("MBZ", "PICS_API", "FILE", "EMBED"), "artist": ("MBZ", "PICS_API", "EMBED"), "track": ("PICS_API", "MBZ", "FILE", "EMBED"), "disc": ("PICS_API", "EMBED", "MBZ"), "year": ("MBZ", "EMBED"), "label": ("MBZ", "PICS_API")}
 TRUSTED = ("MBZ", "PICS_API")
+OVERRIDE, FOLDER = "LLM_OVERRIDE", "VDF"
 CREDITS = (r"Composer:[ \t]*([^\n]*)", r"Music by[ \t]*([^\n]*)", r"Music:[ \t]*([^\n]*)", r"Sound by[ \t]*([^\n]*)", r"Soundtrack by[ \t]*([^\n]*)")
 
 
@@ -40,26 +41,28 @@ def by_priority(tag: str, sources: dict[str, Column]) -> Column:
 
 
 def merge_title() -> Column:
-    """struct(value, source): the first non-blank title; a long pair joined by ' / ' is cut to its first half."""
+    """struct(value, source): the judge's override, else the first non-blank title, of which a long pair joined by ' / ' is cut to its first half, else the folder's."""
     sources = {"MBZ": "r_title", "PICS_API": "s_title", "FILE": "stem", "EMBED": "e_title"}
+    given = F.when(F.col("override_title") != "", F.struct(F.trim("override_title").alias("value"), F.lit(OVERRIDE).alias("source")))
     picked = by_priority("title", {k: F.when(blank_to_null(F.col(c)).isNotNull(), F.struct(F.col(c).alias("value"), F.lit(k).alias("source"))) for k, c in sources.items()})
     value = F.when((F.length(picked["value"]) > 60) & F.contains(picked["value"], F.lit(" / ")), F.split_part(picked["value"], F.lit(" / "), F.lit(1))).otherwise(picked["value"])
-    return F.struct(value.alias("value"), picked["source"].alias("source"))
+    folder = F.struct(F.trim(F.coalesce("v_title", F.lit(""))).alias("value"), F.lit(FOLDER).alias("source"))
+    return F.coalesce(given, F.when(picked.isNotNull(), F.struct(F.trim(value).alias("value"), picked["source"].alias("source"))), folder)
 
 
 def merge_artist() -> Column:
     named = F.nullif(F.trim(F.regexp_extract("store_credits", r"(?i)artist:[ ]*([^\n]*)", 1)), F.lit(""))
-    return F.coalesce(by_priority("artist", {"PICS_API": F.coalesce(named, F.col("developer")), "EMBED": F.col("e_artist")}), F.col("developer"), F.lit("Various Artists"))
+    return F.coalesce(by_priority("artist", {"MBZ": blank_to_null(F.col("r_artist")), "PICS_API": F.coalesce(named, F.col("developer")), "EMBED": F.col("e_artist")}), F.col("developer"), F.lit("Various Artists"))
 
 
 def merge_track_no() -> Column:
     usable = lambda c: F.nullif(c.cast("int"), F.lit(0))
-    return F.coalesce(by_priority("track", {"PICS_API": usable(F.col("s_number")), "MBZ": usable(F.col("r_position")), "FILE": usable(F.col("filename_track")), "EMBED": usable(first_int(F.col("e_track")))}), F.lit(0))
+    return F.coalesce(usable(F.col("override_track")), by_priority("track", {"PICS_API": usable(F.col("s_number")), "MBZ": usable(F.col("r_position")), "FILE": usable(F.col("filename_track")), "EMBED": usable(first_int(F.col("e_track")))}), F.lit(0))
 
 
 def merge_disc_no() -> tuple[Column, Column]:
-    """(disc, total): n/N texts are split; the total is the largest number seen."""
-    disc = F.coalesce(by_priority("disc", {"PICS_API": F.col("s_disc").cast("int"), "EMBED": first_int(F.col("e_disc")), "MBZ": F.col("r_disc").cast("int")}), F.col("disc").cast("int"), F.lit(1))
+    """(disc, total): the judge's override, else by priority, n/N texts split; the total is the largest number seen."""
+    disc = F.coalesce(F.nullif(F.col("override_disc").cast("int"), F.lit(0)), by_priority("disc", {"PICS_API": F.col("s_disc").cast("int"), "EMBED": first_int(F.col("e_disc")), "MBZ": F.col("r_disc").cast("int")}), F.col("disc").cast("int"), F.lit(1))
     return disc, F.greatest(disc, F.coalesce(first_int(F.col("e_disc"), 2), F.lit(1)), F.coalesce(F.col("disc").cast("int"), F.lit(1)))
 
 
@@ -78,7 +81,7 @@ def merge_composer() -> Column:
 
 
 def trusted_clean(title: Column, source: Column, track: Column) -> Column:
-    return F.when(source.isin(*TRUSTED), title).otherwise(clean_title(title, track))
+    return F.when(source.isin(*TRUSTED, OVERRIDE), title).otherwise(clean_title(title, track))
 
 
 def merge_genre(own: Column, parent: Column) -> Column:
@@ -103,10 +106,13 @@ def prune_comment(tags: Column, most: int = 2000, between: str = "/ ") -> Column
     return F.slice(tags, 1, F.element_at(fits, 1))
 
 
-def final_tags(rows: DataFrame) -> DataFrame:
+def final_tags(rows: DataFrame, language: str = "eng") -> DataFrame:
+    """All tags of every file; comment and grouping speak of the parent, where one is known (parent_name), and its tags."""
     disc, total = merge_disc_no()
+    about = F.coalesce("parent_name", "name")
+    tags = F.coalesce(F.when(F.size("parent_tags") > 0, F.col("parent_tags")), F.col("tags"), F.array().cast("array<string>"))
     made = rows.withColumn("t", merge_title()).withColumn("track_no", merge_track_no())
-    return made.select("app_id", "file_no", trusted_clean(F.col("t.value"), F.col("t.source"), F.col("track_no")).alias("title"), F.col("t.source").alias("title_source"), merge_artist().alias("artist"), F.col("name").alias("album"), F.col("developer").alias("album_artist"), F.col("track_no").alias("track_number"), disc.alias("disc_number"), total.alias("total_discs"), merge_year().alias("year"), merge_label().alias("label"), merge_composer().alias("composer"), merge_genre(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("genre"), build_comment(F.col("name"), F.array().cast("array<string>"), F.col("app_id"), F.lit(None).cast("string")).alias("comment"), F.col("action"))
+    return made.select("app_id", "file_no", trusted_clean(F.col("t.value"), F.col("t.source"), F.col("track_no")).alias("title"), F.col("t.source").alias("title_source"), merge_artist().alias("artist"), F.col("name").alias("album"), F.col("developer").alias("album_artist"), F.col("track_no").alias("track_number"), disc.alias("disc_number"), total.alias("total_discs"), merge_year().alias("year"), merge_label().alias("label"), merge_composer().alias("composer"), merge_genre(F.col("genre"), F.col("parent_genre")).alias("genre"), build_comment(about, tags, F.coalesce(F.when(F.col("parent_name").isNotNull(), F.col("parent_app_id")), F.col("app_id")), F.col("e_comment")).alias("comment"), F.concat(about, F.lit(", Store")).alias("grouping"), F.lit(language).alias("language"), F.col("action"))
 
 
 def artwork_source(rows: DataFrame) -> DataFrame:

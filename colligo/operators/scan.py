@@ -97,17 +97,33 @@ def tag_labels(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return found.groupBy("app_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]), ", ").alias("labels"))
 
 
-def parent_enrich(albums: DataFrame, tags: DataFrame) -> DataFrame:
-    """Parent name and tags of every album; an album without a known parent keeps nulls."""
+def parent_enrich(albums: DataFrame, tags: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """Parent name, tags, genres and first genre of every album; an album without a known parent keeps nulls.
+
+    tags (app_id, labels) are local ones, which come before those of the cache
+    (app_id, cached_labels, genres as an array), if one is given.
+    """
     parents = albums.select(F.col("app_id").alias("parent_app_id"), F.col("name").alias("parent_name"))
-    own = tags.select(F.col("app_id").alias("parent_app_id"), F.col("labels").alias("parent_tags"))
-    return albums.join(parents, "parent_app_id", "left").join(own, "parent_app_id", "left")
+    own = tags.select(F.col("app_id").alias("parent_app_id"), F.col("labels").alias("_local"))
+    wide = albums.join(parents, "parent_app_id", "left").join(own, "parent_app_id", "left")
+    if cache is None:
+        return wide.withColumnRenamed("_local", "parent_tags")
+    kept = cache.select(F.col("app_id").alias("parent_app_id"), F.col("cached_labels").alias("_cached"), F.col("genres").alias("parent_genres"))
+    wide = wide.join(kept, "parent_app_id", "left").withColumn("parent_tags", F.coalesce(blank_to_null(F.col("_local")), F.col("_cached")))
+    return wide.withColumn("parent_genre", F.try_element_at("parent_genres", F.lit(1))).drop("_local", "_cached")
+
+
+#: Where header images of applications with a logo stand.
+IMAGES = "https://img.example.com/apps/"
+#: Roles of credits in their order, with the names under which they are listed.
+ROLES = {"artist": "Artist", "composer": "Composer", "othercredits": "Othercredits"}
 
 
 def enrich_tiers(t: DataFrame) -> DataFrame:
     """A tier fills a field only if earlier tiers left it blank."""
     pick = lambda *c: F.coalesce(*[blank_to_null(F.col(x)) for x in c])
-    return t.select("app_id", pick("cached_name", "store_name", "local_name").alias("name"), pick("cached_genre", "local_genre").alias("genre"))
+    image = F.coalesce(blank_to_null(F.col("cached_image")), F.when(blank_to_null(F.col("local_logo")).isNotNull(), F.concat(F.lit(IMAGES), F.col("app_id").cast("string"), F.lit("/header.jpg"))))
+    return t.select("app_id", pick("cached_name", "store_name", "local_name").alias("name"), pick("cached_genre", "local_genre").alias("genre"), pick("cached_date", "local_date").alias("release_date"), image.alias("header_image_url"))
 
 
 def flatten_tracklist(t: DataFrame) -> DataFrame:
@@ -119,8 +135,12 @@ def flatten_tracklist(t: DataFrame) -> DataFrame:
 
 
 def credits_text(t: DataFrame) -> DataFrame:
-    """Credits in the wanted language, else English; label in its own column."""
-    return t.select("app_id", F.concat_ws("\n", F.concat(F.lit("Artist: "), F.coalesce("artist_local", "artist_en"))).alias("credits"), F.col("label_en").alias("label"))
+    """One line for each role that has a text in the wanted language, else in English; label in its own column."""
+    def role(name: str) -> Column:
+        return F.coalesce(*[blank_to_null(F.col(c)) for c in (f"{name}_local", f"{name}_en") if c in t.columns])
+
+    lines = [F.concat(F.lit(f"{title}: "), role(name)) for name, title in ROLES.items() if {f"{name}_local", f"{name}_en"} & set(t.columns)]
+    return t.select("app_id", F.concat_ws("\n", *lines).alias("credits"), role("label").alias("label"))
 
 
 def candidate_union(search: DataFrame, suggested: DataFrame, by_recording: DataFrame, most: int = 20) -> DataFrame:

@@ -12,14 +12,24 @@ from colligo.plans.registry import query
 FOLD = "lower(regexp_replace({0}, '[^a-zA-Z0-9]', '', 'g'))"
 STORE = f"sto as (select i.app_id, i.file_no, i.matched_v_idx as v_idx from instructions i join store_tracks s on s.app_id = i.app_id and s.v_idx = i.matched_v_idx where action = 'use_steam' union all select app_id, file_no, v_idx from (select i.app_id, file_no, v_idx, row_number() over (partition by i.app_id, file_no order by case when {FOLD.format('stem')} = {FOLD.format('title')} then 0 else 1 end, v_idx) as r from instructions i join store_tracks s on s.app_id = i.app_id and ({FOLD.format('stem')} = {FOLD.format('title')} or starts_with(lower(stem), lower(title) || ' ')) where action = 'use_fingerprint') z where r = 1)"
 RELEASE = WINNER + ", rls as (select i.app_id, file_no, position, r.title as r_title, r.disc as r_disc from instructions i join win w on w.app_id = i.app_id join release_tracks r on r.mbid = w.release_id and r.position = matched_v_idx + 1 where action = 'use_fingerprint')"
-FACTS = f"{STORE}, {RELEASE}, fct as (select l.app_id, l.file_no, l.disc, l.stem, filename_track, e.title as e_title, e.artist as e_artist, e.track_number as e_track, e.disc_number as e_disc, e.year_tag as e_year, s.title as s_title, s.number as s_number, s.disc as s_disc, r_title, position as r_position, r_disc, a.name, developer, publisher, release_date, store_credits, action from local_files l join embedded_tags e on e.app_id = l.app_id and e.file_no = l.file_no join instructions i on i.app_id = l.app_id and i.file_no = l.file_no join albums a on a.app_id = l.app_id left join sto x on x.app_id = l.app_id and x.file_no = l.file_no left join store_tracks s on s.app_id = x.app_id and s.v_idx = x.v_idx left join rls r on r.app_id = l.app_id and r.file_no = l.file_no)"
-TITLE = "coalesce(r_title, s_title, stem, e_title)"
-SOURCE = "case when r_title is not null then 'MBZ' when s_title is not null then 'PICS_API' else 'FILE' end"
-TRACK = "coalesce(nullif(s_number, 0), nullif(r_position, 0), nullif(filename_track, 0), nullif(try_cast(split_part(e_track, '/', 1) as int), 0), 0)::int"
-DISC = "coalesce(s_disc, try_cast(split_part(e_disc, '/', 1) as int), r_disc, disc)::int"
+LABELS = "lbl as (select app_id, string_agg(label, '/ ' order by pos, label) as tags from tag_ids join tag_labels using (tag_id) group by app_id)"
+FACTS = f"{STORE}, {RELEASE}, {LABELS}, fct as (select l.app_id, l.file_no, l.disc, l.stem, filename_track, e.title as e_title, e.artist as e_artist, e.track_number as e_track, e.disc_number as e_disc, e.year_tag as e_year, s.title as s_title, s.number as s_number, s.disc as s_disc, r_title, position as r_position, r_disc, r_artist, r_date, r_label, r_composer, tj.label_en as s_label, override_title, override_track, override_disc, a.name, a.developer, a.publisher, a.release_date, a.store_credits, action, a.parent_app_id, p.name as parent_name, tf.cached_genre as genre, tp.cached_genre as parent_genre, go.tags as own_tags, gp.tags as parent_tags from local_files l join embedded_tags e on e.app_id = l.app_id and e.file_no = l.file_no join instructions i on i.app_id = l.app_id and i.file_no = l.file_no join albums a on a.app_id = l.app_id left join sto x on x.app_id = l.app_id and x.file_no = l.file_no left join store_tracks s on s.app_id = x.app_id and s.v_idx = x.v_idx left join rls r on r.app_id = l.app_id and r.file_no = l.file_no left join win w on w.app_id = l.app_id left join releases rel on rel.mbid = w.release_id left join tracklist_json tj on tj.app_id = l.app_id left join overrides o on o.app_id = l.app_id and o.file_no = l.file_no left join albums p on p.app_id = a.parent_app_id left join tier_fields tf on tf.app_id = l.app_id left join tier_fields tp on tp.app_id = a.parent_app_id left join lbl go on go.app_id = l.app_id left join lbl gp on gp.app_id = a.parent_app_id)"
+TITLE = "coalesce(override_title, r_title, s_title, stem, e_title)"
+SOURCE = "case when override_title is not null then 'LLM_OVERRIDE' when r_title is not null then 'MBZ' when s_title is not null then 'PICS_API' else 'FILE' end"
+TRACK = "coalesce(nullif(override_track, 0), nullif(s_number, 0), nullif(r_position, 0), nullif(filename_track, 0), nullif(try_cast(split_part(e_track, '/', 1) as int), 0), 0)::int"
+DISC = "coalesce(nullif(override_disc, 0), s_disc, try_cast(split_part(e_disc, '/', 1) as int), r_disc, disc)::int"
 TOTAL = f"greatest({DISC}, coalesce(try_cast(split_part(e_disc, '/', 2) as int), 1), disc)::int"
 
 
+ARTIST = "coalesce(r_artist, trim(regexp_extract(store_credits, 'Artist: *([^\\n]*)', 1)))"
+YEAR = "coalesce(left(r_date, 4), e_year, left(release_date, 4))"
+LABEL = "coalesce(case when r_label <> 'Unknown' then r_label end, s_label, developer || ', ' || publisher)"
+COMPOSER = "coalesce(r_composer, trim(regexp_extract(store_credits, 'Music by *([^\\n]*)', 1)))"
+GENRE = "'STEAM VGM, ' || coalesce(genre, parent_genre, 'Soundtrack')"
+ABOUT = "coalesce(parent_name, name)"
+COMMENT = f"{ABOUT} || ', ' || coalesce('[' || coalesce(parent_tags, own_tags) || ']', '') || ', ' || case when parent_name is not null then parent_app_id else app_id end || ', https://store.example.com/app/' || case when parent_name is not null then parent_app_id else app_id end"
+
+
 def _clean(title: str, track: str) -> str:
     lead = f"regexp_extract({title}, '^([0-9]+)([ .-]+)', 1)"
     return f"case when {lead} <> '' and not regexp_matches({title}, '^[0-9]+[.][0-9]') and ltrim({lead}, '0') = ltrim(cast({track} as varchar), '0') then trim(regexp_replace({title}, '^([0-9]+)([ .-]+)', '')) else trim({title}) end"
@@ -28,12 +38,19 @@ def _clean(title: str, track: str) -> str:
 def facts(t):
     i = t.instructions.select("app_id", "file_no", "stem", "action", "matched_v_idx")
     s = M.match_store_track(i, t.store_tracks).join(t.store_tracks.select("app_id", "v_idx", F.col("title").alias("s_title"), F.col("number").alias("s_number"), F.col("disc").alias("s_disc")), ["app_id", "v_idx"]).drop("v_idx")
-    r = M.match_release_track(i, winner(t), t.release_tracks).withColumnRenamed("position", "r_position")
+    won = winner(t)
+    r = M.match_release_track(i, won, t.release_tracks).withColumnRenamed("position", "r_position")
     e = t.embedded_tags.withColumnsRenamed({"title": "e_title", "artist": "e_artist", "track_number": "e_track", "disc_number": "e_disc", "year_tag": "e_year"})
-    none = F.lit(None).cast("string")
-    rows = t.local_files.join(e, ["app_id", "file_no"]).join(i.drop("stem"), ["app_id", "file_no"]).join(t.albums, "app_id")
+    won = won.select("app_id", F.col("release_id").alias("mbid")).join(t.releases, "mbid").drop("mbid")
+    tags = t.tag_ids.join(t.tag_labels, "tag_id").groupBy("app_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("tags"))
+    own = t.tier_fields.select("app_id", F.col("cached_genre").alias("genre")).join(tags, "app_id", "full_outer")
+    # Facts of an album are put together once for each album, then joined to its files.
+    albums = t.albums.join(won, "app_id", "left").join(t.tracklist_json.select("app_id", F.col("label_en").alias("s_label")), "app_id", "left").join(own, "app_id", "left")
+    parents = t.albums.select(F.col("app_id").alias("parent_app_id"), F.col("name").alias("parent_name")).join(own.withColumnsRenamed({"app_id": "parent_app_id", "genre": "parent_genre", "tags": "parent_tags"}), "parent_app_id", "full_outer")
+    rows = t.local_files.join(e, ["app_id", "file_no"]).join(i.drop("stem"), ["app_id", "file_no"]).join(t.overrides, ["app_id", "file_no"], "left")
     rows = rows.join(s, ["app_id", "file_no"], "left").join(r, ["app_id", "file_no"], "left")
-    return rows.withColumns({"r_date": none, "r_label": none, "s_label": none, "r_composer": none})
+    none = F.lit(None).cast("string")
+    return rows.join(albums.join(parents, "parent_app_id", "left"), "app_id").withColumns({"e_comment": none, "v_title": F.col("stem")})
 
 
 @query("clean_title", "select app_id, file_no, " + _clean("stem", "filename_track") + " as title from local_files")
@@ -56,7 +73,7 @@ def _(t):
     return facts(t).withColumn("t", M.merge_title()).select("app_id", "file_no", F.col("t.value").alias("title"), "t.source")
 
 
-@query("merge_artist", f"with {FACTS} select app_id, file_no, trim(regexp_extract(store_credits, 'Artist: *([^\\n]*)', 1)) as artist from fct")
+@query("merge_artist", f"with {FACTS} select app_id, file_no, {ARTIST} as artist from fct")
 def _(t):
     return facts(t).select("app_id", "file_no", M.merge_artist().alias("artist"))
 
@@ -72,17 +89,17 @@ def _(t):
     return facts(t).select("app_id", "file_no", disc.alias("disc_no"), total.alias("total"))
 
 
-@query("merge_year", f"with {FACTS} select app_id, file_no, coalesce(e_year, left(release_date, 4)) as year from fct")
+@query("merge_year", f"with {FACTS} select app_id, file_no, {YEAR} as year from fct")
 def _(t):
     return facts(t).select("app_id", "file_no", M.merge_year().alias("year"))
 
 
-@query("merge_label", f"with {FACTS} select app_id, file_no, developer || ', ' || publisher as label from fct")
+@query("merge_label", f"with {FACTS} select app_id, file_no, {LABEL} as label from fct")
 def _(t):
     return facts(t).select("app_id", "file_no", M.merge_label().alias("label"))
 
 
-@query("merge_composer", f"with {FACTS} select app_id, file_no, trim(regexp_extract(store_credits, 'Music by *([^\\n]*)', 1)) as composer from fct")
+@query("merge_composer", f"with {FACTS} select app_id, file_no, {COMPOSER} as composer from fct")
 def _(t):
     return facts(t).select("app_id", "file_no", M.merge_composer().alias("composer"))
 
@@ -112,7 +129,7 @@ def _(t):
     return tags.select("app_id", F.array_join(M.prune_comment(F.col("tags"), most=100), "/ ").alias("tags"))
 
 
-@query("final_tags", f"with {FACTS} select app_id, file_no, case when {SOURCE} = 'FILE' then {_clean(TITLE, TRACK)} else {TITLE} end as title, {SOURCE} as title_source, trim(regexp_extract(store_credits, 'Artist: *([^\\n]*)', 1)) as artist, name as album, developer as album_artist, {TRACK} as track_number, {DISC} as disc_number, {TOTAL} as total_discs, coalesce(e_year, left(release_date, 4)) as year, developer || ', ' || publisher as label, trim(regexp_extract(store_credits, 'Music by *([^\\n]*)', 1)) as composer, 'STEAM VGM, Soundtrack' as genre, name || ', , ' || app_id || ', https://store.example.com/app/' || app_id as comment, action from fct")
+@query("final_tags", f"with {FACTS} select app_id, file_no, case when {SOURCE} = 'FILE' then {_clean(TITLE, TRACK)} else {TITLE} end as title, {SOURCE} as title_source, {ARTIST} as artist, name as album, developer as album_artist, {TRACK} as track_number, {DISC} as disc_number, {TOTAL} as total_discs, {YEAR} as year, {LABEL} as label, {COMPOSER} as composer, {GENRE} as genre, {COMMENT} as comment, {ABOUT} || ', Store' as grouping, 'eng' as language, action from fct")
 def _(t):
     return M.final_tags(facts(t))
 

@@ -98,12 +98,14 @@ def _(t):
     return S.tag_labels(t.tag_ids, t.tag_labels)
 
 
-@query("parent_enrich", "with g as (select app_id, string_agg(label, ', ' order by pos, label) as labels from tag_ids join tag_labels using (tag_id) group by app_id) select a.app_id, a.name, p.name as parent_name, g.labels as parent_tags from albums a left join albums p on p.app_id = a.parent_app_id left join g on g.app_id = a.parent_app_id")
+@query("parent_enrich", "with g as (select app_id, string_agg(label, ', ' order by pos, label) as labels from tag_ids join tag_labels using (tag_id) group by app_id) select a.app_id, a.name, p.name as parent_name, coalesce(case when g.app_id % 2 = 0 then g.labels end, 'cached ' || c.app_id) as parent_tags, c.cached_genre || ', ' || c.local_genre as parent_genres, c.cached_genre as parent_genre from albums a left join albums p on p.app_id = a.parent_app_id left join g on g.app_id = a.parent_app_id left join (select * from tier_fields where cached_genre is not null) c on c.app_id = a.parent_app_id")
 def _(t):
-    return S.parent_enrich(t.albums, S.tag_labels(t.tag_ids, t.tag_labels)).select("app_id", "name", "parent_name", "parent_tags")
+    cache = t.tier_fields.where("cached_genre is not null").select("app_id", F.concat(F.lit("cached "), F.col("app_id").cast("string")).alias("cached_labels"), F.array("cached_genre", "local_genre").alias("genres"))
+    made = S.parent_enrich(t.albums, S.tag_labels(t.tag_ids, t.tag_labels).where("app_id % 2 = 0"), cache)
+    return made.select("app_id", "name", "parent_name", "parent_tags", F.array_join("parent_genres", ", ").alias("parent_genres"), "parent_genre")
 
 
-@query("enrich_tiers", "select app_id, coalesce(nullif(cached_name, ''), nullif(store_name, ''), local_name) as name, coalesce(nullif(cached_genre, ''), local_genre) as genre from tier_fields")
+@query("enrich_tiers", "select app_id, coalesce(nullif(cached_name, ''), nullif(store_name, ''), local_name) as name, coalesce(nullif(cached_genre, ''), local_genre) as genre, coalesce(cached_date, local_date) as release_date, coalesce(cached_image, case when local_logo is not null then 'https://img.example.com/apps/' || app_id || '/header.jpg' end) as header_image_url from tier_fields")
 def _(t):
     return S.enrich_tiers(t.tier_fields)
 
@@ -113,7 +115,7 @@ def _(t):
     return S.flatten_tracklist(t.tracklist_json)
 
 
-@query("credits_text", "select app_id, 'Artist: ' || coalesce(artist_local, artist_en) as credits, label_en as label from tracklist_json")
+@query("credits_text", "select app_id, concat_ws(chr(10), 'Artist: ' || coalesce(artist_local, artist_en), 'Composer: ' || coalesce(composer_local, composer_en), 'Othercredits: ' || othercredits_en) as credits, label_en as label from tracklist_json")
 def _(t):
     return S.credits_text(t.tracklist_json)
 

@@ -119,7 +119,24 @@ select o.o_orderkey as app_id, o.o_custkey as parent_app_id,
   case when o.o_orderkey % 3 = 0 then 'cached ' || cast(o.o_orderkey as varchar(20)) end as cached_name,
   case when o.o_orderkey % 2 = 0 then 'store ' || cast(o.o_orderkey as varchar(20)) end as store_name,
   'local ' || cast(o.o_orderkey as varchar(20)) as local_name,
-  case when o.o_orderkey % 4 = 0 then c.c_mktsegment end as cached_genre, o.o_orderpriority as local_genre
+  case when o.o_orderkey % 4 = 0 then c.c_mktsegment end as cached_genre, o.o_orderpriority as local_genre,
+  case when o.o_orderkey % 5 = 0 then cast(year(o.o_orderdate) as varchar(20)) || '-01-01' end as cached_date, case when o.o_orderkey % 2 = 0 then cast(o.o_orderkey * 1000 as varchar(20)) end as local_date,
+  case when o.o_orderkey % 7 = 0 then 'https://img.example.com/' || cast(o.o_orderkey as varchar(20)) || '.jpg' end as cached_image, case when o.o_orderkey % 2 = 1 then 'logo' end as local_logo
+from orders o join customer c on o.o_custkey = c.c_custkey
+""",
+    "overrides": r"""
+select app_id, file_no,
+  case when app_id % 4 = 0 and file_no = 1 then 'Retitled ' || cast(app_id as varchar(20)) || ' / ' || 'by the judge, and at some length, so that it is long' end as override_title,
+  case when app_id % 5 = 0 and file_no <= 2 then file_no + 20 when file_no = 3 then 0 end as override_track,
+  case when app_id % 6 = 0 and file_no = 1 then 3 when file_no = 2 then 0 end as override_disc
+from (select l_orderkey as app_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as file_no from lineitem) t
+""",
+    "releases": r"""
+select o.o_orderkey as mbid,
+  case when o.o_orderkey % 8 <> 0 then c.c_name end as r_artist,
+  case when o.o_orderkey % 3 = 0 then cast(year(o.o_orderdate) + 1 as varchar(20)) || '-05-02' end as r_date,
+  case o.o_orderkey % 5 when 0 then 'Label ' || cast(o.o_custkey as varchar(20)) when 1 then 'Unknown' end as r_label,
+  case when o.o_orderkey % 7 = 0 then 'Composer ' || cast(o.o_custkey as varchar(20)) end as r_composer
 from orders o join customer c on o.o_custkey = c.c_custkey
 """,
     "audio_props": r"""
@@ -134,6 +151,7 @@ from lineitem
 select o_orderkey as app_id,
   '{"10": {"discnumber": "2", "tracknumber": 10, "originalname": "' || o_orderpriority || '", "s": "' || cast(o_custkey % 300 as varchar(20)) || '"}, "9": {"tracknumber": 9, "originalname": "' || o_orderstatus || '", "s": "61"}}' as tracks_json,
   case when o_orderkey % 2 = 0 then 'Artist A' end as artist_local, 'Artist B' as artist_en,
+  case when o_orderkey % 5 = 0 then 'Composer C' end as composer_local, case when o_orderkey % 4 = 0 then 'Composer D' end as composer_en, case when o_orderkey % 7 = 0 then 'Mixed by E' end as othercredits_en,
   case when o_orderkey % 3 = 0 then 'Label L' end as label_en
 from orders
 """,
