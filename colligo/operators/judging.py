@@ -64,10 +64,15 @@ def judge_albums(payloads: DataFrame, judge: Callable, schema: str) -> DataFrame
     return payloads.mapInPandas(judge, schema)
 
 
+def archive_ratio(share: Column) -> Column:
+    """The share of archive in a verdict, in per cent; without one all is for review."""
+    return F.coalesce(share.cast("double"), F.lit(0.0))
+
+
 def structural_trust(a: DataFrame) -> DataFrame:
-    """Equal, positive counts lift a confidence under 100, unless a fingerprint exists and it is under 80."""
+    """Equal, positive counts lift a confidence under 100, unless a fingerprint exists and it is under 80; a lift replaces archive share, strategy and reason."""
     lift = (F.col("store_n") == F.col("local_n")) & (F.col("local_n") > 0) & (F.col("confidence") < 100) & (~F.col("has_fingerprint") | (F.col("confidence") >= 80))
-    return a.select("app_id", F.when(lift, 100.0).otherwise(F.col("confidence")).alias("confidence"), F.when(lift, "STEAM_BASED").otherwise(F.col("strategy")).alias("strategy"), lift.alias("trusted"))
+    return a.select("app_id", F.when(lift, 100.0).otherwise(F.col("confidence")).alias("confidence"), F.when(lift, "STEAM_BASED").otherwise(F.col("strategy")).alias("strategy"), F.when(lift, 100.0).otherwise(archive_ratio(F.col("archive_share"))).alias("archive_share"), F.when(lift, F.concat(F.lit("SYSTEM: STEAM-TRUST, "), F.col("local_n").cast("string"), F.lit(" tracks"))).otherwise(F.col("reason")).alias("reason"), lift.alias("trusted"))
 
 
 def confidence_gate(confidence: Column) -> tuple[Column, Column]:
@@ -84,13 +89,21 @@ def structural_hint(store_n: Column, local_n: Column) -> Column:
     return F.when((store_n == 1) & (local_n == 1), "single track on both sides").when((store_n == local_n) & (store_n > 0), "equal track counts")
 
 
-def explode_instructions(answers: DataFrame, local: DataFrame) -> DataFrame:
-    """Instruction maps by index or exact title to rows of local tracks (app_id, v_idx, title); others are dropped."""
+def explode_instructions(answers: DataFrame, local: DataFrame, refs: DataFrame | None = None, album_tags: DataFrame | None = None) -> DataFrame:
+    """Instruction maps by index or exact title to rows of local tracks (app_id, v_idx, title); others are dropped.
+
+    refs (app_id, action, matched_v_idx, catalogue_idx) resolves the index that an
+    action of a source gives into the catalogue's; album_tags (app_id and tags) are
+    copied to every row of their album.
+    """
     rows = answers.select("app_id", F.explode(F.from_json("instructions", "map<string,struct<action:string,matched_v_idx:int>>")).alias("k", "x")).select("app_id", "k", "x.*")
     by_index = rows.where(F.col("k").rlike("^[0-9]+$")).select("app_id", F.col("k").try_cast("long").alias("v_idx"), "action", "matched_v_idx").join(local.select("app_id", "v_idx"), ["app_id", "v_idx"])
     titles = local.groupBy("app_id", "title").agg(F.min("v_idx").alias("v_idx"))
     by_title = rows.where(~F.col("k").rlike("^[0-9]+$")).withColumnRenamed("k", "title").join(titles, ["app_id", "title"]).select("app_id", "v_idx", "action", "matched_v_idx")
-    return by_index.select("app_id", "v_idx", "action", "matched_v_idx").unionByName(by_title)
+    found = by_index.select("app_id", "v_idx", "action", "matched_v_idx").unionByName(by_title)
+    if refs is not None:
+        found = found.join(refs, ["app_id", "action", "matched_v_idx"], "left")
+    return found if album_tags is None else found.join(album_tags, "app_id", "left")
 
 
 def number_conflict(rows: DataFrame, order: str = "file_no") -> DataFrame:

@@ -22,7 +22,7 @@ def counts(t):
 
 
 def judged(t):
-    p = J.parsed_responses(t.judge_responses).select("app_id", F.col("identity_confidence").alias("confidence"), "strategy")
+    p = J.parsed_responses(t.judge_responses).select("app_id", F.col("identity_confidence").alias("confidence"), "strategy", F.when(F.col("app_id") % 2 == 0, F.col("integrity_quality")).alias("archive_share"), F.concat(F.lit("judge "), F.col("app_id").cast("string")).alias("reason"))
     seen = t.fingerprint_hits.select("app_id").distinct().withColumn("f", F.lit(True))
     return counts(t).join(p, "app_id").join(seen, "app_id", "left").withColumn("has_fingerprint", F.coalesce("f", F.lit(False)))
 
@@ -61,16 +61,17 @@ def _(t):
     return J.default_judge(counts(t).withColumn("match_pct", F.lit(None).cast("double")))
 
 
-@query("structural_trust", f"with {PARSED}, {COUNTS}, j as (select par.app_id, confidence, strategy, store_n = local_n and confidence < 100 and (confidence >= 80 or not exists (select 1 from fingerprint_hits h where h.app_id = par.app_id)) as lift from par join sn using (app_id) join ln using (app_id)) select app_id, case when lift then 100.0 else confidence end::double as confidence, case when lift then 'STEAM_BASED' else strategy end as strategy, lift as trusted from j")
+@query("structural_trust", f"with {PARSED}, {COUNTS}, j as (select par.app_id, confidence, strategy, quality, local_n, store_n = local_n and confidence < 100 and (confidence >= 80 or not exists (select 1 from fingerprint_hits h where h.app_id = par.app_id)) as lift from par join sn using (app_id) join ln using (app_id)) select app_id, case when lift then 100.0 else confidence end::double as confidence, case when lift then 'STEAM_BASED' else strategy end as strategy, (case when lift then 100.0 when app_id % 2 = 0 then quality else 0 end)::double as archive_share, case when lift then 'SYSTEM: STEAM-TRUST, ' || local_n || ' tracks' else 'judge ' || app_id end as reason, lift as trusted from j")
 def _(t):
     return J.structural_trust(judged(t))
 
 
-@query("confidence_gate", f"with {PARSED} select app_id, (case when app_id % 3 = 0 and confidence between 1 and 99 then (confidence / 100.0::double) * 100 else confidence end)::double as pct, confidence < 100 as early_review from par")
+@query("confidence_gate", f"with {PARSED} select app_id, (case when app_id % 3 = 0 and confidence between 1 and 99 then (confidence / 100.0::double) * 100 else confidence end)::double as pct, (case when app_id % 2 = 0 then quality else 0 end)::double as archive, (case when app_id % 2 = 0 then 100 - quality else 100 end)::double as review, confidence < 100 as early_review from par")
 def _(t):
     c = F.when((F.col("app_id") % 3 == 0) & F.col("identity_confidence").between(1, 99), F.col("identity_confidence") / 100).otherwise(F.when(F.col("identity_confidence") == 1, 1.0).otherwise(F.col("identity_confidence")))
     pct, early = J.confidence_gate(c)
-    return J.parsed_responses(t.judge_responses).select("app_id", pct.alias("pct"), early.alias("early_review"))
+    share = J.archive_ratio(F.when(F.col("app_id") % 2 == 0, F.col("integrity_quality")))
+    return J.parsed_responses(t.judge_responses).select("app_id", pct.alias("pct"), share.alias("archive"), (100 - share).alias("review"), early.alias("early_review"))
 
 
 @query("strict_gate", f"with {PARSED} select app_id, confidence < 100 or quality < 90 as early from par")
@@ -83,12 +84,14 @@ def _(t):
     return counts(t).select("app_id", J.structural_hint(F.col("store_n"), F.col("local_n")).alias("hint"))
 
 
-@query("explode_instructions", "select app_id, v_idx, case v_idx when 0 then 'use_local' else 'use_steam' end as action, v_idx::int as matched_v_idx from store_tracks where v_idx = 0 union all select app_id, min(v_idx), 'use_steam', 7 from store_tracks s where title = (select title from store_tracks x where x.app_id = s.app_id and v_idx = 1) group by app_id")
+@query("explode_instructions", "with t1 as (select app_id, title from store_tracks where v_idx = 1), x as (select app_id, v_idx, 'use_local' as action, 0 as matched_v_idx from store_tracks where v_idx = 0 union all select app_id, min(s.v_idx), 'use_steam', 1 from store_tracks s join t1 using (app_id, title) group by app_id) select x.app_id, x.v_idx, action, matched_v_idx, case when action = 'use_steam' then p.number end as catalogue_idx, c.confidence::double as confidence, c.strategy from x left join store_tracks p on p.app_id = x.app_id and p.v_idx = x.matched_v_idx left join (select app_id, app_id * 7 % 101 as confidence, case app_id % 4 when 0 then 'STEAM_BASED' when 1 then 'LOCAL_BASED' when 2 then 'HYBRID' else 'MBZ_BASED' end as strategy from judge_responses) c on c.app_id = x.app_id")
 def _(t):
     second = t.store_tracks.where("v_idx = 1").select("app_id", F.col("title").alias("t1"))
     ids = t.store_tracks.select("app_id").distinct().join(second, "app_id", "left")
-    text = F.concat(F.lit('{"0": {"action": "use_local", "matched_v_idx": 0}, "999": {"action": "use_local", "matched_v_idx": 1}'), F.coalesce(F.concat(F.lit(', "'), F.col("t1"), F.lit('": {"action": "use_steam", "matched_v_idx": 7}')), F.lit("")), F.lit("}"))
-    return J.explode_instructions(ids.select("app_id", text.alias("instructions")), t.store_tracks)
+    text = F.concat(F.lit('{"0": {"action": "use_local", "matched_v_idx": 0}, "999": {"action": "use_local", "matched_v_idx": 1}'), F.coalesce(F.concat(F.lit(', "'), F.col("t1"), F.lit('": {"action": "use_steam", "matched_v_idx": 1}')), F.lit("")), F.lit("}"))
+    refs = t.store_tracks.select("app_id", F.lit("use_steam").alias("action"), F.col("v_idx").cast("int").alias("matched_v_idx"), F.col("number").alias("catalogue_idx"))
+    tags = J.parsed_responses(t.judge_responses).select("app_id", F.col("identity_confidence").alias("confidence"), "strategy")
+    return J.explode_instructions(ids.select("app_id", text.alias("instructions")), t.store_tracks, refs, tags)
 
 
 @query("number_conflict", "select app_id, file_no, disc, case when row_number() over (partition by app_id, disc, matched_v_idx order by file_no) = 1 then matched_v_idx end as override_track from instructions")
@@ -96,7 +99,7 @@ def _(t):
     return J.number_conflict(t.instructions.withColumnRenamed("matched_v_idx", "override_track").select("app_id", "file_no", "disc", "override_track"))
 
 
-@query("fast_track", "with r as (select app_id, mbid, v_idx, position from (select s.app_id, c.mbid, s.v_idx, (select min(position) from release_tracks r where r.mbid = c.mbid and lower(regexp_replace(r.title, '[^a-zA-Z0-9]', '', 'g')) = lower(regexp_replace(s.title, '[^a-zA-Z0-9]', '', 'g'))) as position from store_tracks s join (select distinct app_id, mbid from candidates union select distinct l_orderkey, l_orderkey from lineitem) c on c.app_id = s.app_id where (select count(*) from store_tracks x where x.app_id = s.app_id) = (select count(*) from release_tracks y where y.mbid = c.mbid)) z) select * from r where not exists (select 1 from r q where q.app_id = r.app_id and q.mbid = r.mbid and q.position is null)")
+@query("fast_track", "with c as (select distinct app_id, mbid from candidates union select distinct l_orderkey, l_orderkey from lineitem), sk as (select app_id, v_idx, lower(regexp_replace(title, '[^a-zA-Z0-9]', '', 'g')) as k, count(*) over (partition by app_id) as n from store_tracks), rk as (select mbid, k, min(position) as position from (select mbid, position, lower(regexp_replace(title, '[^a-zA-Z0-9]', '', 'g')) as k from release_tracks) z group by mbid, k), rn as (select mbid, count(*) as m from release_tracks group by mbid), r as (select c.app_id, c.mbid, v_idx, position, count(*) over (partition by c.app_id, c.mbid) as many, count(position) over (partition by c.app_id, c.mbid) as found from c join rn on rn.mbid = c.mbid join sk on sk.app_id = c.app_id and sk.n = rn.m left join rk on rk.mbid = c.mbid and rk.k = sk.k) select app_id, mbid, v_idx, position from r where many = found")
 def _(t):
     strong = t.candidates.select("app_id", "mbid").union(t.local_files.select("app_id", F.col("app_id").alias("mbid"))).distinct()
     return J.fast_track(t.store_tracks, t.release_tracks, strong)

@@ -30,7 +30,7 @@ def _(t):
     return S.score_release_hit(t.candidates, t.fingerprint_hits)
 
 
-@query("score_recording_hit", f"with {C}, s as (select c.app_id, c.mbid, count(distinct r.recording_id) as shared from c join release_tracks r on r.mbid = c.mbid where exists (select 1 from fingerprint_hits h where h.app_id = c.app_id and h.recording_id = r.recording_id) group by c.app_id, c.mbid) select c.app_id, c.mbid, coalesce(shared, 0) as shared, case when shared > 0 then 1000 else 0 end as points from c left join s on s.app_id = c.app_id and s.mbid = c.mbid")
+@query("score_recording_hit", f"with {C}, h as (select distinct app_id, recording_id from fingerprint_hits), q as (select distinct mbid, recording_id from release_tracks), s as (select c.app_id, c.mbid, count(*) as shared from c join q on q.mbid = c.mbid join h on h.app_id = c.app_id and h.recording_id = q.recording_id group by c.app_id, c.mbid) select c.app_id, c.mbid, coalesce(shared, 0) as shared, case when shared > 0 then 1000 else 0 end as points from c left join s on s.app_id = c.app_id and s.mbid = c.mbid")
 def _(t):
     return S.score_recording_hit(t.candidates, t.fingerprint_hits, t.release_tracks)
 
