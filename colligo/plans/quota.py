@@ -21,9 +21,16 @@ def logged(t):
 
 
 def scratch(t, name):
-    """A new folder in the shared folder of the cluster, or a local one where none is named."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder of the cluster, removed when the application ends; a local one only for a session on one machine."""
+    root = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = t.spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(t.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 @query("rolling_quota", "with r as (select event_type as service, event_id, ts, cast(floor(value / 3.0) as bigint) as tokens from events), w as (select *, count(*) over p as n, coalesce(sum(tokens) over p, 0)::bigint as used from r window p as (partition by service order by ts range between interval 3600 second preceding and interval 1 microsecond preceding)) select service, event_id, n, used, case when n / 10.0 >= 0.9 then 'wait' when n / 10.0 >= 0.7 then 'jitter' when used + tokens > 0.9 * 300 then 'token_limited' else 'free' end as label from w")
