@@ -203,8 +203,11 @@ def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS, rounds: int = ROU
     return found.groupBy(F.struct("no_id", "id", "tie").alias("doc")).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
 
 
-def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = "n_removed") -> DataFrame:
-    """docs with common blocks deleted from later documents; removed_col, if given, has the number of deleted lines."""
+def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = "n_removed", lost_col: str | None = None) -> DataFrame:
+    """docs with common blocks deleted from later documents.
+
+    removed_col, if given, has the number of deleted lines, lost_col the share of the text's words that went with them.
+    """
     gone = staged(deletions(docs, block_words, rounds, id_col, text_col), "gone").select(F.when(~F.col("doc.no_id"), F.col("doc.id")).alias("_id"), F.col("doc.tie").alias("_tie"), F.col("lines").alias("_lines"))
     whole = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     wide = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(whole) == gone["_tie"]), "left")
@@ -212,5 +215,8 @@ def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS, rounds: int = RO
     dead = F.map_from_arrays(lines, lines)
     kept = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.map_contains_key(dead, i)), "\n")
     text = F.when(lines.isNotNull(), kept).otherwise(docs[text_col])
-    out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c != removed_col]
-    return wide.select(*out, *([F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []))
+    out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in (removed_col, lost_col)]
+    words = lambda t: F.size(F.filter(F.split(t, SPACES), lambda w: w != ""))
+    lost = F.when(lines.isNotNull(), 1 - words(kept) / F.greatest(words(whole), F.lit(1))).otherwise(0.0)
+    extra = {removed_col: F.coalesce(F.size(lines), F.lit(0)).cast("long"), lost_col: lost}
+    return wide.select(*out, *[v.alias(k) for k, v in extra.items() if k])

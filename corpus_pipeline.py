@@ -9,6 +9,8 @@ from colligo.llm import common, line_dedup, minhash, mixing, packing, queries, t
 
 #: None: kernel scores, alignment and tokenisation can't be written in SQL; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
+#: Share of its words by which a document counts as a copy of what stands in earlier ones, as for near duplicates.
+LOST = 0.8
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -19,9 +21,14 @@ def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the blocks that an earlier one holds; one that loses everything goes. n_chars follows the text."""
-    cut = line_dedup.line_dedup(docs.select(*COLUMNS))
-    left = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    """Documents without the blocks that an earlier one holds. n_chars follows the text.
+
+    A document that loses LOST of its words or more is a near copy of earlier ones
+    and goes: what it has left are the lines in which it differs, which no later
+    stage could tell from a document of its own.
+    """
+    cut = line_dedup.line_dedup(docs.select(*COLUMNS), lost_col="lost")
+    left = cut.where(F.col("lost") < LOST)
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", length).select(*COLUMNS)
 

@@ -680,3 +680,15 @@ def test_pipeline_stages(spark):
         assert docs.columns == p.COLUMNS and docs.count(), name
     got = p.STAGES[-1][1](spark, docs, SF)
     assert got.select("sequence_id").distinct().count() > 10
+
+
+def test_line_dedup_stage_drops_what_is_copied(spark):
+    """Copies and near copies of earlier documents go, a document with a copied passage keeps its own lines."""
+    import corpus_pipeline as p
+
+    lines = [" ".join(f"w{10 * k + i}" for i in range(20)) for k in range(10)]
+    texts = {1: lines, 2: lines, 3: [*lines[:9], "edited line of few words"], 4: ["own text of this document"] * 3 + lines[:1], 5: ["other words"]}
+    rows_ = [(i, "\n".join(x), "en", "a", len("\n".join(x))) for i, x in texts.items()]
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.dedup_lines(spark, spark.createDataFrame(rows_, SCHEMA), SF).collect()}
+    own = "\n".join(texts[4][:3])
+    assert got == {1: (rows_[0][1], rows_[0][4]), 4: (own, len(own)), 5: ("other words", 11)}
