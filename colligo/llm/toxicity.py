@@ -62,7 +62,7 @@ LABELLED, SENTENCES = 20_000, 8_000
 #: Numbers of a table of subsequences that is worked on at once.
 PART = 1 << 16
 #: Words whose values a Python worker remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 LOWEST = -3.0
 #: Values beyond the machine's margin say no more to the curve.
 MARGIN = 1.0
@@ -226,7 +226,8 @@ class Model:
             parts += seen
             owner += [i] * len(seen)
         out = np.full(len(words), LOWEST)
-        np.maximum.at(out, owner, self.kernel.similarity(parts) @ self.weights + self.bias)
+        for at in range(0, len(parts), 16384):
+            np.maximum.at(out, owner[at : at + 16384], self.kernel.similarity(parts[at : at + 16384]) @ self.weights + self.bias)
         return out
 
     def scores(self, values: np.ndarray) -> np.ndarray:
@@ -305,19 +306,21 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     """word, t and n: distinct texts of label 1 and documents of label 0 that hold it, s: distinct pairs of neighbours that it has in toxic sentences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            clean: Counter = Counter()
-            rows = []
-            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                if toxic:
-                    d = zlib.crc32(text.encode())
-                    for s in sentences_of(text):
-                        ws = ["", *words_of(s), ""]
-                        rows += [(x, d, zlib.crc32(f"{a} {b}".encode()), 0) for a, w, b in zip(ws, ws[1:], ws[2:], strict=False) for x in windows(w)]
-                else:
-                    clean.update({x for w in words_of(text) for x in windows(w)})
-            rows += [(w, None, None, c) for w, c in clean.items()]
-            yield pd.DataFrame(rows, columns=["word", "d", "h", "n"]).astype({"d": "Int64", "h": "Int64"})
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                pdf = whole.iloc[at : at + 1024]
+                clean: Counter = Counter()
+                rows = []
+                for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
+                    if toxic:
+                        d = zlib.crc32(text.encode())
+                        for s in sentences_of(text):
+                            ws = ["", *words_of(s), ""]
+                            rows += [(x, d, zlib.crc32(f"{a} {b}".encode()), 0) for a, w, b in zip(ws, ws[1:], ws[2:], strict=False) for x in windows(w)]
+                    else:
+                        clean.update({x for w in words_of(text) for x in windows(w)})
+                rows += [(w, None, None, c) for w, c in clean.items()]
+                yield pd.DataFrame(rows, columns=["word", "d", "h", "n"]).astype({"d": "Int64", "h": "Int64"})
 
     made = docs.select("text", "toxic").mapInPandas(run, "word string, d long, h long, n long")
     return made.groupBy("word").agg(F.countDistinct("d").alias("t"), F.countDistinct("h").alias("s"), F.sum("n").alias("n"))
@@ -327,9 +330,12 @@ def _sentences(docs: DataFrame, most: int) -> list[tuple[int, bool, list[str]]]:
     """doc_id, label and distinct word windows of at most `most` sentences of each label, by a hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, bool(y), zlib.crc32(s.encode()), sorted({x for w in words_of(s) for x in windows(w)})) for d, y, t in zip(pdf["doc_id"], pdf["toxic"], pdf["text"], strict=True) for s in sentences_of(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "h", "words"])
+        for whole in batches:
+            # Few texts at a time: lists of words take many times the room of their text.
+            for at in range(0, len(whole), 128):
+                pdf = whole.iloc[at : at + 128]
+                rows = [(d, bool(y), zlib.crc32(s.encode()), sorted({x for w in words_of(s) for x in windows(w)})) for d, y, t in zip(pdf["doc_id"], pdf["toxic"], pdf["text"], strict=True) for s in sentences_of(t)]
+                yield pd.DataFrame(rows, columns=["doc_id", "toxic", "h", "words"])
 
     made = staged(docs.select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic boolean, h long, words array<string>"), "sentences")
     found = []
