@@ -45,11 +45,10 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colligo.llm.common import staged, with_ids
+from colligo.llm.common import staged, text_or_empty, with_ids
 
 ORDER, DECAY, POWER = 3, 0.7, 3
 #: Landmarks at least.
@@ -411,12 +410,11 @@ def drop_toxic(docs: DataFrame, model: Model | float, threshold: float = 0.5, te
     if not isinstance(model, Model):
         return docs.where(F.lit(float(model) < threshold))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, float] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                part = whole.slice(at, 512)
-                texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
-                yield part.filter(pa.array(model.scores(values_of(texts, model, known)) < threshold))
+            yield pd.Series(np.concatenate([model.scores(values_of(whole.iloc[at : at + 512].tolist(), model, known)) for at in range(0, len(whole), 512)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Only texts go to Python, and only scores come back.
+    return docs.where(scored(text_or_empty(text_col)) < threshold)
