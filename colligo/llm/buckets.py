@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colligo.llm.common import spread_join, staged
+from colligo.llm.common import TEXT_ROWS, spread_join, staged
 from colligo.llm.components import components
 
 #: Members of a bucket that are compared with all of it in one task, about.
@@ -49,7 +49,7 @@ def bucket_components(
         return own.join(leaders, "key").where("comp_u <> comp_v").where(plausible("_u", "_v"))
 
     first = with_leaders(hits.withColumn("comp", F.col("id")), []).groupBy(F.col("id_u").alias("u")).agg(F.min_by("id_v", F.struct("rank_v", "id_v")).alias("v"))
-    labels = components(staged(confirm(first), "confirmed"))
+    labels = components(staged(confirm(first), "confirmed", TEXT_ROWS))
 
     def apart(extra: DataFrame | None) -> DataFrame:
         now = hits.join(labels.withColumnsRenamed({"u": "id", "v": "comp"}), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -58,11 +58,11 @@ def bucket_components(
         return staged(now.join(extra, "id") if extra is not None else now, "apart")
 
     left = apart(None)
-    extra = staged(details(left.select("id").distinct()), "details") if details else None
+    extra = staged(details(left.select("id").distinct()), "details", TEXT_ROWS) if details else None
     columns = ["x"] if details else []
     left = left.join(extra, "id") if details else left
     pairs = with_leaders(left, columns).where(close("_u", "_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
-    labels = components(labels.union(staged(confirm(pairs), "confirmed")))
+    labels = components(labels.union(staged(confirm(pairs), "confirmed", TEXT_ROWS)))
     left = apart(extra)
     # A pair with several common keys is met at the first of them only.
     short = F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
@@ -73,4 +73,4 @@ def bucket_components(
     first = F.element_at(F.array_intersect("keys_u", "keys_v"), 1) == F.col("short")
     # Members of a large bucket are dealt over tasks; each meets all the others there.
     rest = spread_join(a, b, "key", "id_u", BUCKET_ROWS).where((F.col("comp_u") < F.col("comp_v")) & plausible("_u", "_v") & close("_u", "_v") & first)
-    return components(labels.union(staged(confirm(rest.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()), "confirmed")))
+    return components(labels.union(staged(confirm(rest.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()), "confirmed", TEXT_ROWS)))

@@ -29,11 +29,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of long texts that a staged write hands to a Python worker at once; Spark's own number holds ten times the memory in either process.
+TEXT_ROWS = 1000
+
+
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    batch_rows: rows at most in an Arrow batch of this write's pandas functions.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(key))
+    if batch_rows is not None and not 0 < given <= batch_rows:
+        spark.conf.set(key, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, given)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(name: str = "text") -> Column:

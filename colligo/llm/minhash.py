@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colligo.llm.buckets import bucket_components
-from colligo.llm.common import ids_back, spread_join, staged, with_ids
+from colligo.llm.common import TEXT_ROWS, ids_back, spread_join, staged, with_ids
 from colligo.llm.shingles import in_buffers, mix
 
 CHUNKS, WIDTH, ERRORS, BITS = 9, 6, 1, 16
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Without bit_filter every candidate is confirmed on its sets, none is left out by its one-bit signature.
     """
     texts = with_ids(docs, id_col, text_col)
-    rows = staged(sketch(texts, words), "sketch")
+    rows = staged(sketch(texts, words), "sketch", TEXT_ROWS)
     classes = staged(rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     # One row per representative: of rows that repeat its id, each that leads a class.
     heads = rows.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")

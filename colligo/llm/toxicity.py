@@ -48,7 +48,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colligo.llm.common import staged, text_or_empty, with_ids
+from colligo.llm.common import TEXT_ROWS, staged, text_or_empty, with_ids
 
 ORDER, DECAY, POWER = 3, 0.7, 3
 #: Landmarks at least.
@@ -336,7 +336,7 @@ def _sentences(docs: DataFrame, most: int) -> list[tuple[int, bool, list[str]]]:
                 rows = [(d, bool(y), zlib.crc32(s.encode()), sorted({x for w in words_of(s) for x in windows(w)})) for d, y, t in zip(pdf["doc_id"], pdf["toxic"], pdf["text"], strict=True) for s in sentences_of(t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "toxic", "h", "words"])
 
-    made = staged(docs.select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic boolean, h long, words array<string>"), "sentences")
+    made = staged(docs.select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic boolean, h long, words array<string>"), "sentences", TEXT_ROWS)
     found = []
     for label in (True, False):
         found += made.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most).collect()
@@ -355,7 +355,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, sentence
     ones, all_rows = rows.agg(F.sum("toxic"), F.count("*")).first()
     if not ones or ones == all_rows:
         return float(ones or 0) / max(1, all_rows)
-    counts = staged(_word_counts(rows), "words")
+    counts = staged(_word_counts(rows), "words", TEXT_ROWS)
     odds = float(ones) / (all_rows - ones)
     expected = (F.col("t") + F.col("n")) * (odds / (1 + odds))
     # Words that only copies of one text share have few distinct neighbours, however many the copies.
