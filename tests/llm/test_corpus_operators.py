@@ -10,10 +10,11 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from colligo.llm import components, html_extract, langid, line_dedup, media, minhash, mixing, packing, pii, queries, shingles, simhash, toxicity
+from colligo.llm import common, components, html_extract, langid, line_dedup, media, minhash, mixing, packing, pii, queries, shingles, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -692,3 +693,17 @@ def test_line_dedup_stage_drops_what_is_copied(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in p.dedup_lines(spark, spark.createDataFrame(rows_, SCHEMA), SF).collect()}
     own = "\n".join(texts[4][:3])
     assert got == {1: (rows_[0][1], rows_[0][4]), 4: (own, len(own)), 5: ("other words", 11)}
+
+
+def test_staged_bounds_batches_of_its_write_only(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(key)
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    rows = spark.range(0, 25, 1, 1)
+    found = common.staged(rows.mapInPandas(sizes, "n long"), "sizes", 10)
+    assert sorted(r.n for r in found.collect()) == [5, 10, 10]
+    assert spark.conf.get(key) == given
