@@ -46,7 +46,7 @@ PATTERNS = {
 }
 TERM = "term"
 MIN_LETTERS = 3
-#: Hash values by which terms of texts are held against disclosing ones before they are joined; bounds that broadcast.
+#: Hash values by which terms of texts are held against disclosing ones before they are joined.
 SLOTS = 1 << 22
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: The same matches as PATTERNS, in the form that the Java matcher works through without recursion: possessive groups, and
@@ -176,23 +176,40 @@ def disclosing_terms(rows: DataFrame, ents: DataFrame, z: float = 1.0, generalis
     return scored.select("term", "e", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
+def slot_bits(terms: DataFrame) -> DataFrame:
+    """One row with SLOTS bits, 64 to a number of an array, set at the hash values of the column term."""
+    given = terms.select(_slot(F.col("term")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    words = terms.sparkSession.range(SLOTS // 64).join(given, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def _slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS))
+
+
+def marked(term: Column, bits: Column) -> Column:
+    """Whether the bit of a term's hash value is set."""
+    return F.getbit(F.get(bits, F.shiftright(_slot(term), 6).cast("int")), _slot(term).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def term_spans(rows: DataFrame, telling: DataFrame) -> DataFrame:
-    """id, tie and the spans (start, end, action) of telling terms (term, action) in every text that holds one."""
-    slot = lambda term: F.pmod(F.xxhash64(term), F.lit(SLOTS))
-    # At most SLOTS numbers, so the broadcast is bounded; what passes by chance falls out of the joins on terms.
-    slots = telling.select(slot("term").alias("slot")).distinct()
-    told = lambda df: df.withColumn("slot", slot("term")).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
-    held = told(rows.select("id", F.xxhash64("text").alias("tie"), F.explode(terms_of(F.col("text"))).alias("term")))
-    found = staged(held.join(telling, "term").groupBy("id", "tie").agg(F.collect_set("term").alias("keys")), "held").withColumnsRenamed({"id": "_id", "tie": "_tie"})
-    texts = rows.select("id", F.xxhash64("text").alias("tie"), "text").join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).distinct()
+    """id, tie and the spans (start, end, action) of telling terms (term, action) in every text that holds one.
+
+    Texts are not shuffled: their terms are held against SLOTS bits (512 KB, whatever the number of terms), and only
+    tokens that pass are joined with the terms, where what passed by chance falls out.
+    """
+    bits = slot_bits(telling)
+    texts = rows.select("id", F.xxhash64("text").alias("tie"), "text", bits.scalar().alias("bits"))
     # Only lines that contain a telling term are cut into tokens.
     lines = let(F.split("text", "\n"), lambda ls: let(ends(F.transform(ls, lambda x: F.length(x) + 1)), lambda e: F.transform(ls, lambda x, i: F.struct((e[i] - F.length(x) - 1).alias("at"), x.alias("line")))))
-    near = F.filter(lines, lambda x: let(F.lower(x["line"]), lambda low: F.exists("keys", lambda k: F.contains(low, k))))
+    holds = lambda keys: F.filter(lines, lambda x: let(F.lower(x["line"]), lambda low: F.exists(keys, lambda k: F.contains(low, k))))
+    none = F.array().cast("array<struct<at:int,line:string>>")
+    near = let(F.filter(terms_of(F.col("text")), lambda t: marked(t, F.col("bits"))), lambda keys: F.when(F.size(keys) > 0, holds(keys)).otherwise(none))
     tokens = texts.select("id", "tie", F.explode(near).alias("x")).select("id", "tie", "x.at", F.explode(matches(F.col("x.line"), TOKEN, is_term)).alias("m"))
     lead = F.length("m.value") - F.length(F.regexp_replace("m.value", r"^\P{L}++", ""))
     word = stripped(F.col("m.value"))
     placed = tokens.select("id", "tie", (F.col("at") + F.col("m.start") + lead).alias("start"), F.length(word).alias("n"), F.lower(word).alias("term"))
-    hits = told(placed).join(telling, "term").select("id", "tie", F.struct("start", (F.col("start") + F.col("n")).alias("end"), "action").alias("s"))
+    hits = placed.where(marked(F.col("term"), bits.scalar())).join(telling, "term").select("id", "tie", F.struct("start", (F.col("start") + F.col("n")).alias("end"), "action").alias("s"))
     return hits.groupBy("id", "tie").agg(F.array_sort(F.collect_set("s")).alias("terms"))
 
 
