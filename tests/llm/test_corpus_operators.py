@@ -318,6 +318,24 @@ def test_disclosing_terms_against_brute_force(spark, docs):
     assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_term_spans_against_brute_force(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
+    told = {w: "remove" for w in words[::3]} | {"müßig": "generalise"}
+    texts = [(1, "\n".join(" ".join(words[i : i + 7]) for i in range(0, 400, 7))), (2, "(Müßig), waax!\n\nnone here"), (3, ""), (2, "(Müßig), waax!\n\nnone here")]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    terms = spark.createDataFrame(list(told.items()), "term string, action string")
+    got = {r.id: [tuple(s) for s in r.terms] for r in pii.term_spans(rows, terms).collect()}
+    want = {}
+    for i, text in texts:
+        found = [(m.start(), m.end(), told[m.group().lower()]) for m in re.finditer(r"[^\W\d_]+", text) if m.group().lower() in told]
+        want |= {i: found} if found else {}
+    assert got == want
+    bits = pii.slot_bits(terms).first().bits
+    slots = {r.s for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(pii.SLOTS)).alias("s")).collect()}
+    assert {64 * i + k for i, b in enumerate(bits) if b for k in range(64) if b >> k & 1} == slots
+    assert pii.term_spans(rows, terms.limit(0)).count() == 0
+
+
 def test_pii_odd_rows(odd, empty):
     assert pii.report(odd).count() == len(ODD)
     got = pii.sanitise(odd)
