@@ -51,6 +51,11 @@ def _tokenizer(path: str) -> tuple:
     return tok, tok.encode(MARK, add_special_tokens=False).ids, {}
 
 
+def vocabulary_size(path: str) -> int:
+    """Number of ids of a tokenizer file."""
+    return _tokenizer(path)[0].get_vocab_size()
+
+
 def _encode_words(tok, mark: list[int], words: list[str]) -> list[bytes]:
     """Ids of words without white space. Words share a call, with a mark of one known id between them."""
     if len(mark) != 1 or any(MARK in w for w in words):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colligo.llm import html_extract, langid, line_dedup, media, minhash, mixing, packing, pii, simhash, toxicity
+from colligo.llm import centroids, html_extract, importance, langid, line_dedup, media, minhash, mixing, packing, pii, simhash, tokens, toxicity
 from colligo.llm.common import crc32_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,64 @@ select *, ('0x' || substr(md5('17:order:' || coalesce(doc_id::varchar, '') || ':
 """
 
 
+#: Integer vectors in long form; three rounds and a last assignment, each with the smallest (distance, number) by vector.
+OP12_SQL = r"""
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+), e as materialized (
+  select vec_id, unnest(range(1, 65)) as i, unnest(x) as y from v
+), c0 as materialized (
+  select row_number() over (order by sha256('1:' || vec_id::varchar)) - 1 as c, x from v order by sha256('1:' || vec_id::varchar) limit 16
+)"""
+for _r in range(4):
+    OP12_SQL += f""", b{_r} as materialized (
+  select c, unnest(range(1, 65)) as i, unnest(x) as y from c{_r}
+), d{_r} as materialized (
+  select vec_id, c, sum((e.y - b{_r}.y) * (e.y - b{_r}.y))::bigint as distance from e join b{_r} using (i) group by vec_id, c
+), a{_r} as materialized (
+  select vec_id, min((distance, c)) as best from d{_r} group by vec_id
+), n{_r} as (
+  select best[2] as c, i, sum(y)::bigint as s, count(*) as n from a{_r} join e using (vec_id) group by best[2], i
+), c{_r + 1} as materialized (
+  select o.c, coalesce(m.x, o.x) as x from c{_r} o left join (select c, list((s - ((s % n) + n) % n) // n order by i) as x from n{_r} group by c) m on m.c = o.c
+)"""
+OP12_SQL += """
+select vec_id, best[2]::int as cluster, best[1] as distance, sum(best[1]) over (partition by best[2])::bigint as cluster_inertia, sum(best[1]) over ()::bigint as inertia,
+  sha256(array_to_string(x, ',')) as centroid_sha256 from a3 join c3 on c3.c = best[2]
+"""
+
+
+#: crc32 of each distinct feature by a fold over its bytes, with the table from its polynomial.
+OP13_SQL = r"""
+with tab as materialized (
+  select list(c order by v) as crc from (select v, list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, v::bigint) as c from range(256) r(v))
+), texts as (
+  select 'd' as side, doc_id as id, text from documents union all select 't', item_id, text from benchmark
+), w as materialized (
+  select side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from texts
+), f as materialized (
+  select side, id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as g from w where len(ws) > 0
+), g as materialized (
+  select g, xor(list_reduce(list_transform(range(0, octet_length(encode(g))), lambda k: ('0x' || substr(hex(encode(g)), 2 * k + 1, 2))::bigint), lambda c, b: xor(crc[xor(c % 256, b) + 1], c // 256), 4294967295::bigint), 4294967295::bigint) % 10000 as bucket
+  from (select distinct g from f) q, tab
+), n as (
+  select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 't') as t from f join g using (g) group by bucket
+), gain as materialized (
+  select bucket, floor(1000 * ln((t + 1)::double * ((select sum(s) from n) + 10000)::double / ((s + 1)::double * ((select sum(t) from n) + 10000)::double)))::bigint as gain from n
+), m as (
+  select id, count(*) as n_features, floor(sum(gain)::double / count(*))::bigint as weight from f join g using (g) join gain using (bucket) where side = 'd' group by id
+), x as (
+  select w.id as doc_id, len(ws) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.id::varchar), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from w left join m on m.id = w.id where side = 'd'
+), r as (
+  select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) filter (n_words >= 20) over () as n from x
+)
+select doc_id, n_features::bigint as n_features, weight, score, case when n_words >= 20 and place <= 25 * n // 100 then place end as rank from r
+"""
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -114,6 +172,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0, seed=1)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, buckets=10_000, seed=7)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -125,8 +195,13 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_token_ids": op11_token_ids,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": OP6_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
+    "op12_centroid_clustering": OP12_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
