@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Words of formats, endings of album names, and a misspelling that are taken out of stems.
+FORMAT_WORDS = "aiff|mp3|flac|wav|lossless|high-res|digital|official"
+NAME_ENDINGS = "soundtrack|original soundtrack|ost"
+STEM_ENDINGS = "ost|soundtrack|original soundtrack"
+MISSPELT, SPELT = "artifical", "artificial"
+
 
 def blank_to_null(c: Column) -> Column:
     """Null for null, empty and white-space text."""
@@ -43,15 +49,16 @@ def norm_stem(stem: Column, album: Column | None = None, ascii_only: bool = Fals
     """
     s = stem
     if album is not None:
-        short = F.regexp_replace(album, r"(?i)\s*(soundtrack|original soundtrack|ost)\s*$", "")
-        quoted = lambda a: F.concat(F.lit(r"(?i)\Q"), a, F.lit(r"\E"))
+        short = F.regexp_replace(album, rf"(?i)\s*({NAME_ENDINGS})\s*$", "")
+        # Every sign of the name is escaped for itself, so that no name ends a quotation.
+        quoted = lambda a: F.concat(F.lit("(?i)"), F.regexp_replace(a, r"([^\p{L}\p{N}])", r"\\$1"))
         s = F.when(F.length(album) > 0, F.regexp_replace(s, quoted(album), F.lit(""))).otherwise(s)
         s = F.when(F.length(short) > 0, F.regexp_replace(s, quoted(short), F.lit(""))).otherwise(s)
-    s = F.regexp_replace(s, r"^([0-9]+[\s._-]+)+", "")
-    s = F.regexp_replace(s, r"(?i)\b(aiff|mp3|flac|wav|lossless|high-res|digital|official)\b", "")
-    s = F.regexp_replace(F.trim(s), r"(?i)\b(ost|soundtrack|original soundtrack)$", "")
+    s = F.regexp_replace(s, r"^(?:[0-9]++[\s._-]++)++", "")
+    s = F.regexp_replace(s, rf"(?i)\b({FORMAT_WORDS})\b", "")
+    s = F.regexp_replace(F.trim(s), rf"(?i)\b({STEM_ENDINGS})$", "")
     s = F.regexp_replace(s, "[^a-zA-Z0-9]" if ascii_only else r"[^\p{L}\p{N}]", " ")
-    s = F.replace(F.lower(F.trim(F.regexp_replace(s, " +", " "))), F.lit("artifical"), F.lit("artificial"))
+    s = F.replace(F.lower(F.trim(F.regexp_replace(s, " +", " "))), F.lit(MISSPELT), F.lit(SPELT))
     return F.trim(F.regexp_replace(s, r"\s*0+([0-9]+)" if ascii_only else r"(^| )0+([0-9]+)", " $1" if ascii_only else "$1$2"))
 
 

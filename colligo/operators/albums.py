@@ -21,11 +21,14 @@ def v_local(groups: DataFrame) -> DataFrame:
 
 
 def flatten_hits(hits: DataFrame) -> DataFrame:
-    """Nested fingerprint responses to (app_id, recording, release, score); failed responses give nothing."""
-    kind = "struct<status:string,results:array<struct<score:double,recordings:array<struct<id:string,title:string,releases:array<struct<id:string>>>>>>>"
-    parsed = hits.select("app_id", F.from_json("response_data", kind).alias("r")).where("r.status = 'ok'")
-    recordings = parsed.select("app_id", F.explode_outer("r.results").alias("x")).select("app_id", "x.score", F.explode_outer("x.recordings").alias("rec"))
-    return recordings.select("app_id", "score", F.col("rec.id").alias("recording_id"), F.explode_outer("rec.releases.id").alias("release_id"))
+    """Nested fingerprint responses of tracks (app_id, track_no) to recordings with score, title, first artist and release; failed responses give nothing."""
+    kind = "struct<status:string,results:array<struct<score:double,recordings:array<struct<id:string,title:string,artists:array<struct<name:string>>,releases:array<struct<id:string>>>>>>>"
+    parsed = hits.select("app_id", "track_no", F.from_json("response_data", kind).alias("r")).where("r.status = 'ok'")
+    recordings = parsed.select("app_id", "track_no", F.explode_outer("r.results").alias("x")).select("app_id", "track_no", "x.score", F.explode_outer("x.recordings").alias("rec"))
+    # Releases without an id are none.
+    releases = F.filter("rec.releases.id", lambda x: x.isNotNull())
+    artist = F.try_element_at("rec.artists.name", F.lit(1))
+    return recordings.select("app_id", "track_no", "score", F.col("rec.id").alias("recording_id"), F.col("rec.title").alias("title"), artist.alias("artist"), F.explode_outer(releases).alias("release_id"))
 
 
 def best_recording(hits: DataFrame) -> DataFrame:
@@ -90,12 +93,21 @@ def v_search(ranked: DataFrame, release_tracks: DataFrame, least: int = 250) ->
 
 
 def cross_verify(fingerprint: DataFrame, search: DataFrame) -> DataFrame:
-    """One row per source album; where both winners agree, one of source VERIFIED."""
-    f, s = fingerprint.select("app_id", F.col("release_id").alias("f_id")), search.select("app_id", F.col("mbid").alias("s_id"))
+    """One row per source album; where both winners agree, one of source VERIFIED.
+
+    If search has evidence (an array of notes), rows carry it: a verified album has the
+    search's with one note more, a fingerprint album none.
+    """
+    noted = "evidence" in search.columns
+    f, s = fingerprint.select("app_id", F.col("release_id").alias("f_id")), search.select("app_id", F.col("mbid").alias("s_id"), *(["evidence"] if noted else []))
     both = f.join(s, "app_id", "full_outer")
-    same = F.col("f_id") == F.col("s_id")
-    rows = F.when(same, F.array(F.struct(F.lit("VERIFIED").alias("source"), F.col("f_id").alias("id")))).otherwise(F.array_compact(F.array(F.when(F.col("f_id").isNotNull(), F.struct(F.lit("FINGERPRINT").alias("source"), F.col("f_id").alias("id"))), F.when(F.col("s_id").isNotNull(), F.struct(F.lit("SEARCH").alias("source"), F.col("s_id").alias("id"))))))
-    return both.select("app_id", F.explode(rows).alias("r")).select("app_id", "r.*")
+    notes = F.coalesce("evidence", F.array().cast("array<string>")) if noted else F.array().cast("array<string>")
+    row = lambda source, of, evidence: F.struct(F.lit(source).alias("source"), F.col(of).alias("id"), evidence.alias("evidence"))
+    one = row("VERIFIED", "f_id", F.concat(notes, F.array(F.lit("audio_and_text_agree"))))
+    two = F.array_compact(F.array(F.when(F.col("f_id").isNotNull(), row("FINGERPRINT", "f_id", F.array().cast("array<string>"))), F.when(F.col("s_id").isNotNull(), row("SEARCH", "s_id", notes))))
+    rows = F.when(F.col("f_id") == F.col("s_id"), F.array(one)).otherwise(two)
+    out = both.select("app_id", F.explode(rows).alias("r")).select("app_id", "r.*")
+    return out if noted else out.drop("evidence")
 
 
 def candidate_for_merge(fingerprint: DataFrame, search: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colligo.functions.text import first_int, junk_to_null, norm_stem, strip_zeros
+from colligo.functions.text import blank_to_null, first_int, junk_to_null, norm_stem, strip_zeros
 
 # Formats from best to worst.
 FORMATS = ("flac", "alac", "aiff", "wav", "mp3", "m4a", "ogg")
 LOSSLESS = ("flac", "wav", "aiff", "alac", "aif")
+GROUP = ("app_id", "disc", "norm_stem")
 
 
 def disc_number(tag: Column, path: Column) -> Column:
@@ -156,6 +157,41 @@ def album_consensus(tags: DataFrame, values: tuple[str, ...] = ("artist", "year_
     return reduce(lambda a, b: a.join(b, "app_id", "full_outer"), found)
 
 
+def track_titles(files: DataFrame, tags: DataFrame, heard: DataFrame | None = None) -> DataFrame:
+    """(app_id, disc, norm_stem, title, title_from, mean_ms): what the fingerprint says, else the first tag in variant order, else the file's name without leading numbers.
+
+    heard: (app_id, disc, norm_stem, title, artist) of groups that a fingerprint knows.
+    """
+    rows = variants(files, tags)
+    tag = junk_to_null(F.col("title"))
+    named = F.trim(F.regexp_replace("stem", r"^(?:[0-9]++[\s.-]++)++", ""))
+    made = rows.groupBy(*GROUP).agg(F.min_by(tag, F.when(tag.isNotNull(), F.col("variant_rank"))).alias("_tag"), F.min_by(named, "variant_rank").alias("_file"), F.floor(F.avg("duration_s") * 1000).cast("long").alias("mean_ms"))
+    if heard is not None:
+        made = made.join(heard.select(*GROUP, F.col("title").alias("_heard")), list(GROUP), "left")
+    else:
+        made = made.withColumn("_heard", F.lit(None).cast("string"))
+    heard_title = blank_to_null(F.col("_heard"))
+    source = F.when(heard_title.isNotNull(), "fingerprint").when(F.col("_tag").isNotNull(), "tag").when(blank_to_null(F.col("_file")).isNotNull(), "file")
+    return made.select(*GROUP, F.coalesce(heard_title, "_tag", blank_to_null(F.col("_file"))).alias("title"), source.alias("title_from"), "mean_ms")
+
+
+def baseline(files: DataFrame, tags: DataFrame, heard: DataFrame | None = None) -> DataFrame:
+    """The commonest album, artist and year of an album.
+
+    Groups that a fingerprint knows give its artist and none of their tags; the
+    others give the tags of all their variants. Of equal counts, the first seen counts.
+    """
+    rows = variants(files, tags).select(*GROUP, "album", "artist", "year_tag", "file_no")
+    if heard is not None:
+        known = heard.where(blank_to_null(F.col("title")).isNotNull()).select(*GROUP, F.col("artist").alias("_artist"), F.lit(True).alias("_known"))
+        rows = rows.join(known, list(GROUP), "left")
+        first = F.row_number().over(Window.partitionBy(*GROUP).orderBy("file_no")) == 1
+        # One vote a group, at the place of its first file.
+        own = F.when(F.col("_known") & first, F.col("_artist"))
+        rows = rows.withColumn("_own", own).withColumns({"album": F.when(F.col("_known").isNull(), F.col("album")), "year_tag": F.when(F.col("_known").isNull(), F.col("year_tag")), "artist": F.when(F.col("_known").isNull(), F.col("artist")).otherwise(F.col("_own"))})
+    return album_consensus(rows.select("app_id", "album", "artist", "year_tag", "file_no"), ("album", "artist", "year_tag"))
+
+
 def total_discs(files: DataFrame, store: DataFrame) -> DataFrame:
     both = files.select("app_id", "disc").unionByName(store.select("app_id", "disc"))
     return both.groupBy("app_id").agg(F.greatest(F.coalesce(F.max("disc"), F.lit(1)), F.lit(1)).alias("total_discs"))

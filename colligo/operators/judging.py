@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from colligo.functions.text import fold
 
@@ -13,11 +15,18 @@ RESPONSE = "struct<identity_confidence:double,integrity_quality:double,strategy:
 
 
 def payload_sample(tracks: DataFrame, most: int = 20, head: int = 15, tail: int = 5) -> DataFrame:
-    """Album payload of (app_id, v_idx, disc, number, title) as JSON; long albums keep first and last tracks and say how many are left out."""
+    """Album payload of (app_id, v_idx, disc, number, title, and credits where given) as JSON.
+
+    Long albums keep first and last tracks and say between them how many are left out.
+    """
     w = Window.partitionBy("app_id")
     rows = tracks.withColumn("i", F.row_number().over(w.orderBy("v_idx"))).withColumn("n", F.count("*").over(w))
     kept = rows.where((F.col("n") <= most) | (F.col("i") <= head) | (F.col("i") > F.col("n") - tail))
-    return kept.groupBy("app_id").agg(F.max("n").alias("tracks"), (F.max("n") - F.count("*")).alias("omitted"), F.to_json(F.array_sort(F.collect_list(F.struct("v_idx", "disc", "number", "title")))).alias("payload"))
+    given = ["v_idx", "disc", "number", "title", *(["credits"] if "credits" in tracks.columns else [])]
+    # The gap's note follows the last track of the head; absent fields are left out of the JSON.
+    gap = F.when((F.col("n") > most) & (F.col("i") == head), F.concat(F.lit("... "), (F.col("n") - head - tail).cast("string"), F.lit(" tracks left out ...")))
+    made = kept.groupBy("app_id").agg(F.max("n").alias("tracks"), (F.max("n") - F.count("*")).alias("omitted"), F.array_sort(F.collect_list(F.struct(*given, gap.alias("then")))).alias("rows"))
+    return made.select("app_id", "tracks", "omitted", F.to_json("rows").alias("payload"))
 
 
 def chunk_size(base: int, adaptive: bool = False, predict: int = 0, ratio: float = 0.8, tokens_per_track: int = 100) -> int:
@@ -33,14 +42,46 @@ def token_estimate(chars: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(chars / 3)).cast("long")
 
 
+def is_cut(done_reason: Column, error: Column) -> Column:
+    """Whether a response was cut, by the reason it ended for or the text of its error."""
+    return F.lower(done_reason).isin("length", "max_tokens") | F.coalesce(F.lower(error).rlike("truncat|max_tokens|length"), F.lit(False))
+
+
 def rechunk_truncated(chunks: DataFrame, responses: DataFrame, size: int) -> DataFrame:
     """Chunks (app_id, chunk, v_idx) whose response was cut are split again at half the size."""
-    cut = F.lower("done_reason").isin("length", "max_tokens") | F.coalesce(F.lower("error").rlike("truncat|max_tokens|length"), F.lit(False))
-    bad = responses.where(cut).select("app_id", "chunk")
+    bad = responses.where(is_cut(F.col("done_reason"), F.col("error"))).select("app_id", "chunk")
     i = F.row_number().over(Window.partitionBy("app_id", "chunk").orderBy("v_idx")) - 1
     return chunks.join(bad, ["app_id", "chunk"], "left_semi").withColumn("part", F.floor(i / max(1, size // 2)).cast("long"))
 
 
+def rechunk_until_whole(tracks: DataFrame, size: int, respond: Callable[[DataFrame], DataFrame], stage: Callable[[DataFrame], DataFrame], order: str = "v_idx") -> DataFrame:
+    """Chunks of tracks whose responses came whole: tracks with start, size and round, and the response's columns.
+
+    respond takes tracks with (app_id, start, size) and gives one row (app_id,
+    start, done_reason, error, ...) for each chunk; cut ones go again at half the
+    size. A chunk of one track stays as it is, cut or not. Sizes halve each round,
+    so there are at most floor(log2(size)) + 1 rounds. stage writes a table and
+    reads it back, which cuts the lineage between rounds and asks no chunk twice.
+    """
+    i = (F.row_number().over(Window.partitionBy("app_id").orderBy(order)) - 1).cast("long")
+    left = stage(tracks.withColumn("i", i).withColumn("start", (F.floor(F.col("i") / size) * size).cast("long")).withColumn("size", F.lit(size)).withColumn("round", F.lit(0)))
+    done: DataFrame | None = None
+    number = 0
+    while True:
+        answered = stage(respond(left))
+        bad = answered.where(is_cut(F.col("done_reason"), F.col("error"))).select("app_id", "start")
+        bad = bad.limit(0) if size == 1 else bad
+        whole = left.join(answered.join(bad, ["app_id", "start"], "left_anti"), ["app_id", "start"])
+        done = whole if done is None else done.unionByName(whole)
+        if size == 1:
+            return done.drop("i")
+        size, number = size // 2, number + 1
+        again = left.join(bad, ["app_id", "start"], "left_semi")
+        left = stage(again.withColumns({"start": (F.col("start") + F.floor((F.col("i") - F.col("start")) / size) * size).cast("long"), "size": F.lit(size), "round": F.lit(number)}))
+        if left.isEmpty():
+            return done.drop("i")
+
+
 def salvage_json(raw: Column, kind: str = RESPONSE) -> Column:
     """The object in a model's answer: fences and thoughts dropped, first { to last }, no trailing commas."""
     plain = F.regexp_replace(F.regexp_replace(raw, "(?s)<think>.*?</think>", ""), "```(?:json)?", "")
@@ -59,9 +100,38 @@ def default_judge(facts: DataFrame) -> DataFrame:
     return facts.select("app_id", conf.alias("confidence"), strategy.alias("strategy"))
 
 
-def judge_albums(payloads: DataFrame, judge: Callable, schema: str) -> DataFrame:
-    """A user's judge over batches of payloads: an iterator of pandas frames to an iterator of pandas frames."""
-    return payloads.mapInPandas(judge, schema)
+def judge_albums(payloads: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = 64) -> DataFrame:
+    """A user's judge over batches of at most `most` payloads; adds the column error.
+
+    judge takes a frame of payloads and gives one of schema, which begins with the
+    payloads' keys of the same names. Where it fails on a batch, halves of the batch are
+    judged by themselves, down to the payload that it fails on: that one gets a row with
+    its keys, nulls and the error's text, and the job goes on. schema must not name error.
+    """
+    made = StructType.fromDDL(schema)
+    names = made.fieldNames()
+    keys = [c for c in names if c in payloads.columns]
+
+    texts = [f.name for f in made.fields if isinstance(f.dataType, StringType)] + ["error"]
+
+    def plain(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Texts as objects, however the judge made them: chunked ones do not go back to Spark.
+        return pdf.astype(dict.fromkeys(texts, object)).where(pdf.notna(), None) if len(pdf) else pdf
+
+    def judged(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+        try:
+            return [plain(judge(pdf)[names].assign(error=None))]
+        except Exception as e:  # noqa: BLE001
+            if len(pdf) > 1:
+                return judged(pdf.iloc[: len(pdf) // 2]) + judged(pdf.iloc[len(pdf) // 2 :])
+            return [plain(pdf[keys].reindex(columns=names).assign(error=f"{type(e).__name__}: {e}"))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), most):
+                yield from judged(pdf.iloc[at : at + most])
+
+    return payloads.mapInPandas(run, StructType(made.fields).add("error", "string"))
 
 
 def archive_ratio(share: Column) -> Column:

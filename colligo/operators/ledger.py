@@ -74,6 +74,20 @@ def cause_codes(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("status", F.coalesce(F.nullif("confidence_reason", F.lit("")), F.lit("none")).alias("code")).agg(F.count("*").alias("albums"), F.count_if((F.col("status") == "review") & (F.col("message") == "")).alias("without_message"))
 
 
+def stored_payloads(ledger: DataFrame) -> DataFrame:
+    """The ledger with its JSON payload as a VARIANT, null where it is malformed, and `malformed` to tell that from an absent one."""
+    v = F.try_parse_json("payload")
+    return ledger.withColumn("malformed", F.col("payload").isNotNull() & v.isNull()).withColumn("payload", v)
+
+
+def payload_codes(stored: DataFrame) -> DataFrame:
+    """Albums by status, strategy, cause and upstream code as the payload's typed paths give them; reviews without a message, and malformed payloads."""
+    at = lambda path: F.coalesce(F.nullif(F.try_variant_get("payload", f"$.{path}", "string"), F.lit("")), F.lit("none"))
+    codes = {"strategy": "strategy", "cause": "diagnostics.review_cause_code", "upstream": "diagnostics.upstream_cause_code"}
+    silent = (F.col("status") == "review") & (at("message") == "none")
+    return stored.groupBy("status", *[at(path).alias(c) for c, path in codes.items()]).agg(F.count("*").alias("albums"), F.count_if(silent).alias("without_message"), F.count_if("malformed").alias("malformed"))
+
+
 def review_list(ledger: DataFrame) -> DataFrame:
     return ledger.where("status = 'review'").select("app_id", "album_name", "message")
 
@@ -85,11 +99,26 @@ def track_report(tags: DataFrame) -> DataFrame:
     return tags.withColumn("place", F.row_number().over(Window.partitionBy("app_id").orderBy(d, n, "file_no")))
 
 
-def notification_rows(ledger: DataFrame, early: DataFrame) -> DataFrame:
-    """A message per album that did not return early: level by status, reason cut at 1000."""
+def notification_rows(ledger: DataFrame, early: DataFrame, best: DataFrame | None = None) -> DataFrame:
+    """A message per album that did not return early: level by status, reason cut at 1000.
+
+    Where the ledger has quality and archive_share they are told, and best (app_id,
+    mbid, title, score: the first candidate of each album) adds the top candidate.
+    """
     reason = F.when(F.length("confidence_reason") > 1000, F.concat(F.substring("confidence_reason", 1, 997), F.lit("..."))).otherwise(F.col("confidence_reason"))
     rows = ledger.join(early.select("app_id").distinct(), "app_id", "left_anti")
-    return rows.select("app_id", F.when(F.col("status") == "review", "warning").otherwise("info").alias("level"), F.concat(F.lit("ID: "), F.col("confidence_score").cast("string"), F.lit("%")).alias("identity"), "message", reason.alias("reason"))
+    per_cent = lambda c: F.concat(F.coalesce(c, F.lit(0)).cast("int").cast("string"), F.lit("%"))
+    identity = F.concat(F.lit("ID: "), F.col("confidence_score").cast("string"), F.lit("%"))
+    extra = []
+    if "quality" in ledger.columns:
+        identity = F.concat(identity, F.lit(" / Qual: "), per_cent(F.col("quality")))
+    if "archive_share" in ledger.columns:
+        share = F.coalesce("archive_share", F.lit(0))
+        extra.append(F.concat(F.lit("Arch "), per_cent(share), F.lit(" : Rev "), per_cent(100 - share)).alias("ratio"))
+    if best is not None:
+        rows = rows.join(best.select("app_id", F.concat(F.col("title"), F.lit(" ("), F.col("mbid").cast("string"), F.lit(", score "), F.col("score").cast("string"), F.lit(")")).alias("top_candidate")), "app_id", "left")
+        extra.append(F.col("top_candidate"))
+    return rows.select("app_id", F.when(F.col("status") == "review", "warning").otherwise("info").alias("level"), identity.alias("identity"), *extra, "message", reason.alias("reason"))
 
 
 def ledger_vs_output(ledger: DataFrame, output: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,12 @@ def rolling_quota(requests: DataFrame, seconds: int = 60, most_requests: int = 1
     return rows.select("service", "event_id", "n", "used", label.alias("label"))
 
 
+def quota_labels(n: np.ndarray, used: np.ndarray, tokens: np.ndarray, most_requests: int, most_tokens: int) -> np.ndarray:
+    """The labels of rolling_quota from the requests and tokens of the trailing windows."""
+    load = n / float(most_requests)
+    return np.select([load >= 0.9, load >= 0.7, used + tokens > 0.9 * most_tokens], ["wait", "jitter", "token_limited"], "free").astype(object)
+
+
 def daily_quota(requests: DataFrame, most: int = 1500) -> DataFrame:
     n = F.count("*")
     return requests.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w")).agg(n.alias("requests"), (n > most).alias("over")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "requests", "over")

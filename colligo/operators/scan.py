@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,6 @@ def safe_name(app_id: Column, name: Column) -> Column:
     return F.concat(app_id.cast("string"), F.lit("_"), F.regexp_replace(name, r"[^\p{L}\p{N}._-]", "_"))
 
 
-def write_by_status(rows: DataFrame, path: str) -> None:
-    rows.withColumn("item", safe_name(F.col("app_id"), F.col("album_name"))).write.partitionBy("status").parquet(path)
-
-
 def output_path(disc: Column, title: Column, fmt: Column) -> Column:
     ext = F.when(fmt.isin(*LOSSLESS), "aiff").otherwise("mp3")
     return F.concat(F.lit("disc_"), disc.cast("string"), F.lit("/"), title, F.lit("."), ext)
@@ -126,6 +124,26 @@ def enrich_tiers(t: DataFrame) -> DataFrame:
     return t.select("app_id", pick("cached_name", "store_name", "local_name").alias("name"), pick("cached_genre", "local_genre").alias("genre"), pick("cached_date", "local_date").alias("release_date"), image.alias("header_image_url"))
 
 
+def fold_tiers(rows: DataFrame, scalars: tuple[str, ...] = ("name", "genre", "release_date", "header_image_url"), lists: tuple[str, ...] = ("developers", "publishers", "tags"), key: str = "app_id") -> DataFrame:
+    """One row per key: every field from the first tier (smallest `tier`) that has something in it.
+
+    rows is the union of any number of tier tables; fields that a tier lacks are
+    null. A scalar counts unless it is blank, a list unless it has no entry but
+    blank ones, which are left out. One aggregation, one shuffle.
+    """
+    entries = lambda c: F.filter(F.col(c), lambda x: blank_to_null(x).isNotNull())
+    first = lambda value, there: F.min_by(value, F.when(there, F.col("tier")))
+    found = [first(F.col(c), blank_to_null(F.col(c)).isNotNull()).alias(c) for c in scalars]
+    found += [first(entries(c), F.size(entries(c)) > 0).alias(c) for c in lists]
+    return rows.groupBy(key).agg(*found)
+
+
+def union_tiers(tiers: list[DataFrame]) -> DataFrame:
+    """Tier tables, in their order of precedence, as one with a tier number."""
+    numbered = [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+
+
 def flatten_tracklist(t: DataFrame) -> DataFrame:
     """Numbered-key track lists to rows in numeric key order."""
     entry = "map<string,struct<discnumber:string,tracknumber:int,originalname:string,s:string>>"

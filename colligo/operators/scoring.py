@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import add
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -14,6 +18,9 @@ from colligo.functions.text import fold
 # The default weights.
 WEIGHTS = {"release_hit": 1000, "recording_hit": 1000, "own_link": 500, "parent_link": 300, "shop_link": 100, "label": 100, "count_equal": 50, "count_step": 20, "count_most": 300, "digital": 30, "year_equal": 20, "year_step": 20, "year_most": 100, "coverage": 200}
 KEY = ["app_id", "mbid"]
+#: Sites whose links name an album, and the shop that only sells it.
+SITES = {"store": "store.example.com/app/", "db": "db.example.com/app/"}
+SHOP = "shop.example.com"
 
 
 @F.pandas_udf(DoubleType())
@@ -49,29 +56,65 @@ def score_recording_hit(candidates: DataFrame, hits: DataFrame, release_tracks:
     return pairs(candidates).join(shared, KEY, "left").select(*KEY, F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), F.when(F.col("shared") > 0, WEIGHTS["recording_hit"]).otherwise(0).alias("points"))
 
 
-def score_links(candidates: DataFrame, parents: DataFrame, site: str = "store.example.com/app/", shop: str = "shop.example.com") -> DataFrame:
-    """Each kind of link once; a link counts for the parent only if it is not the album's own."""
+def link_flags(urls: Column, app_id: Column, parent: Column, sites: dict[str, str] = SITES, shop: str = SHOP) -> dict[str, tuple[str, Column]]:
+    """Note -> (weight, whether any of an array of links is of that kind); a link counts for the parent only if it is not the album's own."""
+    out = {}
+    for name, site in sites.items():
+        numbers = F.transform(urls, _number_after(site))
+        out[f"own_link:{name}"] = "own_link", F.exists(numbers, lambda n: n == app_id)
+        out[f"parent_link:{name}"] = "parent_link", F.exists(numbers, lambda n: (n == parent) & (n != app_id))
+    out["shop_link"] = "shop_link", F.exists(urls, lambda u: F.contains(u, F.lit(shop)))
+    return {k: (w, F.coalesce(c, F.lit(False))) for k, (w, c) in out.items()}
+
+
+def _number_after(site: str) -> Callable[[Column], Column]:
+    return lambda u: F.regexp_extract(u, site.replace(".", r"\.") + "([0-9]+)", 1).try_cast("long")
+
+
+def links_of(columns: tuple[str, ...]) -> Column:
+    """The links of a candidate row, without absent ones."""
+    return F.array_compact(F.array(*columns))
+
+
+def score_links(candidates: DataFrame, parents: DataFrame, sites: dict[str, str] = SITES, shop: str = SHOP, urls: tuple[str, ...] = ("url",)) -> DataFrame:
+    """Points of the links in the columns `urls`; each kind of link counts once for each site."""
     c = candidates.join(parents.select("app_id", "parent_app_id"), "app_id", "left")
-    number = F.regexp_extract("url", site.replace(".", r"\.") + "([0-9]+)", 1).try_cast("long")
-    own = F.contains("url", F.lit(site)) & (number == F.col("app_id"))
-    parent = F.contains("url", F.lit(site)) & (number == F.col("parent_app_id")) & ~own
-    flag = lambda cond, w: F.max(F.when(cond, WEIGHTS[w]).otherwise(0))
-    return c.groupBy(*KEY).agg((flag(own, "own_link") + flag(parent, "parent_link") + flag(F.contains("url", F.lit(shop)), "shop_link")).alias("points"))
+    flags = link_flags(links_of(urls), F.col("app_id"), F.col("parent_app_id"), sites, shop)
+    points = [F.max(F.when(cond, WEIGHTS[w]).otherwise(0)) for w, cond in flags.values()]
+    return c.groupBy(*KEY).agg(reduce(add, points).alias("points"))
 
 
 def score_label(candidates: DataFrame, albums: DataFrame) -> DataFrame:
     c = candidates.join(albums.select("app_id", "publisher"), "app_id")
-    p, x = F.lower("publisher"), F.lower("label")
-    return c.groupBy(*KEY).agg(F.max(F.when(F.contains(p, x) | F.contains(x, p), WEIGHTS["label"]).otherwise(0)).alias("points"))
+    return c.groupBy(*KEY).agg(F.max(F.when(label_like(F.col("publisher"), F.col("label")), WEIGHTS["label"]).otherwise(0)).alias("points"))
 
 
 def score_track_count(candidates: DataFrame, files: DataFrame, release_tracks: DataFrame) -> DataFrame:
     own = files.groupBy("app_id").agg(F.count("*").alias("n"))
     theirs = release_tracks.groupBy("mbid").agg(F.count("*").alias("m"))
     c = pairs(candidates).join(own, "app_id", "left").join(theirs, "mbid", "left")
-    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
-    points = F.when(n == m, WEIGHTS["count_equal"]).when(m > 0, -F.least(F.lit(WEIGHTS["count_most"]), WEIGHTS["count_step"] * F.abs(n - m))).otherwise(0)
-    return c.select(*KEY, points.cast("long").alias("points"))
+    return c.select(*KEY, F.coalesce(count_points(F.col("n"), F.col("m")), F.lit(0)).cast("long").alias("points"))
+
+
+def count_points(n: Column, m: Column) -> Column:
+    """Points of n local tracks against m of the release; null if the release has none to compare."""
+    n, m = F.coalesce(n, F.lit(0)), F.coalesce(m, F.lit(0))
+    return F.when(n == m, WEIGHTS["count_equal"]).when(m > 0, -F.least(F.lit(WEIGHTS["count_most"]), WEIGHTS["count_step"] * F.abs(n - m)))
+
+
+def year_points(release: Column, own: Column) -> Column:
+    """Points of two years; null if either is absent."""
+    gap = F.abs(release - own)
+    return F.when(gap == 0, WEIGHTS["year_equal"]).when(gap > 0, -F.least(F.lit(WEIGHTS["year_most"]), WEIGHTS["year_step"] * gap))
+
+
+def label_like(publisher: Column, label: Column) -> Column:
+    p, x = F.lower(publisher), F.lower(label)
+    return F.contains(p, x) | F.contains(x, p)
+
+
+def own_year(date: str = "release_date") -> Column:
+    return F.regexp_extract(date, "([0-9]{4})", 1).try_cast("int")
 
 
 def score_digital(candidates: DataFrame) -> DataFrame:
@@ -79,32 +122,66 @@ def score_digital(candidates: DataFrame) -> DataFrame:
 
 
 def score_year(candidates: DataFrame, albums: DataFrame) -> DataFrame:
-    c = candidates.join(albums.select("app_id", F.regexp_extract("release_date", "([0-9]{4})", 1).try_cast("int").alias("y")), "app_id", "left")
-    gap = F.abs(F.col("release_year") - F.col("y"))
-    points = F.when(gap == 0, WEIGHTS["year_equal"]).when(gap > 0, -F.least(F.lit(WEIGHTS["year_most"]), WEIGHTS["year_step"] * gap)).otherwise(0)
+    c = candidates.join(albums.select("app_id", own_year().alias("y")), "app_id", "left")
+    points = F.coalesce(year_points(F.col("release_year"), F.col("y")), F.lit(0))
     return c.groupBy(*KEY).agg(F.max(points).cast("long").alias("points"))
 
 
-def set_similarity(candidates: DataFrame, local: DataFrame, release_tracks: DataFrame, within_ms: int = 2000, least: float = 0.8) -> DataFrame:
+def edit_likeness(a: Column, b: Column) -> Column:
+    """One minus the edit distance over the longer text."""
+    return 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def assigned(rated: DataFrame) -> DataFrame:
+    """(app_id, mbid, matched): how many v_idx get a position of their own, in their order, each the free one with the highest sim (ties by position).
+
+    Candidates are sorted, many to an Arrow batch, and passed through once: what a
+    candidate has taken is carried on from row to row and from batch to batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        taken: set[int] = set()
+        last = None
+        done: list[tuple] = []
+        for batch in batches:
+            for app, mbid, v, position in zip(*(batch[c].to_pylist() for c in ("app_id", "mbid", "v_idx", "position")), strict=True):
+                if (app, mbid) != at:
+                    if at is not None:
+                        done.append((*at, len(taken)))
+                    at, taken, last = (app, mbid), set(), None
+                if v != last and position not in taken:
+                    taken.add(position)
+                    last = v
+            if len(done) > 10_000:
+                yield _counts(done)
+                done = []
+        if at is not None:
+            done.append((*at, len(taken)))
+        yield _counts(done)
+
+    rows = rated.repartition(*KEY).sortWithinPartitions(*KEY, "v_idx", F.desc("sim"), "position")
+    return rows.select(*KEY, F.col("v_idx").cast("long"), F.col("position").cast("long")).mapInArrow(run, "app_id long, mbid long, matched long")
+
+
+def _counts(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["app_id", "mbid", "matched"])
+
+
+def set_similarity(candidates: DataFrame, local: DataFrame, release_tracks: DataFrame, within_ms: int = 2000, least: float = 0.8, edits: bool = False) -> DataFrame:
     """Greedy one-to-one matches in local order by name, durations being near; ratio over the larger count times 200, cut.
 
-    local: app_id, v_idx, title, duration_ms.
+    local: app_id, v_idx, title, duration_ms. edits: names are compared by edit
+    distance, which Spark has itself, instead of by matching blocks.
     """
     r = release_tracks.select("mbid", "position", F.lower("title").alias("r_title"), F.col("duration_ms").alias("r_ms"))
     mine = local.select("app_id", "v_idx", F.lower("title").alias("title"), "duration_ms")
     near = (F.abs(F.col("duration_ms") - F.col("r_ms")) < within_ms) | F.col("duration_ms").isNull() | F.col("r_ms").isNull()
     all_pairs = pairs(candidates).join(mine, "app_id").join(r, "mbid").where(near)
-    rated = with_similarity(all_pairs, "title", "r_title", least).select(*KEY, "v_idx", "position", "sim")
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        for _, part in pdf.sort_values(["v_idx", "position"]).groupby("v_idx", sort=True):
-            free = part[~part["position"].isin(taken)]
-            if len(free):
-                taken.add(free.loc[free["sim"].idxmax(), "position"])
-        return pd.DataFrame({"app_id": [pdf["app_id"].iloc[0]], "mbid": [pdf["mbid"].iloc[0]], "matched": [len(taken)]})
-
-    matched = rated.groupBy(*KEY).applyInPandas(assign, "app_id long, mbid long, matched long")
+    sim = edit_likeness(F.col("title"), F.col("r_title"))
+    rated = all_pairs.withColumn("sim", sim).where(F.col("sim") > least) if edits else with_similarity(all_pairs, "title", "r_title", least)
+    matched = assigned(rated.select(*KEY, "v_idx", "position", "sim"))
     n = mine.groupBy("app_id").agg(F.count("*").alias("n"))
     m = r.groupBy("mbid").agg(F.count("*").alias("m"))
     out = pairs(candidates).join(n, "app_id").join(m, "mbid").join(matched, KEY, "left")
@@ -127,6 +204,76 @@ def title_coverage(candidates: DataFrame, local: DataFrame, release_tracks: Data
     return c.join(m, "mbid").join(covered, KEY, "left").select(*KEY, F.round(ratio, 4).alias("coverage"), F.when(ratio >= 0.8, WEIGHTS["coverage"]).otherwise(0).alias("points"))
 
 
+def candidate_evidence(candidates: DataFrame, albums: DataFrame, files: DataFrame, release_tracks: DataFrame, hits: DataFrame | None = None, more: dict[str, DataFrame] | None = None, urls: tuple[str, ...] = ("url",)) -> DataFrame:
+    """One row per candidate with score, the ordered evidence (an array of notes), title, label, year, tracks and digital.
+
+    All kinds of points are worked out in one pass over candidates: facts of its
+    album, its release and its hits are joined to a candidate's rows once they are
+    folded, and score and notes come from one list of (note, points). A kind that
+    a candidate lacks leaves no note. more: further scores (app_id, mbid, points)
+    by name, such as set_similarity's, noted with their points.
+
+    A candidate with several rows has the smallest of its titles and labels, no
+    label being `Unknown`, and its best year's points.
+    """
+    own = albums.select("app_id", "parent_app_id", "publisher", own_year().alias("y"))
+    rows = candidates.join(own, "app_id", "left")
+    flags = link_flags(links_of(urls), F.col("app_id"), F.col("parent_app_id"))
+    year = F.struct(year_points(F.col("release_year"), F.col("y")).alias("points"), F.col("release_year").alias("year"))
+    folded = rows.groupBy(*KEY).agg(
+        F.min("title").alias("title"),
+        F.coalesce(F.min("label"), F.lit("Unknown")).alias("label"),
+        F.max(F.when(year["points"].isNotNull(), year)).alias("best"),
+        F.min("release_year").alias("any_year"),
+        F.bool_or(label_like(F.col("publisher"), F.col("label"))).alias("like"),
+        F.coalesce(F.bool_or(F.contains(F.lower("medium_format"), F.lit("digital"))), F.lit(False)).alias("digital"),
+        *[F.bool_or(cond).alias(f"link{i}") for i, (_, cond) in enumerate(flags.values())],
+    )
+    wide = folded.join(files.groupBy("app_id").agg(F.count("*").alias("n")), "app_id", "left").join(release_tracks.groupBy("mbid").agg(F.count("*").alias("m")), "mbid", "left")
+    parts: list[tuple[Column, Column]] = []
+    if hits is not None:
+        wide = _with_hits(wide, hits, release_tracks)
+        parts += [(F.lit("release_hit"), F.when(F.col("hit"), WEIGHTS["release_hit"])), (_noted("recording_hit", F.col("shared")), F.when(F.col("shared") > 0, WEIGHTS["recording_hit"]))]
+    parts += [(F.lit(note), F.when(F.col(f"link{i}"), WEIGHTS[w])) for i, (note, (w, _)) in enumerate(flags.items())]
+    parts.append((F.lit("label"), F.when(F.col("like"), WEIGHTS["label"])))
+    for note, points in (("track_count", count_points(F.col("n"), F.col("m"))), ("year", F.col("best.points"))):
+        parts.append((F.when(points > 0, F.lit(note)).otherwise(_noted(note, points)), points))
+    parts.insert(-1, (F.lit("digital"), F.when(F.col("digital"), WEIGHTS["digital"])))
+    for name, points in (more or {}).items():
+        wide = wide.join(points.select(*KEY, F.col("points").alias(name)), KEY, "left")
+        parts.append((_noted(name, F.col(name)), F.nullif(F.col(name), F.lit(0))))
+    score = reduce(add, [F.coalesce(p, F.lit(0)) for _, p in parts])
+    evidence = F.array_compact(F.array(*[F.when(p.isNotNull(), note) for note, p in parts]))
+    return wide.select(*KEY, "title", "label", F.coalesce("best.year", "any_year").alias("year"), F.coalesce("m", F.lit(0)).alias("tracks"), "digital", score.cast("long").alias("score"), evidence.alias("evidence"))
+
+
+def _noted(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{name}("), value.cast("string"), F.lit(")"))
+
+
+def _with_hits(wide: DataFrame, hits: DataFrame, release_tracks: DataFrame) -> DataFrame:
+    """wide with hit (its release is among the hits) and shared (recordings of its release among the hits)."""
+    mine = hits.select("app_id", "recording_id").distinct().withColumn("_mine", F.lit(1))
+    theirs = release_tracks.select("mbid", "recording_id").distinct()
+    others = [c for c in wide.columns if c not in KEY]
+    met = wide.select(*KEY, F.struct(*others).alias("_all")).join(theirs, "mbid", "left").join(mine, ["app_id", "recording_id"], "left")
+    counted = met.groupBy(*KEY).agg(F.any_value("_all").alias("_all"), F.count("_mine").alias("shared"))
+    releases = hits.select("app_id", F.col("release_id").alias("mbid")).distinct().withColumn("hit", F.lit(True))
+    return counted.select(*KEY, "_all.*", "shared").join(releases, KEY, "left")
+
+
+def ranked_evidence(scored: DataFrame, keep: int = 5) -> DataFrame:
+    """The best `keep` candidates of each album with their rank, ties by mbid."""
+    rank = F.row_number().over(Window.partitionBy("app_id").orderBy(F.desc("score"), "mbid"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= keep)
+
+
+def strong_candidates(ranked: DataFrame) -> DataFrame:
+    """(app_id, mbid) of best candidates whose evidence ties them to the album: a link of its own or shared recordings."""
+    tied = F.exists("evidence", lambda e: F.startswith(e, F.lit("own_link:")) | F.startswith(e, F.lit("recording_hit(")))
+    return ranked.where((F.col("rank") == 1) & tied).select(*KEY)
+
+
 def rank_candidates(scores: list[DataFrame], keep: int = 5) -> DataFrame:
     """Sum of all points per candidate; the best `keep` per album, ties by mbid."""
     total = scores[0].select(*KEY, "points")

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from colligo.operators import albums as A
 from colligo.plans.registry import query
+from colligo.plans.scoring import FACTS, evidence
 
 LOCAL = "loc as (select app_id, file_no, row_number() over (partition by app_id order by disc, coalesce(filename_track, 999), stem, file_no) - 1 as v_idx, disc, filename_track as track_num, stem as title, cast(round(duration_s * 1000) as bigint) as duration_ms from local_files)"
-VOTES = "vot as (select app_id, release_id, 10 * count(*) as votes from fingerprint_hits group by app_id, release_id)"
-WINNER = VOTES + ", rel as (select mbid as release_id, 'Album ' || mbid || ' remix' as release_title, count(*) as tracks from release_tracks group by mbid), mine as (select app_id, count(*) as n, lower(string_agg(stem, ' ')) as names from local_files group by app_id), sco as (select v.app_id, v.release_id, votes + case when tracks = n then 50 else 0 end + case when contains(names, 'remix') then 30 else 0 end as score from vot v join mine using (app_id) join rel using (release_id)), win as (select app_id, release_id, score from (select *, row_number() over (partition by app_id order by score desc, release_id) as r from sco) z where r = 1)"
+VOTES = "vot as materialized (select app_id, release_id, 10 * count(*) as votes from fingerprint_hits group by app_id, release_id)"
+WINNER = VOTES + ", rel as (select mbid as release_id, 'Album ' || mbid || ' remix' as release_title, count(*) as tracks from release_tracks group by mbid), mine as (select app_id, count(*) as n, lower(string_agg(stem, ' ')) as names from local_files group by app_id), sco as (select v.app_id, v.release_id, votes + case when tracks = n then 50 else 0 end + case when contains(names, 'remix') then 30 else 0 end as score from vot v join mine using (app_id) join rel using (release_id)), win as materialized (select app_id, release_id, score from (select *, row_number() over (partition by app_id order by score desc, release_id) as r from sco) z where r = 1)"
 BOUND = LOCAL + ", " + WINNER + ", bnd as (select app_id, v_idx, release_id, position, recording_id, gap_ms from (select l.app_id, l.v_idx, w.release_id, position, recording_id, abs(l.duration_ms - r.duration_ms) as gap_ms, row_number() over (partition by l.app_id, l.v_idx order by abs(l.duration_ms - r.duration_ms), position) as k from loc l join win w using (app_id) left join release_tracks r on r.mbid = w.release_id and abs(l.duration_ms - r.duration_ms) < 3000) z where k = 1)"
 TOP = "top as (select app_id, mbid, score from (select app_id, mbid, 200 + mbid % 100 as score, row_number() over (partition by app_id order by mbid % 100 desc, mbid) as r from candidates) z where r = 1)"
 
@@ -42,7 +43,7 @@ def _(t):
     return local(t)
 
 
-@query("flatten_hits", "select app_id, 0.9::double as score, json_extract_string(response_data, '$.results[0].recordings[0].id') as recording_id, unnest([json_extract_string(response_data, '$.results[0].recordings[0].releases[0].id'), json_extract_string(response_data, '$.results[0].recordings[0].releases[1].id')]) as release_id from hits_json where json_extract_string(response_data, '$.status') = 'ok'")
+@query("flatten_hits", "select app_id, track_no, 0.9::double as score, json_extract_string(response_data, '$.results[0].recordings[0].id') as recording_id, json_extract_string(response_data, '$.results[0].recordings[0].title') as title, json_extract_string(response_data, '$.results[0].recordings[0].artists[0].name') as artist, unnest([json_extract_string(response_data, '$.results[0].recordings[0].releases[0].id'), json_extract_string(response_data, '$.results[0].recordings[0].releases[1].id')]) as release_id from hits_json where json_extract_string(response_data, '$.status') = 'ok'")
 def _(t):
     return A.flatten_hits(t.hits_json)
 
@@ -97,6 +98,12 @@ def _(t):
     return A.cross_verify(winner(t), top(t))
 
 
+@query("cross_verify_evidence", f"with {WINNER}, {FACTS}, bt1 as (select app_id, mbid, evidence from bst where rank = 1), j as (select coalesce(w.app_id, s.app_id) as app_id, w.release_id as f, s.mbid as s, evidence from win w full join bt1 s on s.app_id = w.app_id) select app_id, 'VERIFIED' as source, f as id, evidence || ';audio_and_text_agree' as evidence from j where f = s union all select app_id, 'FINGERPRINT', f, '' from j where f is not null and f is distinct from s union all select app_id, 'SEARCH', s, evidence from j where s is not null and f is distinct from s")
+def _(t):
+    best = evidence(t).where("rank = 1")
+    return A.cross_verify(winner(t), best).withColumn("evidence", F.array_join("evidence", ";"))
+
+
 @query("candidate_for_merge", f"with {WINNER}, {TOP} select coalesce(w.app_id, s.app_id) as app_id, coalesce(w.release_id, s.mbid) as id, cast(case when w.app_id is not null then 1000 else s.score end as bigint) as score from win w full join top s on s.app_id = w.app_id")
 def _(t):
     return A.candidate_for_merge(winner(t), top(t))

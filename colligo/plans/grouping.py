@@ -10,7 +10,7 @@ from colligo.plans.registry import query
 
 #: Stems and numbers of the derived files: a leading number and " (Official)" are all that they add to a title.
 STEMS = "s as (select *, lower(trim(regexp_replace(regexp_replace(regexp_replace(stem, '^[0-9]+ - ', ''), '\\(Official\\)', ''), '[^a-zA-Z0-9]+', ' ', 'g'))) as norm_stem, try_cast(regexp_extract(stem, '^([0-9]+)', 1) as int) as track_no from local_files)"
-RANKED = STEMS + ", v as (select s.*, e.title, e.artist, e.track_number, e.disc_number, e.year_tag, row_number() over (partition by s.app_id, disc, norm_stem order by case fmt when 'flac' then 1 when 'wav' then 4 else 5 end, s.file_no) as r from s left join embedded_tags e on e.app_id = s.app_id and e.file_no = s.file_no)"
+RANKED = STEMS + ", v as (select s.*, e.title, e.artist, e.track_number, e.disc_number, e.year_tag, e.album, row_number() over (partition by s.app_id, disc, norm_stem order by case fmt when 'flac' then 1 when 'wav' then 4 else 5 end, s.file_no) as r from s left join embedded_tags e on e.app_id = s.app_id and e.file_no = s.file_no)"
 
 
 @query("disc_number", "select l.app_id, l.file_no, case when coalesce(try_cast(split_part(e.disc_number, '/', 1) as int), 1) <> 1 then try_cast(split_part(e.disc_number, '/', 1) as int) else l.disc end as disc_no from local_files l join embedded_tags e on e.app_id = l.app_id and e.file_no = l.file_no")
@@ -73,6 +73,30 @@ def _(t):
     return G.album_consensus(t.embedded_tags)
 
 
+#: Groups that a fingerprint knows, derived from the recordings of the album's own tracks.
+HEARD = "hrd as (select app_id, disc, norm_stem, case when min(file_no) % 3 = 0 then 'Heard ' || norm_stem when min(file_no) % 3 = 1 then ' ' end as title, case when min(file_no) % 2 = 0 then 'Heard artist' end as artist from s group by app_id, disc, norm_stem)"
+
+
+def heard(t):
+    groups = G.with_stems(t.local_files).groupBy(*G.GROUP).agg(F.min("file_no").alias("f"))
+    title = F.when(F.col("f") % 3 == 0, F.concat(F.lit("Heard "), F.col("norm_stem"))).when(F.col("f") % 3 == 1, " ")
+    return groups.select(*G.GROUP, title.alias("title"), F.when(F.col("f") % 2 == 0, "Heard artist").alias("artist"))
+
+
+@query("track_titles", f"with {RANKED}, {HEARD}, g as (select app_id, disc, norm_stem, first(title order by r) filter (where title is not null) as tag, first(trim(regexp_replace(stem, '^[0-9]+ - ', '')) order by r) as named, cast(floor(avg(duration_s::double) * 1000) as bigint) as mean_ms from v group by app_id, disc, norm_stem) select g.app_id, g.disc, g.norm_stem, coalesce(case when trim(title) <> '' then title end, tag, named) as title, case when trim(title) <> '' then 'fingerprint' when tag is not null then 'tag' else 'file' end as title_from, mean_ms from g join hrd h on h.app_id = g.app_id and h.disc = g.disc and h.norm_stem = g.norm_stem")
+def _(t):
+    return G.track_titles(t.local_files.withColumn("duration_s", F.col("duration_s").cast("double")), t.embedded_tags, heard(t))
+
+
+def _vote(c):
+    return f"(select app_id, {c} from (select app_id, {c}, row_number() over (partition by app_id order by count(*) desc, min(file_no)) as r from vts where {c} is not null and lower({c}) <> 'unknown' group by app_id, {c}) where r = 1)"
+
+
+@query("baseline", f"with {RANKED}, {HEARD}, vts as (select v.app_id, v.file_no, case when k.app_id is null then v.album end as album, case when k.app_id is null then v.year_tag end as year_tag, case when k.app_id is null then v.artist when row_number() over (partition by v.app_id, v.disc, v.norm_stem order by v.file_no) = 1 then k.artist end as artist from v left join (select * from hrd where trim(title) <> '') k on k.app_id = v.app_id and k.disc = v.disc and k.norm_stem = v.norm_stem), ids as (select app_id from {_vote('album')} union select app_id from {_vote('artist')} union select app_id from {_vote('year_tag')}) select app_id, album, artist, year_tag from ids left join {_vote('album')} b using (app_id) left join {_vote('artist')} a using (app_id) left join {_vote('year_tag')} y using (app_id)")
+def _(t):
+    return G.baseline(t.local_files, t.embedded_tags, heard(t))
+
+
 @query("total_discs", "select app_id, max(disc) as total_discs from (select app_id, disc from local_files union all select app_id, disc from store_tracks) x group by app_id")
 def _(t):
     return G.total_discs(t.local_files, t.store_tracks)

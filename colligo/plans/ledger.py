@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colligo.operators import ledger as L
-from colligo.plans.registry import query
+from colligo.plans.registry import query, scratch
+from colligo.plans.scoring import FACTS, evidence
 
 CAUSE = "case when lower(confidence_reason) like '%timeout%' or (tracks_len = 0 and confidence_score >= 90) then 'timeout' when confidence_score < 90 then 'low_confidence' else 'validator' end"
 
@@ -76,6 +77,23 @@ def _(t):
     return L.cause_codes(t.ledger)
 
 
+def _code(path):
+    return f"coalesce(nullif(case when json_valid(payload) then json_extract_string(payload, '$.{path}') end, ''), 'none')"
+
+
+@query("payload_codes", f"select status, {_code('strategy')} as strategy, {_code('diagnostics.review_cause_code')} as cause, {_code('diagnostics.upstream_cause_code')} as upstream, count(*) as albums, count(*) filter (where status = 'review' and {_code('message')} = 'none') as without_message, count(*) filter (where payload is not null and not json_valid(payload)) as malformed from ledger_json group by all")
+def _(t):
+    path = scratch(t.spark, "ledger")
+    L.stored_payloads(t.ledger_json).write.parquet(path)
+    return L.payload_codes(t.spark.read.parquet(path))
+
+
+@query("notification_fields", f"with {FACTS} select l.app_id, case when status = 'review' then 'warning' else 'info' end as level, 'ID: ' || confidence_score || '% / Qual: ' || (l.app_id * 13 % 101) || '%' as identity, 'Arch ' || case when l.app_id % 2 = 0 then l.app_id % 101 else 0 end || '% : Rev ' || (100 - case when l.app_id % 2 = 0 then l.app_id % 101 else 0 end) || '%' as ratio, b.title || ' (' || b.mbid || ', score ' || b.score || ')' as top_candidate, message, confidence_reason as reason from ledger l left join (select * from bst where rank = 1) b on b.app_id = l.app_id where tracks_len > 0")
+def _(t):
+    judged = t.ledger.withColumns({"quality": F.col("app_id") * 13 % 101, "archive_share": F.when(F.col("app_id") % 2 == 0, F.col("app_id") % 101)})
+    return L.notification_rows(judged, t.ledger.where("tracks_len = 0"), evidence(t).where("rank = 1"))
+
+
 @query("review_list", "select app_id, album_name, message from ledger where status = 'review'")
 def _(t):
     return L.review_list(t.ledger)

@@ -10,10 +10,14 @@ from colligo.plans.albums import WINNER, winner
 from colligo.plans.registry import query
 
 FOLD = "lower(regexp_replace({0}, '[^a-zA-Z0-9]', '', 'g'))"
-STORE = f"sto as (select i.app_id, i.file_no, i.matched_v_idx as v_idx from instructions i join store_tracks s on s.app_id = i.app_id and s.v_idx = i.matched_v_idx where action = 'use_steam' union all select app_id, file_no, v_idx from (select i.app_id, file_no, v_idx, row_number() over (partition by i.app_id, file_no order by case when {FOLD.format('stem')} = {FOLD.format('title')} then 0 else 1 end, v_idx) as r from instructions i join store_tracks s on s.app_id = i.app_id and ({FOLD.format('stem')} = {FOLD.format('title')} or starts_with(lower(stem), lower(title) || ' ')) where action = 'use_fingerprint') z where r = 1)"
-RELEASE = WINNER + ", rls as (select i.app_id, file_no, position, r.title as r_title, r.disc as r_disc from instructions i join win w on w.app_id = i.app_id join release_tracks r on r.mbid = w.release_id and r.position = matched_v_idx + 1 where action = 'use_fingerprint')"
-LABELS = "lbl as (select app_id, string_agg(label, '/ ' order by pos, label) as tags from tag_ids join tag_labels using (tag_id) group by app_id)"
-FACTS = f"{STORE}, {RELEASE}, {LABELS}, fct as (select l.app_id, l.file_no, l.disc, l.stem, filename_track, e.title as e_title, e.artist as e_artist, e.track_number as e_track, e.disc_number as e_disc, e.year_tag as e_year, s.title as s_title, s.number as s_number, s.disc as s_disc, r_title, position as r_position, r_disc, r_artist, r_date, r_label, r_composer, tj.label_en as s_label, override_title, override_track, override_disc, a.name, a.developer, a.publisher, a.release_date, a.store_credits, action, a.parent_app_id, p.name as parent_name, tf.cached_genre as genre, tp.cached_genre as parent_genre, go.tags as own_tags, gp.tags as parent_tags from local_files l join embedded_tags e on e.app_id = l.app_id and e.file_no = l.file_no join instructions i on i.app_id = l.app_id and i.file_no = l.file_no join albums a on a.app_id = l.app_id left join sto x on x.app_id = l.app_id and x.file_no = l.file_no left join store_tracks s on s.app_id = x.app_id and s.v_idx = x.v_idx left join rls r on r.app_id = l.app_id and r.file_no = l.file_no left join win w on w.app_id = l.app_id left join releases rel on rel.mbid = w.release_id left join tracklist_json tj on tj.app_id = l.app_id left join overrides o on o.app_id = l.app_id and o.file_no = l.file_no left join albums p on p.app_id = a.parent_app_id left join tier_fields tf on tf.app_id = l.app_id left join tier_fields tp on tp.app_id = a.parent_app_id left join lbl go on go.app_id = l.app_id left join lbl gp on gp.app_id = a.parent_app_id)"
+STORE = f"sto as materialized (select i.app_id, i.file_no, i.matched_v_idx as v_idx from instructions i join store_tracks s on s.app_id = i.app_id and s.v_idx = i.matched_v_idx where action = 'use_steam' union all select app_id, file_no, v_idx from (select i.app_id, file_no, v_idx, row_number() over (partition by i.app_id, file_no order by case when {FOLD.format('stem')} = {FOLD.format('title')} then 0 else 1 end, v_idx) as r from instructions i join store_tracks s on s.app_id = i.app_id and ({FOLD.format('stem')} = {FOLD.format('title')} or starts_with(lower(stem), lower(title) || ' ')) where action = 'use_fingerprint') z where r = 1)"
+RELEASE = WINNER + ", iwn as materialized (select i.app_id, file_no, matched_v_idx + 1 as position, release_id from instructions i join win w on w.app_id = i.app_id where action = 'use_fingerprint'), rls as materialized (select n.app_id, n.file_no, n.position, r.title as r_title, r.disc as r_disc from iwn n join release_tracks r on r.mbid = n.release_id and r.position = n.position)"
+LABELS = "lbl as materialized (select app_id, string_agg(label, '/ ' order by pos, label) as tags from tag_ids join tag_labels using (tag_id) group by app_id)"
+#: What is known of files and of albums is joined apart, so that a query of few columns has no other order of joins.
+FILES = "fil as materialized (select l.app_id, l.file_no, l.disc, l.stem, filename_track, e.title as e_title, e.artist as e_artist, e.track_number as e_track, e.disc_number as e_disc, e.year_tag as e_year, action from local_files l join embedded_tags e on e.app_id = l.app_id and e.file_no = l.file_no join instructions i on i.app_id = l.app_id and i.file_no = l.file_no)"
+ALBUMS = "abm as materialized (select a.app_id, a.name, a.developer, a.publisher, a.release_date, a.store_credits, a.parent_app_id, r_artist, r_date, r_label, r_composer, tj.label_en as s_label, p.name as parent_name, tf.cached_genre as genre, tp.cached_genre as parent_genre, go.tags as own_tags, gp.tags as parent_tags from albums a left join win w on w.app_id = a.app_id left join releases rel on rel.mbid = w.release_id left join tracklist_json tj on tj.app_id = a.app_id left join albums p on p.app_id = a.parent_app_id left join tier_fields tf on tf.app_id = a.app_id left join tier_fields tp on tp.app_id = a.parent_app_id left join lbl go on go.app_id = a.app_id left join lbl gp on gp.app_id = a.parent_app_id)"
+PLACED = "plc as materialized (select x.app_id, x.file_no, s.title as s_title, s.number as s_number, s.disc as s_disc from sto x join store_tracks s on s.app_id = x.app_id and s.v_idx = x.v_idx)"
+FACTS = f"{STORE}, {RELEASE}, {LABELS}, {FILES}, {ALBUMS}, {PLACED}, fct as materialized (select fil.*, s_title, s_number, s_disc, r_title, position as r_position, r_disc, override_title, override_track, override_disc, abm.* exclude (app_id) from fil join abm on abm.app_id = fil.app_id left join plc s on s.app_id = fil.app_id and s.file_no = fil.file_no left join rls r on r.app_id = fil.app_id and r.file_no = fil.file_no left join overrides o on o.app_id = fil.app_id and o.file_no = fil.file_no)"
 TITLE = "coalesce(override_title, r_title, s_title, stem, e_title)"
 SOURCE = "case when override_title is not null then 'LLM_OVERRIDE' when r_title is not null then 'MBZ' when s_title is not null then 'PICS_API' else 'FILE' end"
 TRACK = "coalesce(nullif(override_track, 0), nullif(s_number, 0), nullif(r_position, 0), nullif(filename_track, 0), nullif(try_cast(split_part(e_track, '/', 1) as int), 0), 0)::int"

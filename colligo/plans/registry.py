@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +35,16 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return add
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder of the cluster, removed when the application ends; a local one only for a session on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

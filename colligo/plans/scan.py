@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colligo.operators import scan as S
-from colligo.plans.registry import query
+from colligo.plans.registry import query, scratch
+from colligo.sources import tables as T
 
 NOW = "timestamp '2024-06-01 00:00:00'"
 
@@ -56,9 +57,26 @@ def _(t):
     return S.cache_lookup(t.api_cache.select("service", "query_key").distinct(), t.api_cache, now).select("service", "query_key", "response_data", "hit")
 
 
-@query("write_by_status", "select app_id, status, app_id || '_' || regexp_replace(album_name, '[^\\p{L}\\p{N}._-]', '_', 'g') as item from ledger where status in ('archive','review')")
+@query("write_by_status", "select app_id, status, app_id || '_' || regexp_replace(album_name, '[^\\p{L}\\p{N}._-]', '_', 'g') as item from ledger where status in ('archive','review') and app_id % 3 > 0")
 def _(t):
-    return t.ledger.where("status in ('archive', 'review')").select("app_id", "status", S.safe_name(F.col("app_id"), F.col("album_name")).alias("item"))
+    folder = scratch(t.spark, "items")
+    done = t.ledger.where("status in ('archive', 'review')")
+    T.write_by_status(done, folder, version=0)
+    for _ in range(2):
+        T.write_by_status(done.where("app_id % 3 > 0"), folder, version=1)
+    parts = [T.read_by_status(t.spark, folder, s) for s in ("archive", "review")]
+    return parts[0].unionByName(parts[1]).select("app_id", "status", "item")
+
+
+@query("upsert_table", "with h as (select app_id, status, processed_at, app_id % 3 as wave from ledger) select app_id, case when wave = 1 and app_id % 2 = 0 then 'archive' else status end as status, case when wave = 1 and app_id % 2 = 0 then processed_at + interval 1 day else processed_at end as processed_at from h")
+def _(t):
+    rows = t.ledger.select("app_id", "status", "processed_at")
+    table = T.UpsertTable(t.spark, scratch(t.spark, "table"), "app_id long, status string, processed_at timestamp_ntz", ["app_id"], ["processed_at"])
+    later = rows.where("app_id % 3 = 1 and app_id % 2 = 0").withColumns({"status": F.lit("archive"), "processed_at": F.col("processed_at") + F.expr("interval 1 day")})
+    for version, batch in enumerate([rows.where("app_id % 3 > 0"), later, rows, later]):
+        table.upsert(batch.select("app_id", "status", F.col("processed_at").cast("timestamp_ntz").alias("processed_at")), version)
+    table.vacuum(keep=1)
+    return table.read()
 
 
 @query("output_path", "select app_id, file_no, 'disc_' || disc || '/' || stem || case when fmt in ('flac','wav','aiff','alac','aif') then '.aiff' else '.mp3' end as path from local_files")
@@ -110,6 +128,22 @@ def _(t):
     return S.enrich_tiers(t.tier_fields)
 
 
+def _tier(c):
+    return f"min_by({c}, tier) filter (trim({c}) <> '') as {c}"
+
+
+def _tier_list(c):
+    return f"array_to_string(list_filter(string_split(min_by({c}, tier) filter (trim({c}) <> ''), '|'), lambda x: trim(x) <> ''), '|') as {c}"
+
+
+@query("fold_tiers", f"select app_id, {', '.join(map(_tier, ('name', 'genre', 'release_date', 'header_image_url')))}, {', '.join(map(_tier_list, ('developers', 'publishers', 'tags')))} from tier_rows group by app_id")
+def _(t):
+    lists = ("developers", "publishers", "tags")
+    split = t.tier_rows.withColumns({c: F.split(c, r"\|") for c in lists})
+    tiers = [split.where(F.col("tier") == k).drop("tier", *dropped) for k, dropped in enumerate([(), ("publishers", "tags", "header_image_url"), ("genre", "release_date"), ()])]
+    return S.fold_tiers(S.union_tiers(tiers)).withColumns({c: F.array_join(c, "|") for c in lists})
+
+
 @query("flatten_tracklist", "select app_id, case k when '9' then 0 else 1 end as v_idx, coalesce(try_cast(json_extract_string(tracks_json, '$.' || '\"' || k || '\"' || '.discnumber') as int), 1) as disc, cast(k as int) as number, json_extract_string(tracks_json, '$.' || '\"' || k || '\"' || '.originalname') as title, cast(json_extract_string(tracks_json, '$.' || '\"' || k || '\"' || '.s') as double) as seconds from tracklist_json, (values ('9'), ('10')) x(k)")
 def _(t):
     return S.flatten_tracklist(t.tracklist_json)

@@ -34,7 +34,8 @@ select l.l_orderkey as app_id,
   case when l.l_returnflag <> 'R' then s.s_name end as artist,
   case when l.l_linenumber < 6 then cast(l.l_linenumber as varchar(20)) || '/7' when l.l_linenumber = 6 then '0' end as track_number,
   case when l.l_linestatus = 'O' then cast(1 + l.l_suppkey % 2 as varchar(20)) || '/2' end as disc_number,
-  cast(year(l.l_shipdate) as varchar(20)) as year_tag
+  cast(year(l.l_shipdate) as varchar(20)) as year_tag,
+  case when l.l_returnflag = 'A' then 'Album ' || cast(l.l_orderkey as varchar(20)) || case when l.l_suppkey % 2 = 0 then ' (Deluxe)' else '' end when l.l_returnflag = 'N' then 'unknown' end as album
 from lineitem l join part p on l.l_partkey = p.p_partkey join supplier s on l.l_suppkey = s.s_suppkey
 """,
     "store_tracks": r"""
@@ -47,7 +48,8 @@ select a.o_orderkey as app_id, b.o_orderkey as mbid,
   'Album ' || cast(b.o_orderkey as varchar(20)) as title,
   year(b.o_orderdate) as release_year, n.n_name as label,
   case when b.o_orderpriority in ('1-URGENT', '2-HIGH') then 'Digital Media' else 'CD' end as medium_format,
-  'https://store.example.com/app/' || cast(case b.o_orderkey % 5 when 0 then a.o_orderkey when 1 then a.o_custkey else b.o_orderkey end as varchar(20)) as url
+  'https://store.example.com/app/' || cast(case b.o_orderkey % 5 when 0 then a.o_orderkey when 1 then a.o_custkey else b.o_orderkey end as varchar(20)) as url,
+  case b.o_orderkey % 4 when 0 then 'https://db.example.com/app/' || cast(a.o_orderkey as varchar(20)) when 1 then 'https://db.example.com/app/' || cast(a.o_custkey as varchar(20)) when 2 then 'https://shop.example.com/a/' || cast(b.o_orderkey as varchar(20)) end as url2
 from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey
 join nation n on n.n_nationkey = b.o_orderkey % 25
 """,
@@ -89,6 +91,14 @@ select doc_id as app_id,
   || ', "strategy": "' || case doc_id % 4 when 0 then 'STEAM_BASED' when 1 then 'LOCAL_BASED' when 2 then 'HYBRID' else 'MBZ_BASED' end || '",}' || chr(10) || '```' as raw,
   case when n_chars > 5000 then 'length' else 'stop' end as done_reason
 from documents
+""",
+    "ledger_json": r"""
+select o_orderkey as app_id, case o_orderstatus when 'F' then 'archive' when 'O' then 'review' else 'skip' end as status,
+  case when o_orderkey % 11 = 0 then '{"strategy": "cut off' when o_orderkey % 13 = 0 then null else
+  '{"strategy": "' || case o_orderkey % 4 when 0 then 'STEAM_BASED' when 1 then 'LOCAL_BASED' when 2 then 'HYBRID' else 'MBZ_BASED' end || '", "confidence_score": ' || cast(o_orderkey * 7 % 101 as varchar(20))
+  || ', "diagnostics": {' || case when o_orderkey % 3 = 0 then '"review_cause_code": "EARLY_REVIEW_RETURN", "upstream_cause_code": "' || case when o_orderkey % 2 = 0 then 'RESPONSE_MISSING' else 'LOW_CONFIDENCE' end || '"' when o_orderkey % 5 = 0 then '"review_cause_code": "VALIDATOR"' else '' end
+  || '}, "message": "' || case when o_orderkey % 6 = 0 then '' else 'text' end || '"}' end as payload
+from orders
 """,
     "ledger": r"""
 select o.o_orderkey as app_id, case o.o_orderstatus when 'F' then 'archive' when 'O' then 'review' else 'skip' end as status,
@@ -123,6 +133,21 @@ select o.o_orderkey as app_id, o.o_custkey as parent_app_id,
   case when o.o_orderkey % 5 = 0 then cast(year(o.o_orderdate) as varchar(20)) || '-01-01' end as cached_date, case when o.o_orderkey % 2 = 0 then cast(o.o_orderkey * 1000 as varchar(20)) end as local_date,
   case when o.o_orderkey % 7 = 0 then 'https://img.example.com/' || cast(o.o_orderkey as varchar(20)) || '.jpg' end as cached_image, case when o.o_orderkey % 2 = 1 then 'logo' end as local_logo
 from orders o join customer c on o.o_custkey = c.c_custkey
+""",
+    "tier_rows": r"""
+select o_orderkey as app_id, 0 as tier, case when o_orderkey % 3 = 0 then 'cached ' || cast(o_orderkey as varchar(20)) when o_orderkey % 3 = 1 then ' ' end as name,
+  case when o_orderkey % 4 = 0 then o_orderpriority end as genre, case when o_orderkey % 5 = 0 then '2001-01-01' end as release_date, case when o_orderkey % 7 = 0 then 'https://img.example.com/c.jpg' end as header_image_url,
+  case when o_orderkey % 6 = 0 then 'Dev A|Dev B' else '' end as developers, case when o_orderkey % 2 = 0 then 'Pub A' end as publishers, case when o_orderkey % 8 = 0 then 'Tag 1| |Tag 2' end as tags
+from orders where o_orderkey % 2 = 0
+union all
+select o_orderkey, 1, case when o_orderkey % 2 = 0 then 'store ' || cast(o_orderkey as varchar(20)) end, case when o_orderkey % 9 = 0 then 'Genre S' end, '2002-02-02', null, case when o_orderkey % 4 = 1 then 'Dev S' end, null, null
+from orders where o_orderkey % 3 < 2
+union all
+select o_orderkey, 2, 'bridge ' || cast(o_orderkey as varchar(20)), null, null, case when o_orderkey % 5 = 1 then 'https://img.example.com/b.jpg' end, case when o_orderkey % 3 = 1 then 'Dev X|Dev Y|Dev Z' end, 'Pub X|Pub Y', 'Tag X'
+from orders where o_orderkey % 5 < 3
+union all
+select o_orderkey, 3, 'local ' || cast(o_orderkey as varchar(20)), o_orderstatus, cast(o_orderkey * 1000 as varchar(20)), 'https://img.example.com/l.jpg', 'Dev L', 'Pub L', 'Tag L|Tag M'
+from orders
 """,
     "overrides": r"""
 select app_id, file_no,
@@ -156,8 +181,8 @@ select o_orderkey as app_id,
 from orders
 """,
     "hits_json": r"""
-select o_orderkey as app_id,
-  '{"status": "' || case when o_orderkey % 10 = 0 then 'error' else 'ok' end || '", "results": [{"score": 0.9, "recordings": [{"id": "r' || cast(o_custkey as varchar(20)) || '", "title": "T", "releases": [{"id": "m' || cast(o_orderkey % 50 as varchar(20)) || '"}, {"id": "m1"}]}]}]}' as response_data
+select o_custkey as app_id, o_orderkey as track_no,
+  '{"status": "' || case when o_orderkey % 10 = 0 then 'error' else 'ok' end || '", "results": [{"score": 0.9, "recordings": [{"id": "r' || cast(o_custkey as varchar(20)) || '", "title": "T' || cast(o_orderkey % 7 as varchar(20)) || '"' || case when o_orderkey % 3 > 0 then ', "artists": [{"name": "A' || cast(o_custkey as varchar(20)) || '"}, {"name": "B"}]' else '' end || ', "releases": [{"id": "m' || cast(o_orderkey % 50 as varchar(20)) || '"}, {"id": "m1"}]}]}]}' as response_data
 from orders
 """,
 }
