@@ -1,4 +1,11 @@
-"""Corpus preparation: each stage takes (spark, docs, sf_dir) and returns the documents it keeps; the last packs them."""
+"""Corpus preparation: each stage takes (spark, docs, sf_dir) and returns the documents it keeps; the last packs them.
+
+Defined results: a null or empty text is no toxic one, loses no line, has no near
+duplicate and is packed as its end id; rows that repeat an id and text are one
+document to line dedup and near-dedup and rows of their own to mixing and packing;
+rows without an id take part as their operators say; very long texts are handled
+whole; a table of no rows gives no rows; extra columns of documents do not pass.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +16,6 @@ from colligo.llm import common, line_dedup, minhash, mixing, packing, queries, t
 
 #: None: kernel scores, alignment and tokenisation can't be written in SQL; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
-#: Share of its words by which a document counts as a copy of what stands in earlier ones, as for near duplicates.
-LOST = 0.8
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -21,14 +26,12 @@ def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the blocks that an earlier one holds. n_chars follows the text.
+    """Documents without the blocks that an earlier one holds; one that has no text of its own left goes. n_chars follows the text.
 
-    A document that loses LOST of its words or more is a near copy of earlier ones
-    and goes: what it has left are the lines in which it differs, which no later
-    stage could tell from a document of its own.
+    A near copy keeps the lines in which it differs: they stand nowhere else.
     """
-    cut = line_dedup.line_dedup(docs.select(*COLUMNS), lost_col="lost")
-    left = cut.where(F.col("lost") < LOST)
+    cut = line_dedup.line_dedup(docs.select(*COLUMNS))
+    left = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", length).select(*COLUMNS)
 
