@@ -64,13 +64,12 @@ def bucket_components(
     pairs = with_leaders(left, columns).where(close("_u", "_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
     labels = components(labels.union(staged(confirm(pairs), "confirmed", TEXT_ROWS)))
     left = apart(extra)
-    # A pair with several common keys is met at the first of them only.
-    short = F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    left = staged(left.join(left.groupBy("id").agg(F.sort_array(F.collect_set(short)).alias("keys")), "id"), "rest")
+    # A pair with several common keys is met at the first of them only; keys are compared whole, as parts of two may be alike.
+    left = staged(left.join(left.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")), "id"), "rest")
     columns = ["id", "n", "comp", "keys", *columns]
-    a = left.select("key", short.alias("short"), *[F.col(c).alias(f"{c}_u") for c in columns])
+    a = left.select("key", *[F.col(c).alias(f"{c}_u") for c in columns])
     b = left.select("key", *[F.col(c).alias(f"{c}_v") for c in columns])
-    first = F.element_at(F.array_intersect("keys_u", "keys_v"), 1) == F.col("short")
+    first = F.element_at(F.array_intersect("keys_u", "keys_v"), 1) == F.col("key")
     # Members of a large bucket are dealt over tasks; each meets all the others there.
     rest = spread_join(a, b, "key", "id_u", BUCKET_ROWS).where((F.col("comp_u") < F.col("comp_v")) & plausible("_u", "_v") & close("_u", "_v") & first)
     return components(labels.union(staged(confirm(rest.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()), "confirmed", TEXT_ROWS)))
