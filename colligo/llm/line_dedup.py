@@ -14,9 +14,9 @@ The runs of a pair are aligned with patience diff: runs that are unique in both
 texts and in increasing order are fixed, gaps between them are aligned again (by
 equal occurrences where nothing is unique), and matches are extended to equal
 neighbours. Aligned blocks have at least `block_words` words and are deleted from
-the later document, wherever it repeats them. Passages in another order are
-found by aligning what is left again, `rounds` times at most; what so many
-alignments could not bring into order stays.
+the later document. Runs that the alignment leaves because they stand in another
+order, or stand in the later document more often, are dealt to further increasing
+alignments all at once, in one sorted pass, until none is left.
 
 Documents are ordered by id, nulls last, then by a hash of the text.
 
@@ -24,13 +24,13 @@ Defined results: rows that repeat an id and text are one document and all get
 its result; null and empty texts stay as they are; a text of which every line
 is deleted becomes empty; blank lines go with the block that encloses them; an
 empty table gives an empty table; all columns of the input stay, whatever their
-names; a pair of very long texts takes at most `rounds` sorted passes.
+names; a pair of very long texts takes one alignment and one sorted pass.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +42,6 @@ from colligo.llm.common import spread_join, staged, text_or_empty
 
 SPACES = r"[\x20\x09-\x0D]+"
 BLOCK_WORDS = 16
-ROUNDS = 16
 #: Pairs of one first document that a task aligns together, about.
 FIRST_ROWS = 512
 
@@ -134,34 +133,59 @@ def keys_of(hashes: list[int], words: list[int], block_words: int) -> set[int]:
     return out - {None}
 
 
-def common_blocks(a: list[int], a_words: list[int], b: list[int], b_words: list[int], block_words: int = BLOCK_WORDS, rounds: int = ROUNDS) -> list[int]:
+def chains(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """All pairs dealt to sequences that increase in both places; each pair goes on the sequence that ends closest below it."""
+    ends: list[int] = []
+    made: list[list[tuple[int, int]]] = []
+    for i, j in sorted(pairs, key=lambda p: (p[0], -p[1])):
+        # Ends fall along the list, so their negatives rise.
+        at = bisect_right(ends, -j)
+        if at == len(ends):
+            ends.append(-j)
+            made.append([(i, j)])
+        else:
+            ends[at] = -j
+            made[at].append((i, j))
+    return made
+
+
+def common_blocks(a: list[int], a_words: list[int], b: list[int], b_words: list[int], block_words: int = BLOCK_WORDS) -> list[int]:
     """Positions of b in aligned blocks that a holds too. Lines are given by hashes and words; those without a word match nothing."""
     ia, ib = ([i for i, w in enumerate(ws) if w > 0] for ws in (a_words, b_words))
     x, y = [a[i] for i in ia], [b[i] for i in ib]
     a_keys, _ = runs(x, [a_words[i] for i in ia], block_words)
     b_keys, sizes = runs(y, [b_words[i] for i in ib], block_words)
     both = set(a_keys) & set(b_keys) - {None}
-    of_a = [i for i, k in enumerate(a_keys) if k in both]
+    of_a, of_b = ([i for i, k in enumerate(keys) if k in both] for keys in (a_keys, b_keys))
     gone: set[int] = set()
-    for _ in range(rounds):
-        left = [j for j, k in enumerate(b_keys) if k in both]
-        if not left:
-            break
-        aligned = set()
-        for i, j in patience([a_keys[i] for i in of_a], [b_keys[j] for j in left]):
-            i, j = of_a[i], left[j]
-            aligned.add(b_keys[j])
-            lo, hi = 0, sizes[j]
-            while i + hi < len(x) and j + hi < len(y) and j + hi not in gone and x[i + hi] == y[j + hi]:
-                hi += 1
-            while i - lo > 0 and j - lo > 0 and j - lo - 1 not in gone and x[i - lo - 1] == y[j - lo - 1]:
-                lo += 1
-            gone.update(range(j - lo, j + hi))
-        # What is aligned once is deleted wherever b repeats it.
-        for j in left:
-            if b_keys[j] in aligned:
-                gone.update(range(j, j + sizes[j]))
-        both -= aligned
+
+    def take(i: int, j: int) -> None:
+        lo, hi = 0, sizes[j]
+        while i + hi < len(x) and j + hi < len(y) and j + hi not in gone and x[i + hi] == y[j + hi]:
+            hi += 1
+        while i - lo > 0 and j - lo > 0 and j - lo - 1 not in gone and x[i - lo - 1] == y[j - lo - 1]:
+            lo += 1
+        gone.update(range(j - lo, j + hi))
+
+    met = set()
+    for i, j in patience([a_keys[i] for i in of_a], [b_keys[j] for j in of_b]):
+        take(of_a[i], of_b[j])
+        met.add(of_b[j])
+    # What the alignment could not bring into order: its other alignments, all at once. The n-th occurrence goes
+    # with the n-th, those beyond with the last.
+    where: dict[int, list[int]] = defaultdict(list)
+    for i in of_a:
+        where[a_keys[i]].append(i)
+    seen: Counter = Counter()
+    left = []
+    for j in of_b:
+        if j not in met:
+            places = where[b_keys[j]]
+            left.append((places[min(seen[b_keys[j]], len(places) - 1)], j))
+            seen[b_keys[j]] += 1
+    for chain in chains(left):
+        for i, j in chain:
+            take(i, j)
     out = {ib[j] for j in gone}
     for j in gone:
         if j + 1 in gone:
@@ -169,7 +193,7 @@ def common_blocks(a: list[int], a_words: list[int], b: list[int], b_words: list[
     return sorted(out)
 
 
-def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, lines): the numbers (from 0) of the lines to delete from each document that loses any; doc is a struct (no_id, id, tie)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     doc = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie"))
@@ -194,7 +218,7 @@ def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS, rounds: int = ROU
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sides = [map(np.ndarray.tolist, pdf[c]) for c in ("first_hashes", "first_words", "hashes", "words")]
-            lines = [common_blocks(*x, block_words, rounds) for x in zip(*sides, strict=True)]
+            lines = [common_blocks(*x, block_words) for x in zip(*sides, strict=True)]
             out = pdf[["no_id", "id", "tie"]].assign(lines=lines)
             yield out[[len(x) > 0 for x in lines]]
 
@@ -203,20 +227,18 @@ def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS, rounds: int = ROU
     return found.groupBy(F.struct("no_id", "id", "tie").alias("doc")).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
 
 
-def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = "n_removed", lost_col: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = "n_removed") -> DataFrame:
     """docs with common blocks deleted from later documents.
 
-    removed_col, if given, has the number of deleted lines, lost_col the share of the text's words that went with them.
+    removed_col, if given, has the number of deleted lines.
     """
-    gone = staged(deletions(docs, block_words, rounds, id_col, text_col), "gone").select(F.when(~F.col("doc.no_id"), F.col("doc.id")).alias("_id"), F.col("doc.tie").alias("_tie"), F.col("lines").alias("_lines"))
+    gone = staged(deletions(docs, block_words, id_col, text_col), "gone").select(F.when(~F.col("doc.no_id"), F.col("doc.id")).alias("_id"), F.col("doc.tie").alias("_tie"), F.col("lines").alias("_lines"))
     whole = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     wide = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(whole) == gone["_tie"]), "left")
     lines = gone["_lines"]
     dead = F.map_from_arrays(lines, lines)
     kept = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.map_contains_key(dead, i)), "\n")
     text = F.when(lines.isNotNull(), kept).otherwise(docs[text_col])
-    out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in (removed_col, lost_col)]
-    words = lambda t: F.size(F.filter(F.split(t, SPACES), lambda w: w != ""))
-    lost = F.when(lines.isNotNull(), 1 - words(kept) / F.greatest(words(whole), F.lit(1))).otherwise(0.0)
-    extra = {removed_col: F.coalesce(F.size(lines), F.lit(0)).cast("long"), lost_col: lost}
-    return wide.select(*out, *[v.alias(k) for k, v in extra.items() if k])
+    out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c != removed_col]
+    extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []
+    return wide.select(*out, *extra)

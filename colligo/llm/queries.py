@@ -122,7 +122,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), block_words=16, rounds=16)
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), block_words=16)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
