@@ -156,12 +156,13 @@ def best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule
     return where
 
 
-def pack_pieces(pieces: DataFrame, partitions: int, capacity: int = 2048, max_docs: int | None = None, max_attention: float | None = None, weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "residual_norm") -> DataFrame:
+def pack_pieces(pieces: DataFrame, partitions: int, capacity: int = 2048, max_docs: int | None = None, max_attention: float | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "residual_norm") -> DataFrame:
     """Adds sequence_id and offset to rows of PIECES under token, document-count and attention-cost capacities.
 
     max_docs and max_attention default to values that a full sequence of single
-    tokens just reaches, so that only the token capacity binds. A piece whose own
-    cost exceeds max_attention is an error.
+    tokens just reaches, so that only the token capacity can refuse a piece; all
+    three residuals weigh alike in choosing among the sequences that hold it. A
+    piece whose own cost exceeds max_attention is an error.
     """
     caps = np.array([capacity, max_docs or capacity, max_attention or float(capacity) ** 2])
     w = np.array(weights)
