@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from colligo.llm import common, components, html_extract, langid, line_dedup, media, minhash, mixing, packing, pii, queries, shingles, simhash, toxicity
+from colligo.llm import buckets, common, components, html_extract, langid, line_dedup, media, minhash, mixing, packing, pii, queries, shingles, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -107,10 +107,29 @@ def test_reversed_long_texts_take_bounded_time():
     a = list(range(1, 20_001))
     began = time.time()
     found = line_dedup.common_blocks(a, [9] * 20_000, a[::-1], [9] * 20_000, 8)
-    assert len(found) == line_dedup.ROUNDS and time.time() - began < 10
+    assert found == list(range(20_000)) and time.time() - began < 10
     assert line_dedup.common_blocks(a, [9] * 20_000, a[10_000:] + a[:10_000], [9] * 20_000, 8) == list(range(20_000))
 
 
+def test_passages_in_any_order_are_deleted():
+    """400 common lines, shuffled or reversed, with lines of the later text's own between and repeats."""
+    rng = np.random.default_rng(12)
+    a = list(range(1, 401))
+    for b in (a[::-1], rng.permutation(a).tolist(), rng.permutation(a * 2).tolist()):
+        own = [x for i, v in enumerate(b) for x in ((v, -i - 1) if i % 3 == 0 else (v,))]
+        found = line_dedup.common_blocks(a, [16] * len(a), own, [16] * len(own))
+        assert found == [i for i, v in enumerate(own) if v > 0]
+
+
+def test_chains_hold_every_pair_once():
+    rng = np.random.default_rng(13)
+    for _ in range(100):
+        pairs = sorted({(int(x), int(y)) for x, y in rng.integers(0, 12, (15, 2))})
+        chains = line_dedup.chains(pairs)
+        assert sorted(p for c in chains for p in c) == pairs
+        assert all(x[0] < y[0] and x[1] < y[1] for c in chains for x, y in zip(c, c[1:], strict=False))
+
+
 def test_patience_is_a_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -594,6 +613,18 @@ def test_vector_best_fit_holds_every_capacity():
         assert set(where) == set(range(where.max() + 1))
 
 
+def test_documents_and_attention_choose_among_sequences():
+    """Equal weights place pieces otherwise than tokens alone, in no more sequences."""
+    rng = np.random.default_rng(21)
+    size = np.minimum(2048, np.exp(rng.normal(5, 1, 3000)).astype(int) + 1).astype(float)
+    demand, caps = np.stack([size, np.ones(len(size)), size * size], axis=1), np.array([2048.0, 2048.0, 2048.0**2])
+    alone, all_ = (packing.best_fit(demand, caps, np.array(w)) for w in ((1.0, 0.0, 0.0), (1.0, 1.0, 1.0)))
+    shape = lambda bins: sorted(tuple(sorted(size[bins == b])) for b in np.unique(bins))
+    assert shape(alone) != shape(all_)
+    assert len(np.unique(all_)) <= len(np.unique(alone)) + 1
+    assert all(size[all_ == b].sum() <= 2048 for b in np.unique(all_))
+
+
 def test_packing_odd_rows(odd, empty):
     got = packing.pack_documents(odd, queries.tokenizer_path())
     assert got.where("piece = 0").count() == len(ODD)
@@ -655,6 +686,16 @@ def test_pigeonhole_keys():
         assert x & y
 
 
+def test_links_of_keys_with_equal_low_bits(spark):
+    """2 and 3 are linked and meet in one bucket only; each has another key, and those two agree in their low bits."""
+    meet, x, y = (5 << 31) | 100, (1 << 31) | 7, (2 << 31) | 7
+    probes = [(meet, 1), (meet, 2), (meet, 3), (x, 2), (x, 4), (y, 3), (y, 5), *[(k, i) for k in range(200, 206) for i in (1, k)]]
+    rows_ = spark.createDataFrame([(k, i, 1) for k, i in probes], "key long, id long, n int")
+    only = lambda pairs: pairs.where("least(u, v) = 2 and greatest(u, v) = 3")
+    got = buckets.bucket_components(rows_, only, lambda a, b: F.lit(True))
+    assert [(r.u, r.v) for r in got.collect()] == [(3, 2)]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)], "u long, v long")
     got = {r.u: r.v for r in components.components(links).collect()}
@@ -701,8 +742,8 @@ def test_pipeline_stages(spark):
     assert got.select("sequence_id").distinct().count() > 10
 
 
-def test_line_dedup_stage_drops_what_is_copied(spark):
-    """Copies and near copies of earlier documents go, a document with a copied passage keeps its own lines."""
+def test_line_dedup_stage_loses_no_text_of_its_own(spark):
+    """Copies of earlier documents go; near copies, and documents with a copied passage, keep their own lines."""
     import corpus_pipeline as p
 
     lines = [" ".join(f"w{10 * k + i}" for i in range(20)) for k in range(10)]
@@ -710,7 +751,29 @@ def test_line_dedup_stage_drops_what_is_copied(spark):
     rows_ = [(i, "\n".join(x), "en", "a", len("\n".join(x))) for i, x in texts.items()]
     got = {r.doc_id: (r.text, r.n_chars) for r in p.dedup_lines(spark, spark.createDataFrame(rows_, SCHEMA), SF).collect()}
     own = "\n".join(texts[4][:3])
-    assert got == {1: (rows_[0][1], rows_[0][4]), 4: (own, len(own)), 5: ("other words", 11)}
+    assert got == {1: (rows_[0][1], rows_[0][4]), 3: ("edited line of few words", 24), 4: (own, len(own)), 5: ("other words", 11)}
+
+
+def test_pipeline_stages_lose_no_line_of_clean_documents(spark):
+    """Every line of the documents that toxicity keeps stands in what line dedup keeps."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*p.COLUMNS)
+    lines = lambda df: {" ".join(x.split()) for r in df.select("text").collect() for x in (r.text or "").split("\n")} - {""}
+    assert lines(p.dedup_lines(spark, docs, SF)) == lines(docs)
+
+
+@pytest.mark.parametrize("case", ["empty", "odd"])
+def test_pipeline_stages_on_odd_rows(spark, case, empty, odd):
+    import corpus_pipeline as p
+
+    given = (empty if case == "empty" else odd.drop("n")).select(*p.COLUMNS)
+    docs = given
+    for name, stage in p.STAGES[1:-1]:
+        docs = common.staged(stage(spark, docs, SF), "stage")
+        assert docs.columns == p.COLUMNS, name
+    packed = p.STAGES[-1][1](spark, docs, SF)
+    assert packed.count() >= docs.count() and (case == "odd" or packed.count() == 0)
 
 
 def test_staged_bounds_batches_of_its_write_only(spark):
