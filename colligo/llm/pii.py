@@ -62,6 +62,10 @@ CONTEXT = 256
 _CONTEXT = r"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){1,%d}+(?:[0-9().-][^\x20\x09-\x0D]*+[\x20\x09\x0B-\x0D]*+)*+" % CONTEXT
 #: What is not a letter at both ends of a token.
 _ENDS = r"^\P{L}++|(?<!\P{L})\P{L}++$"
+#: The same for all tokens of a text at once, and tokens with a digit or @.
+_SIGN, _SPACE = r"[\P{L}&&[^\x20\x09-\x0D]]", r"\x20\x09-\x0D"
+_ALL_ENDS = rf"(?<![^{_SPACE}]){_SIGN}++|(?<!{_SIGN}){_SIGN}++(?![^{_SPACE}])"
+_NUMBERED = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -135,7 +139,7 @@ def is_term(token: Column) -> Column:
 
 def terms_of(text: Column) -> Column:
     """The distinct terms of a text or a part of one."""
-    tokens = F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda t: ~t.rlike("[0-9@]")), stripped)
+    tokens = F.split(F.regexp_replace(F.regexp_replace(text, _NUMBERED, ""), _ALL_ENDS, ""), r"[\x20\x09-\x0D]+")
     return F.array_distinct(F.transform(F.filter(tokens, lambda t: F.length(t) >= MIN_LETTERS), F.lower))
 
 
@@ -161,10 +165,13 @@ def disclosing_terms(rows: DataFrame, ents: DataFrame, z: float = 1.0, generalis
     seen = ents.select("c", "terms", F.explode("es").alias("e")).select("c", "e", F.explode("terms").alias("term"))
     pairs = seen.groupBy("term", "e").agg(F.count("*").alias("n_te"), F.countDistinct("c").alias("lines"))
     n_e = ents.select(F.explode("es").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    held = rows.select(contexts(F.col("text")).alias("cs"))
-    n = held.agg(F.sum(F.size("cs"))).first()[0] or 0
-    # Counted where they are read, so that one row for each term and task is shuffled.
-    n_t = held.select(F.explode("cs").alias("line")).select(F.explode(terms_of(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # One pass over the corpus: contexts are counted as the term "" that each has. Other terms count where one beside an
+    # entity has their bit, and are summed where they are read, so that one row for each term and task is shuffled.
+    bits = slot_bits(seen.select("term").distinct())
+    lines = rows.select(F.explode(contexts(F.col("text"))).alias("line"), bits.scalar().alias("bits"))
+    terms = F.array_append(F.filter(terms_of(F.col("line")), lambda t: marked(t, F.col("bits"))), F.lit(""))
+    n_t = staged(lines.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "counts")
+    n = n_t.where("term = ''").agg(F.sum("n_t")).first()[0] or 0
     counted = pairs.join(n_t, "term").join(n_e, "e")
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
     # Trials are as many as distinct contexts make of the share.
@@ -200,11 +207,9 @@ def term_spans(rows: DataFrame, telling: DataFrame) -> DataFrame:
     """
     bits = slot_bits(telling)
     texts = rows.select("id", F.xxhash64("text").alias("tie"), "text", bits.scalar().alias("bits"))
-    # Only lines that contain a telling term are cut into tokens.
+    # Only lines with a term that passes are cut into tokens with their places.
     lines = let(F.split("text", "\n"), lambda ls: let(ends(F.transform(ls, lambda x: F.length(x) + 1)), lambda e: F.transform(ls, lambda x, i: F.struct((e[i] - F.length(x) - 1).alias("at"), x.alias("line")))))
-    holds = lambda keys: F.filter(lines, lambda x: let(F.lower(x["line"]), lambda low: F.exists(keys, lambda k: F.contains(low, k))))
-    none = F.array().cast("array<struct<at:int,line:string>>")
-    near = let(F.filter(terms_of(F.col("text")), lambda t: marked(t, F.col("bits"))), lambda keys: F.when(F.size(keys) > 0, holds(keys)).otherwise(none))
+    near = F.filter(lines, lambda x: F.exists(terms_of(x["line"]), lambda t: marked(t, F.col("bits"))))
     tokens = texts.select("id", "tie", F.explode(near).alias("x")).select("id", "tie", "x.at", F.explode(matches(F.col("x.line"), TOKEN, is_term)).alias("m"))
     lead = F.length("m.value") - F.length(F.regexp_replace("m.value", r"^\P{L}++", ""))
     word = stripped(F.col("m.value"))
