@@ -21,9 +21,8 @@ whole; an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
-from itertools import accumulate, combinations
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +32,8 @@ from colligo.llm.common import staged, text_or_empty
 
 LANES = 0x0000000100000001
 BLOCKS = 6
-#: Bytes of texts in a bucket of the id order, about, and buckets at most (beyond, buckets grow; a window spills).
-BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
+#: Bytes of texts in a bucket of the id order, about.
+BUCKET_BYTES = 8 << 20
 _NO_ID = -(2**63)
 
 
@@ -62,45 +61,32 @@ def signed_bits() -> Column:
 def in_id_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """bucket, rid, next_rid, id, text and the next row's text, by ascending id, the last row's next being the first.
 
-    Rows go to buckets by quantiles of the id, as many as the texts' bytes ask
-    for, and a frequent id's (or absent ids') rows to several by the hash of
-    their text, the second key of the order. The first row of each bucket is also
-    dealt to the bucket before it, so that no window spans more than a bucket.
+    Rows are dealt to buckets by ranges of id, hash of the text and place in the
+    input, as many as the texts' bytes ask for, so that no frequent id (nor absent
+    ones) makes a large bucket; they are stored with their place in it. The first row
+    of each bucket is also dealt to the bucket before it, so that no window spans
+    more than a bucket. Nothing but a number of bytes reaches the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("key"), text_or_empty(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("key"), text_or_empty(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes)))
-    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts))).first()[0] or []
-    # Each distinct cut with the number of its repeats, and of all repeats before it; two levels, so that a row is
-    # compared with about 2 * sqrt(cuts) of them.
-    often = sorted(Counter(cuts).items())
-    before = [0, *accumulate(m for _, m in often)]
-    step = max(1, int(len(often) ** 0.5))
-    made = [F.struct(F.lit(c).cast("long").alias("c"), F.lit(m).alias("m"), F.lit(n).alias("n")) for (c, m), n in zip(often, before, strict=False)] or [F.struct(F.lit(_NO_ID).cast("long").alias("c"), F.lit(1).alias("m"), F.lit(0).alias("n"))]
-    fine = F.array(*[F.array(*made[i : i + step]) for i in range(0, len(made), step)])
-    coarse = F.array(*[F.lit(often[i][0]).cast("long") for i in range(0, len(often), step)] or [F.lit(_NO_ID).cast("long")])
-    rows = rows.withColumn("f", F.element_at(fine, F.greatest(F.lit(1), F.size(F.filter(coarse, lambda c: c <= F.col("key"))))))
-    below = F.filter("f", lambda x: x["c"] <= F.col("key"))
-    rows = rows.withColumn("at", F.when(F.size(below) > 0, F.element_at(below, -1))).drop("f")
-    share = F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("at.m")), F.col("at.m") - 1)
-    rows = rows.withColumn("raw", F.when(F.col("at").isNull(), 0).when(F.col("at.c") == F.col("key"), F.col("at.n") + share + 1).otherwise(F.col("at.n") + F.col("at.m")).cast("long")).drop("at")
-    # One row a bucket comes to the driver, MOST_BUCKETS and one at most; empty buckets get no number.
-    firsts = sorted(rows.groupBy("raw").agg(F.min(F.struct("key", "tie")).alias("first")).select("raw", "first.*").collect())
-    last = len(firsts) - 1
-    numbered = spark.createDataFrame([(r.raw, i, r.key, r.tie) for i, r in enumerate(firsts)], "raw long, bucket long, first_key long, first_tie long")
-    rows = rows.join(F.broadcast(numbered), "raw")
-    place = lambda b, ghost: F.struct(b.cast("long").alias("bucket"), F.lit(ghost).alias("ghost"))
-    starts = (F.col("key") == F.col("first_key")) & (F.col("tie") == F.col("first_tie"))
-    ahead = F.when(F.col("bucket") > 0, place(F.col("bucket") - 1, 1)).otherwise(place(F.lit(last), 2))
-    dealt = rows.select("key", "text", "tie", F.explode(F.array_compact(F.array(place(F.col("bucket"), 0), F.when(starts, ahead)))).alias("p")).select("p.*", "key", "text", "tie")
-    dealt = dealt.repartition(max(1, last + 1), "bucket")
-    order = Window.partitionBy("bucket").orderBy("ghost", "key", "tie")
-    seen = dealt.select("*", F.row_number().over(order).alias("n"), F.lead("text").over(order).alias("next_text"), F.lead("ghost").over(order).alias("next_ghost")).where("ghost = 0")
-    start = lambda b: F.shiftleft(b, 34) + 1
-    rid = F.shiftleft(F.col("bucket"), 34) + F.col("n")
-    after = F.when(F.col("next_ghost") == 0, rid + 1).when(F.col("next_ghost") == 1, start(F.col("bucket") + 1)).otherwise(F.lit(1).cast("long"))
-    return seen.select("bucket", rid.alias("rid"), after.alias("next_rid"), F.when(F.col("key") != _NO_ID, F.col("key")).alias("id"), "text", "next_text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    order = [F.col("key"), F.xxhash64("text"), F.col("place")]
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # An increasing id has the number of the range in its upper bits and the place there in its lower 33.
+    numbered = dealt.select("key", "text", F.monotonically_increasing_id().alias("at"))
+    stored = staged(numbered.select((F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n"), F.shiftright("at", 33).alias("bucket"), "key", "text"), "order")
+    stored = stored.withColumn("rid", F.shiftleft("bucket", 34) + F.col("n"))
+    # One number a bucket goes through this window; empty ranges have none.
+    firsts = stored.where("n = 1")
+    before = Window.orderBy("bucket")
+    ahead = firsts.select("bucket", F.lag("bucket").over(before).alias("_before"), F.max("bucket").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
+    ahead = ahead.select("bucket", F.coalesce("_before", "_last").alias("_to"))
+    ghosts = firsts.join(ahead, "bucket").select(F.col("_to").alias("bucket"), F.lit(1).alias("ghost"), "n", "rid", "key", "text")
+    both = stored.select("bucket", F.lit(0).alias("ghost"), "n", "rid", "key", "text").unionByName(ghosts).repartition(parts, "bucket")
+    w = Window.partitionBy("bucket").orderBy("ghost", "n")
+    seen = both.select("*", F.lead("text").over(w).alias("next_text"), F.lead("rid").over(w).alias("next_rid")).where("ghost = 0")
+    return seen.select("bucket", "rid", "next_rid", F.when(F.col("key") != _NO_ID, F.col("key")).alias("id"), "text", "next_text")
 
 
 def likeness(a: Column, b: Column) -> Column:
