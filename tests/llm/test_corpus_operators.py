@@ -214,6 +214,16 @@ def test_next_documents_over_many_buckets(spark):
     assert {r.rid: r.next_rid for r in got} == dict(zip(rids, rids[1:] + rids[:1], strict=True)) and len({r.bucket for r in got}) > 30
 
 
+def test_the_plan_of_the_id_order_does_not_grow_with_buckets(spark):
+    d = spark.createDataFrame([(i, f"text {i} of some words") for i in range(3000)], "doc_id long, text string")
+    sizes = []
+    for bucket_bytes in (20_000, 100):
+        made = simhash.in_id_order(d, bucket_bytes=bucket_bytes)
+        sizes.append(len(made._jdf.queryExecution().optimizedPlan().toString()))
+        assert made.count() == 3000
+    assert abs(sizes[0] - sizes[1]) < 200
+
+
 def test_fingerprints_odd_rows(odd, empty):
     got = rows(simhash.compare_edited(odd))
     assert len(got) == len(ODD)
@@ -337,6 +347,20 @@ def test_disclosing_terms_against_brute_force(spark, docs):
     assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_terms_of_texts_equal_terms_of_tokens(spark):
+    """Terms are taken from whole texts, places from single tokens: both must see the same terms."""
+    rng = np.random.default_rng(17)
+    signs = list("abÄßİΣ9@.-_'\u0301 \t\n\x0b,") + ["\U0001f600", "\U00010400", "日", "\u2003", "\xa0"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 40)))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    whole = {r.id: set(r.t) for r in rows.select("id", pii.terms_of(F.col("text")).alias("t")).collect()}
+    tokens = rows.select("id", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).where(pii.is_term(F.col("w")))
+    single: dict = {i: set() for i in whole}
+    for r in tokens.select("id", F.lower(pii.stripped(F.col("w"))).alias("t")).collect():
+        single[r.id].add(r.t)
+    assert whole == single and sum(map(len, whole.values())) > 500
+
+
 def test_term_spans_against_brute_force(spark):
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
     told = {w: "remove" for w in words[::3]} | {"müßig": "generalise"}
