@@ -38,9 +38,10 @@ def bucket_components(
     """
     close = close or (lambda a, b: F.lit(True))
     sizes = probes.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    hits = staged(probes.join(sizes, "key"), "hits")
+    # Merge joins where the smaller side grows with the data as well: broadcast, it would only do while that is small.
+    hits = staged(probes.join(sizes.hint("merge"), "key"), "hits")
     hub = hits.groupBy("id").agg((-F.sum("members")).alias("rank"))
-    hits = staged(hits.drop("members").join(hub, "id"), "ranked")
+    hits = staged(hits.drop("members").join(hub.hint("merge"), "id"), "ranked")
 
     def with_leaders(found: DataFrame, extra: list[str]) -> DataFrame:
         lead = F.min_by(F.struct("id", "n", "comp", "rank", *extra), F.struct("rank", "id"))
@@ -52,7 +53,7 @@ def bucket_components(
     labels = components(staged(confirm(first), "confirmed", TEXT_ROWS))
 
     def apart(extra: DataFrame | None) -> DataFrame:
-        now = hits.join(labels.withColumnsRenamed({"u": "id", "v": "comp"}), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        now = hits.join(labels.withColumnsRenamed({"u": "id", "v": "comp"}).hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         spread = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
         now = now.join(spread, "key", "left_semi")
         return staged(now.join(extra, "id") if extra is not None else now, "apart")

@@ -31,7 +31,6 @@ ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -115,9 +114,9 @@ def bit_sketch(texts: DataFrame, words: int, bits: int = SKETCH_BITS) -> DataFra
     return texts.select("doc_id", "text").mapInPandas(run, "id long, x array<long>").distinct()
 
 
-def sketch_distance(a: str, b: str, bits: int = SKETCH_BITS) -> Column:
-    """Differing bits of two sketches."""
-    return reduce(lambda p, q: p + q, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)])
+def sketch_distance(a: str, b: str) -> Column:
+    """Differing bits of two sketches. A loop over their numbers: spelt out, they make a method too large for the JVM to compile."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
 
 
 def bit_limit(percent: int, bits: int = SKETCH_BITS) -> int:
