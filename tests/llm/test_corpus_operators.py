@@ -580,6 +580,51 @@ def test_languages_on_held_out_documents(spark):
     assert n > 200 and right > 0.97
 
 
+def plain_grams(text: str) -> dict:
+    """Counts of hashed 1-, 2- and 3-grams inside words with their boundaries, a plain loop."""
+    spread = lambda h: (h * 0x9E3779B97F4A7C15 % 2**64) >> 53
+    out: dict = {}
+    codes, word = [], []
+    for c in text.lower() + " ":
+        if c.isalpha():
+            word.append(ord(c))
+        elif word:
+            codes.append([0, *word, 0])
+            word = []
+    for w in codes:
+        keys = [spread(c) for c in w if c]
+        keys += [spread((x * 0x110000 + y + 2**60) % 2**64) for x, y in zip(w, w[1:], strict=False)]
+        keys += [spread(((x * 0x110000 + y) * 0x110000 + z + 2**61) % 2**64) for x, y, z in zip(w, w[1:], w[2:], strict=False)]
+        for k in keys:
+            out[k] = out.get(k, 0) + 1
+    return out
+
+
+def test_language_counts_and_choices_against_brute_force(spark):
+    rng = np.random.default_rng(31)
+    signs = list("abcdeÄßİé 日本.,-9\n")
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 60)))) for _ in range(150)]
+    want = np.zeros((len(texts), langid.DIMS))
+    for i, t in enumerate(texts):
+        for k, n in plain_grams(t).items():
+            want[i, k] = n
+    assert np.array_equal(langid.counts(texts), want)
+    langs = ["x" if t.count("a") > t.count("b") else "y" for t in texts]
+    model = langid.train(spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string"), clusters=3)
+    idf = np.log((1 + len(texts)) / (1 + (want > 0).sum(axis=0))) + 0.1
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    v = np.sqrt(want) * idf
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    cos = v @ model.centroids.T
+    lettered = want.sum(axis=1) > 0
+    best = [model.languages[model.owners[j]] if ok else "und" for j, ok in zip(cos.argmax(axis=1), lettered, strict=True)]
+    # Centroids are means of their own texts: no text of the sample is nearer to another one's than rounding allows.
+    names, scores, _ = model.predict(texts)
+    ties = np.sort(cos, axis=1)[:, -1] - np.sort(cos, axis=1)[:, -2] < 1e-5
+    assert [n for n, t in zip(names, ties, strict=True) if not t] == [b for b, t in zip(best, ties, strict=True) if not t]
+    assert ((scores > 0) == lettered).all()
+
+
 def test_languages_odd_rows(odd, empty, docs):
     model = langid.train(docs)
     got = rows(langid.identify(odd, model))
