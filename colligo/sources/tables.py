@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from colligo.operators.scan import safe_name, upsert
 
 BUCKETS = 32
+#: Stands for the version before in a version's map.
+BEFORE = -1
 
 
 def _path(spark: SparkSession, text: str):
@@ -37,8 +39,8 @@ class UpsertTable:
     """Newest row per key, in hash buckets of which a write copies only those that it touches.
 
     data/v=N/bucket=B holds bucket B as version N left it, map/v=N says for every
-    bucket which version holds it (at most `buckets` rows) and is written last: it
-    commits the version. Bytes written grow with the buckets that a batch touches,
+    bucket which version holds it (at most `buckets` rows, and one that names the
+    version before) and is written last: it commits the version. Bytes written grow with the buckets that a batch touches,
     not with the table.
     """
 
@@ -47,6 +49,9 @@ class UpsertTable:
         self.schema = spark.createDataFrame([], schema).schema
 
     def _map(self, version: int | None) -> dict[int, int]:
+        return {b: at for b, at in self._entries(version).items() if b != BEFORE}
+
+    def _entries(self, version: int | None) -> dict[int, int]:
         if version is None:
             return {}
         return {r.bucket: r.at for r in self.spark.read.schema("bucket int, at long").parquet(f"{self.folder}/map/v={version}").collect()}
@@ -66,9 +71,14 @@ class UpsertTable:
     def upsert(self, batch: DataFrame, version: int) -> list[int]:
         """Merge batch into the version before and commit it as `version`; gives the buckets written.
 
-        A version that exists already is written again from the one before it.
+        A version that exists already is written again from the one before it, which
+        must not have been removed.
         """
-        before = self._map(max((v for v in versions(self.spark, f"{self.folder}/map") if v < version), default=None))
+        known = versions(self.spark, f"{self.folder}/map")
+        last = max((v for v in known if v < version), default=None)
+        if version in known and self._entries(version).get(BEFORE) != last:
+            raise ValueError(f"version {version} was made from one that has been removed")
+        before = self._map(last)
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
         rows = batch.select(*self.schema.fieldNames())
         touched = sorted(r.b for r in rows.select(bucket.alias("b")).distinct().collect())
@@ -78,7 +88,8 @@ class UpsertTable:
         # What a failed attempt of this version left is replaced as a whole.
         merged.repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/data/v={version}")
         after = before | dict.fromkeys(touched, version)
-        made = self.spark.createDataFrame(sorted(after.items()), "bucket int, at long")
+        entries = [*after.items(), *([(BEFORE, last)] if last is not None else [])]
+        made = self.spark.createDataFrame(sorted(entries), "bucket int, at long")
         made.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/map/v={version}")
         return touched
 

@@ -207,6 +207,9 @@ def test_upsert_table_writes_only_touched_buckets(spark, tmp_path):
     table.upsert(rows([], "none", 0), 3)
     assert table.vacuum(keep=1) > 0 and table.latest() == 3
     assert {r.id: r.v for r in table.read().collect()} == got
+    with pytest.raises(ValueError, match="removed"):
+        table.upsert(rows([5], "again", 3), 3)
+    assert {r.id: r.v for r in table.read().collect()} == got
 
 
 def test_status_sink_reads_one_partition_of_a_committed_version(spark, tmp_path):
