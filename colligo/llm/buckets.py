@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +21,17 @@ def bucket_components(
     plausible: Callable[[str, str], Column],
     details: Callable[[DataFrame], DataFrame] | None = None,
     close: Callable[[str, str], Column] | None = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """(u, v): v is the smallest id linked with u, for every u that is not itself the smallest of its component.
 
-    probes: distinct (key, id, n); two ids are compared if they share a key and
+    probes: (key, id, n); two ids are compared if they share a key and
     plausible holds; confirm keeps the true links of a table of pairs (u, v).
     details(ids) may add a column x for the ids that are still apart after the
     first round, and close, over both sides' columns, must hold for any link;
-    plausible and close get the suffixes of the two sides.
+    plausible and close get the suffixes of the two sides. texts: a table by doc_id;
+    its rows of ids that share a bucket are stored once and are the second argument
+    of confirm and details.
 
     Bucket mates are not paired. Each member is first compared with the most
     central leader of its buckets (the one that shares most buckets with
@@ -37,9 +41,15 @@ def bucket_components(
     components, close being part of the join, so no link is lost.
     """
     close = close or (lambda a, b: F.lit(True))
-    sizes = probes.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    # Buckets of two distinct members; the numbers are of all columns, so that this and the join read one exchange.
+    dealt = probes.repartition("key")
+    ends = [f("id").alias(f"{f.__name__}_id") for f in (F.min, F.max)] + [f("n").alias(f"{f.__name__}_n") for f in (F.min, F.max)]
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("members"), *ends).where("min_id < max_id or min_n < max_n").select("key", "members")
     # Merge joins where the smaller side grows with the data as well: broadcast, it would only do while that is small.
-    hits = staged(probes.join(sizes.hint("merge"), "key"), "hits")
+    hits = staged(dealt.join(sizes.hint("merge"), "key"), "hits")
+    if texts is not None:
+        held = staged(texts.join(hits.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "held")
+        confirm, details = partial(confirm, texts=held), details and partial(details, texts=held)
     hub = hits.groupBy("id").agg((-F.sum("members")).alias("rank"))
     hits = staged(hits.drop("members").join(hub.hint("merge"), "id"), "ranked")
 

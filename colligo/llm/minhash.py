@@ -145,11 +145,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 yield pdf.loc[ok, ["u", "v"]]
 
     pairs = staged(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    held = texts.join(needed, "doc_id", "left_semi")
     # All pairs of a hub have the same v: they are dealt over tasks, here and where a member meets many.
-    wide = spread_join(pairs, held.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u", "v", HUB_ROWS, pairs)
-    wide = spread_join(wide, held.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v", "u", HUB_ROWS, pairs)
+    wide = spread_join(pairs, texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u", "v", HUB_ROWS, pairs)
+    wide = spread_join(wide, texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v", "u", HUB_ROWS, pairs)
     return wide.select("u", "v", "text_u", "text_v").mapInPandas(run, "u long, v long")
 
 
@@ -160,17 +158,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     texts = with_ids(docs, id_col, text_col)
     rows = staged(sketch(texts, words), "sketch", TEXT_ROWS)
-    classes = staged(rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    # One row per representative: of rows that repeat its id, each that leads a class.
-    heads = rows.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")
-    probes = staged(heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct(), "probes")
+    # Rows of a class have one set, and so the same keys. An id that repeats may represent several classes.
+    heads = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    heads = staged(heads, "classes")
+    classes = heads.select("h1", "h2", "rep")
+    probes = staged(heads.where("rep is not null").select(F.col("rep").alias("id"), "n", F.explode("keys").alias("key")), "probes")
     with_id = texts.where("not no_id").select("doc_id", "text")
     labels = bucket_components(
         probes,
-        lambda pairs: confirm(pairs, with_id, words, percent),
+        lambda pairs, texts: confirm(pairs, texts, words, percent),
         lambda a, b: 100 * F.least(f"n{a}", f"n{b}") >= percent * F.greatest(f"n{a}", f"n{b}"),
-        (lambda ids: bit_sketch(with_id.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), words)) if bit_filter else None,
+        (lambda ids, texts: bit_sketch(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), words)) if bit_filter else None,
         (lambda a, b: sketch_distance(f"x{a}", f"x{b}") <= bit_limit(percent)) if bit_filter else None,
+        with_id,
     )
     named = classes.join(labels.withColumnsRenamed({"u": "rep", "v": "comp"}), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")

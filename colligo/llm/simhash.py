@@ -135,7 +135,7 @@ def near_classes(prints: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> Da
     tables = [signed(sum(pick)) for pick in combinations(masks, blocks - radius)]
     distinct = staged(prints.select("fp").where("fp is not null").distinct(), "prints")
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(tables)]))
-    probes = distinct.select(F.col("fp").alias("id"), F.lit(0).alias("n"), keys.alias("key")).distinct()
+    probes = distinct.select(F.col("fp").alias("id"), F.lit(0).alias("n"), keys.alias("key"))
     labels = bucket_components(staged(probes, "blocks"), lambda pairs: pairs, lambda a, b: F.bit_count(F.col(f"id{a}").bitwiseXOR(F.col(f"id{b}"))) <= radius)
     return distinct.join(labels.select(F.col("u").alias("fp"), F.col("v").alias("near_class")), "fp", "left").select("fp", F.coalesce("near_class", "fp").alias("near_class"))
 
