@@ -743,6 +743,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_an_id_of_several_texts_keeps_the_links_of_each(spark):
+    """Id 1 has two texts, one of them twice; 2 is near the first, 3 near the second; rows without an id join their class."""
+    words = lambda p: [f"{p}{i}" for i in range(60)]
+    first, second = " ".join(words("a")), " ".join(words("b"))
+    made = [(1, first), (1, second), (1, second), (2, first + " more"), (3, second + " more"), (None, first), (4, " ".join(words("c")))]
+    for bit_filter in (True, False):
+        got = minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), words=4, bit_filter=bit_filter).collect()
+        assert len(got) == len(made)
+        assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (None, 1), (4, 4)}
+
+
 def test_pigeonhole_keys():
     """Signatures that differ in fewer than CHUNKS * (ERRORS + 1) symbols share a key."""
     rng = np.random.default_rng(6)
