@@ -86,5 +86,19 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int,
     return dealt.join(copied, [key, "_part"]).drop("_part")
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int, counted: DataFrame | None = None) -> DataFrame:
+    """spread_join of which only keys with more than `rows` rows are told their parts, so that no task takes all rows of a key for that.
+
+    These are at most one for each `rows` rows of left; they are stored, so that the planner broadcasts them while they are
+    few and neither side is shuffled for its parts. The join itself is a merge join at every size.
+    """
+    counts = (left if counted is None else counted).groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts"))
+    hot = staged(counts.where("_parts > 1"), "hot")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    copied = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied.hint("merge"), [key, "_part"]).drop("_part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

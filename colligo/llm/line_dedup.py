@@ -35,15 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colligo.llm.common import spread_join, staged, text_or_empty
+from colligo.llm.common import hot_join, staged, text_or_empty
+from colligo.llm.pii import marked, slot_bits
 
 SPACES = r"[\x20\x09-\x0D]+"
 BLOCK_WORDS = 16
 #: Pairs of one first document that a task aligns together, about.
 FIRST_ROWS = 512
+#: Hash values by which documents are held against those of a join before they are shuffled for it: 2 MB of bits, whatever their number.
+SLOTS = 1 << 24
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -210,10 +213,11 @@ def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "do
     anchors = keyed.select(F.struct("no_id", "id", "tie").alias("doc"), F.explode("h").alias("h"))
     firsts = staged(anchors.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first"), "firsts")
     pairs = staged(anchors.join(firsts, "h").where("first < doc").select("first", "doc").distinct(), "pairs")
-    # Only documents of pairs take part from here on; the many of one first document are dealt over tasks.
-    both = lined.distinct()
-    wide = spread_join(pairs, both.select("doc", "hashes", "words"), "doc", "first", FIRST_ROWS)
-    wide = spread_join(wide, both.select(F.col("doc").alias("first"), F.col("hashes").alias("first_hashes"), F.col("words").alias("first_words")), "first", "doc", FIRST_ROWS, pairs)
+    # Only documents of pairs take part from here on, and few others by chance; the many of one first document are dealt over tasks.
+    bits = slot_bits(pairs.select(F.col("doc").alias("term")).union(pairs.select("first")), SLOTS)
+    both = lined.where(marked(F.col("doc"), bits.scalar(), SLOTS)).distinct()
+    wide = hot_join(pairs, both.select("doc", "hashes", "words"), "doc", "first", FIRST_ROWS)
+    wide = hot_join(wide, both.select(F.col("doc").alias("first"), F.col("hashes").alias("first_hashes"), F.col("words").alias("first_words")), "first", "doc", FIRST_ROWS, pairs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -230,15 +234,25 @@ def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "do
 def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = "n_removed") -> DataFrame:
     """docs with common blocks deleted from later documents.
 
-    removed_col, if given, has the number of deleted lines.
+    removed_col, if given, has the number of deleted lines. docs is read once for
+    the blocks and twice for the result: texts that lose nothing are not shuffled,
+    but for those that share the bit of one that does.
     """
-    gone = staged(deletions(docs, block_words, id_col, text_col), "gone").select(F.when(~F.col("doc.no_id"), F.col("doc.id")).alias("_id"), F.col("doc.tie").alias("_tie"), F.col("lines").alias("_lines"))
+    found, found_id = staged(deletions(docs, block_words, id_col, text_col), "gone"), F.when(~F.col("doc.no_id"), F.col("doc.id"))
+    gone = found.select(found_id.alias("_id"), F.col("doc.tie").alias("_tie"), F.col("lines").alias("_lines"))
     whole = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    wide = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(whole) == gone["_tie"]), "left")
+    doc_id, tie = docs[id_col].cast("long"), F.xxhash64(whole)
+    bits = slot_bits(found.select(F.xxhash64(found_id, "doc.tie").alias("term")), SLOTS)
+    met = marked(F.xxhash64(doc_id, tie), bits.scalar(), SLOTS)
+    # A merge join, as gone grows with the data: broadcast, it would only do while that is small.
+    wide = docs.where(met).join(gone.hint("merge"), doc_id.eqNullSafe(gone["_id"]) & (tie == gone["_tie"]), "left")
     lines = gone["_lines"]
     dead = F.map_from_arrays(lines, lines)
     kept = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.map_contains_key(dead, i)), "\n")
-    text = F.when(lines.isNotNull(), kept).otherwise(docs[text_col])
-    out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c != removed_col]
-    extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []
-    return wide.select(*out, *extra)
+
+    def result(part: DataFrame, text: Column, removed: Column) -> DataFrame:
+        out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c != removed_col]
+        return part.select(*out, *([removed.cast("long").alias(removed_col)] if removed_col else []))
+
+    cut = result(wide, F.when(lines.isNotNull(), kept).otherwise(docs[text_col]), F.coalesce(F.size(lines), F.lit(0)))
+    return cut.union(result(docs.where(~met), docs[text_col].cast("string"), F.lit(0)))

@@ -183,20 +183,21 @@ def disclosing_terms(rows: DataFrame, ents: DataFrame, z: float = 1.0, generalis
     return scored.select("term", "e", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
-def slot_bits(terms: DataFrame) -> DataFrame:
-    """One row with SLOTS bits, 64 to a number of an array, set at the hash values of the column term."""
-    given = terms.select(_slot(F.col("term")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    words = terms.sparkSession.range(SLOTS // 64).join(given, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+def slot_bits(terms: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """One row with so many bits, 64 to a number of an array, set at the hash values of the column term."""
+    given = terms.select(_slot(F.col("term"), slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    words = terms.sparkSession.range(slots // 64).join(given, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
 
 
-def _slot(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(SLOTS))
+def _slot(term: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(slots))
 
 
-def marked(term: Column, bits: Column) -> Column:
+def marked(term: Column, bits: Column, slots: int = SLOTS) -> Column:
     """Whether the bit of a term's hash value is set."""
-    return F.getbit(F.get(bits, F.shiftright(_slot(term), 6).cast("int")), _slot(term).bitwiseAND(F.lit(63)).cast("int")) == 1
+    slot = _slot(term, slots)
+    return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def term_spans(rows: DataFrame, telling: DataFrame) -> DataFrame:

@@ -146,6 +146,56 @@ def test_line_dedup_odd_rows(odd, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def shuffled_texts(df, text_col="text"):
+    """Rows written by each exchange that carries the text, of the plan as it ran."""
+
+    def nodes(plan):
+        kind = plan.getClass().getSimpleName()
+        inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        return [(kind, plan), *(x for p in inner for x in nodes(p))]
+
+    found = nodes(df._jdf.queryExecution().executedPlan())
+    return [p.metrics().apply("shuffleRecordsWritten").value() for kind, p in found if kind == "ShuffleExchangeExec" and f"{text_col}#" in p.output().toString()]
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_line_dedup_shuffles_only_texts_that_lose_lines(spark, threshold):
+    """Whether the lines to delete are few enough to be broadcast or not; copies, nulls and rows without an id among them."""
+    line = " ".join(f"w{i}" for i in range(20))
+    texts = [(i, f"text {i} of its own") for i in range(300)] + [(300, line), (301, f"own\n{line}"), (301, f"own\n{line}"), (None, line), (None, None), (302, None)]
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        made = line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string"))
+        got = sorted((tuple(r) for r in made.collect()), key=str)
+        assert shuffled_texts(made) == [3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    want = {301: ("own", 1), None: ("", 1)}
+    assert got == sorted(((i, *want.get(i, (t, 0))) if t else (i, t, 0) for i, t in texts), key=str)
+
+
+def test_line_dedup_where_all_documents_share_a_bit(spark, monkeypatch):
+    """A bit table that is full sends every text through the join, with the same rows."""
+    texts = [(1, " ".join("abcdefghijklmnopqrst")), (2, "own\n" + " ".join("abcdefghijklmnopqrst")), *((i, f"text {i}") for i in range(3, 40))]
+    want = deduped(spark, texts)
+    assert want[2] == ("own", 1) and sum(n for _, n in want.values()) == 1
+    monkeypatch.setattr(line_dedup, "SLOTS", 64)
+    assert deduped(spark, texts) == want
+
+
+def test_hot_join_deals_rows_of_a_large_key(spark):
+    """The rows of an inner join, each once; a key of many rows is dealt over tasks, others are not."""
+    left = spark.range(1000).select(F.when(F.col("id") < 800, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    right = spark.createDataFrame([(k, s) for k in range(0, 1000, 5) for s in "ab"], "k long, s string")
+    spread = common.hot_join(left, right, "k", "x", 50)
+    assert sorted(map(tuple, spread.select("k", "x", "s").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "x", "s").collect()))
+    # Parts are told without a shuffle by the key alone.
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(k#\d+L?, \d+\)", plan)
+    assert common.hot_join(left, right.limit(0), "k", "x", 50).count() == 0
+
+
 # 2: fingerprints
 
 
