@@ -45,8 +45,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 BLOCK_WORDS = 16
 #: Pairs of one first document that a task aligns together, about.
 FIRST_ROWS = 512
-#: Hash values by which documents are held against those of a join before they are shuffled for it: 2 MB of bits, whatever their number.
-SLOTS = 1 << 24
+#: Hash values by which documents are held against those of a join before they are shuffled for it: 512 KB of bits, whatever their number.
+SLOTS = 1 << 22
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -215,7 +215,7 @@ def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "do
     pairs = staged(anchors.join(firsts, "h").where("first < doc").select("first", "doc").distinct(), "pairs")
     # Only documents of pairs take part from here on, and few others by chance; the many of one first document are dealt over tasks.
     bits = slot_bits(pairs.select(F.col("doc").alias("term")).union(pairs.select("first")), SLOTS)
-    both = lined.where(marked(F.col("doc"), bits.scalar(), SLOTS)).distinct()
+    both = staged(lined.where(marked(F.col("doc"), bits.scalar(), SLOTS)).distinct(), "held")
     wide = hot_join(pairs, both.select("doc", "hashes", "words"), "doc", "first", FIRST_ROWS)
     wide = hot_join(wide, both.select(F.col("doc").alias("first"), F.col("hashes").alias("first_hashes"), F.col("words").alias("first_words")), "first", "doc", FIRST_ROWS, pairs)
 
