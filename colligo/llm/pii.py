@@ -48,7 +48,11 @@ TERM = "term"
 MIN_LETTERS = 3
 #: Hash values by which terms of texts are held against disclosing ones before they are joined.
 SLOTS = 1 << 22
-TOKEN = r"[^\x20\x09-\x0D]+"
+#: White space and what is none, listed by characters, which the Java matcher looks up in one table. On negated classes with
+#: ranges threads of one JVM slow each other down: six took about six times as long as one, each for as much text.
+_SPACE, _DIGIT = r"\x20\x09\x0A\x0B\x0C\x0D", "0123456789"
+_SOLID = f"[^{_SPACE}]"
+TOKEN = f"{_SOLID}+"
 #: The same matches as PATTERNS, in the form that the Java matcher works through without recursion: possessive groups, and
 #: runs of digits or name characters entered only at their start (or, for addresses, right after a match).
 _ITERATIVE = {
@@ -59,13 +63,10 @@ _ITERATIVE = {
 }
 #: Tokens of a context. It goes on over tokens that could be the rest of a number, so that no span is cut.
 CONTEXT = 256
-_CONTEXT = r"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){1,%d}+(?:[0-9().-][^\x20\x09-\x0D]*+[\x20\x09\x0B-\x0D]*+)*+" % CONTEXT
-#: What is not a letter at both ends of a token.
-_ENDS = r"^\P{L}++|(?<!\P{L})\P{L}++$"
-#: The same for all tokens of a text at once, and tokens with a digit or @.
-_SIGN, _SPACE = r"[\P{L}&&[^\x20\x09-\x0D]]", r"\x20\x09-\x0D"
-_ALL_ENDS = rf"(?<![^{_SPACE}]){_SIGN}++|(?<!{_SIGN}){_SIGN}++(?![^{_SPACE}])"
-_NUMBERED = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
+_GAP = r"[\x20\x09\x0B\x0C\x0D]"
+_CONTEXT = rf"(?:{_SOLID}++{_GAP}*+){{1,{CONTEXT}}}+(?:[{_DIGIT}().-]{_SOLID}*+{_GAP}*+)*+"
+#: A token; group 1 holds it from its first letter to its last, and nothing if it has a digit or @ or no letter.
+_WORD = rf"[^{_SPACE}{_DIGIT}@]*+[{_DIGIT}@]{_SOLID}*+|{_SOLID}*?(\p{{L}}(?:{_SOLID}*\p{{L}})?){_SOLID}*+|{_SOLID}++"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -130,17 +131,18 @@ def base_spans(text: Column) -> Column:
 
 
 def stripped(token: Column) -> Column:
-    return F.regexp_replace(token, _ENDS, "")
+    """A token without what is not a letter at its ends; empty if it has a digit or @."""
+    return F.regexp_extract(token, _WORD, 1)
 
 
 def is_term(token: Column) -> Column:
-    return ~token.rlike("[0-9@]") & (F.length(stripped(token)) >= MIN_LETTERS)
+    return F.length(stripped(token)) >= MIN_LETTERS
 
 
 def terms_of(text: Column) -> Column:
     """The distinct terms of a text or a part of one."""
-    tokens = F.split(F.regexp_replace(F.regexp_replace(text, _NUMBERED, ""), _ALL_ENDS, ""), r"[\x20\x09-\x0D]+")
-    return F.array_distinct(F.transform(F.filter(tokens, lambda t: F.length(t) >= MIN_LETTERS), F.lower))
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(1))
+    return F.array_distinct(F.transform(F.filter(words, lambda t: F.length(t) >= MIN_LETTERS), F.lower))
 
 
 def contexts(text: Column) -> Column:
@@ -165,12 +167,7 @@ def disclosing_terms(rows: DataFrame, ents: DataFrame, z: float = 1.0, generalis
     seen = ents.select("c", "terms", F.explode("es").alias("e")).select("c", "e", F.explode("terms").alias("term"))
     pairs = seen.groupBy("term", "e").agg(F.count("*").alias("n_te"), F.countDistinct("c").alias("lines"))
     n_e = ents.select(F.explode("es").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    # One pass over the corpus: contexts are counted as the term "" that each has. Other terms count where one beside an
-    # entity has their bit, and are summed where they are read, so that one row for each term and task is shuffled.
-    bits = slot_bits(seen.select("term").distinct())
-    lines = rows.select(F.explode(contexts(F.col("text"))).alias("line"), bits.scalar().alias("bits"))
-    terms = F.array_append(F.filter(terms_of(F.col("line")), lambda t: marked(t, F.col("bits"))), F.lit(""))
-    n_t = staged(lines.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "counts")
+    n_t = staged(context_counts(rows, slot_bits(seen.select("term").distinct())), "counts")
     n = n_t.where("term = ''").agg(F.sum("n_t")).first()[0] or 0
     counted = pairs.join(n_t, "term").join(n_e, "e")
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
@@ -183,6 +180,17 @@ def disclosing_terms(rows: DataFrame, ents: DataFrame, z: float = 1.0, generalis
     return scored.select("term", "e", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
+def context_counts(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """term, n_t: contexts of rows that hold a term whose bit is set, and all contexts as those of the term "".
+
+    One pass over the corpus. Terms are summed where they are read, so that one row for each term and task is shuffled,
+    and the bits are part of the condition: as a column they would be copied for each context.
+    """
+    lines = rows.select(F.explode(contexts(F.col("text"))).alias("line"))
+    terms = lines.select(F.explode(F.array_append(terms_of(F.col("line")), F.lit(""))).alias("term"))
+    return terms.where((F.col("term") == "") | marked(F.col("term"), bits.scalar())).groupBy("term").agg(F.count("*").alias("n_t"))
+
+
 def slot_bits(terms: DataFrame, slots: int = SLOTS) -> DataFrame:
     """One row with so many bits, 64 to a number of an array, set at the hash values of the column term."""
     given = terms.select(_slot(F.col("term"), slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
@@ -212,8 +220,8 @@ def term_spans(rows: DataFrame, telling: DataFrame) -> DataFrame:
     lines = let(F.split("text", "\n"), lambda ls: let(ends(F.transform(ls, lambda x: F.length(x) + 1)), lambda e: F.transform(ls, lambda x, i: F.struct((e[i] - F.length(x) - 1).alias("at"), x.alias("line")))))
     near = F.filter(lines, lambda x: F.exists(terms_of(x["line"]), lambda t: marked(t, F.col("bits"))))
     tokens = texts.select("id", "tie", F.explode(near).alias("x")).select("id", "tie", "x.at", F.explode(matches(F.col("x.line"), TOKEN, is_term)).alias("m"))
-    lead = F.length("m.value") - F.length(F.regexp_replace("m.value", r"^\P{L}++", ""))
     word = stripped(F.col("m.value"))
+    lead = F.instr(F.col("m.value"), word) - 1
     placed = tokens.select("id", "tie", (F.col("at") + F.col("m.start") + lead).alias("start"), F.length(word).alias("n"), F.lower(word).alias("term"))
     hits = placed.where(marked(F.col("term"), bits.scalar())).join(telling, "term").select("id", "tie", F.struct("start", (F.col("start") + F.col("n")).alias("end"), "action").alias("s"))
     return hits.groupBy("id", "tie").agg(F.array_sort(F.collect_set("s")).alias("terms"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tarfile
+import unicodedata
 import zlib
 
 from pathlib import Path
@@ -411,6 +412,37 @@ def test_terms_of_texts_equal_terms_of_tokens(spark):
     assert whole == single and sum(map(len, whole.values())) > 500
 
 
+def test_terms_against_brute_force(spark):
+    """The pattern of a token against its definition, also on runs that a matcher could go through again and again."""
+    rng = np.random.default_rng(18)
+    signs = list("abcÄß79@.-_'\u0301 \t\n\x0b\r,") + ["\U0001f600", "\U00010400", "日", "\u2003", "\x85", "\xa0"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 40)))) for _ in range(1500)] + ["." * 300_000, "a" + "." * 300_000 + "b", "a" + "-" * 300_000, "\U00010400b" * 100_000, "ab." * 100_000 + "7"]
+
+    def want(text: str) -> set:
+        kept = [t for t in re.split(r"[\x20\x09-\x0d]+", text) if not re.search("[0-9@]", t)]
+        cores = [t[min(at) : max(at) + 1] for t in kept if (at := [i for i, c in enumerate(t) if unicodedata.category(c)[0] == "L"])]
+        return {c.lower() for c in cores if len(c) >= pii.MIN_LETTERS}
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: set(r.t) for r in rows.select("id", pii.terms_of(F.col("text")).alias("t")).collect()}
+    assert got == {i: want(t) for i, t in enumerate(texts)}
+
+
+def test_context_counts_and_their_plan(spark):
+    """Counts of contexts; the bit table is a condition, no column that each context has a copy of."""
+    texts = ["One two, two\n\nthree (ONE)", "", None, "two x1two", " \r\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    found = pii.context_counts(rows, pii.slot_bits(spark.createDataFrame([("one",), ("two",)], "term string")))
+    assert {r.term: r.n_t for r in found.collect()} == {"": 3, "one": 2, "two": 2}
+    assert not re.search(r"scalar-subquery#\d+ \[\] AS", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_term_patterns_hold_no_negated_ranges():
+    """Threads of one JVM slow each other down on them: six took about six times as long as one."""
+    for pattern in (pii._WORD, pii._CONTEXT, pii.TOKEN):
+        assert r"\P" not in pattern and not re.search(r"\[\^(?:\\.|[^\]\\])*(?<!\\)-", pattern)
+
+
 def test_term_spans_against_brute_force(spark):
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
     told = {w: "remove" for w in words[::3]} | {"müßig": "generalise"}
