@@ -8,10 +8,11 @@ import pytest
 
 from colligo import plans
 from colligo.operators import albums as A
+from colligo.operators import scoring
 
 SF = "/root/testdata/sf0.001"
 #: Shuffles without broadcasts.
-MOST = {"release_winner": 11, "candidate_for_merge": 16, "cross_verify": 16, "release_common": 9, "bind_by_duration": 21, "match_ratio": 20, "default_judge": 27, "match_release_track": 20}
+MOST = {"release_winner": 11, "candidate_for_merge": 16, "cross_verify": 16, "release_common": 9, "bind_by_duration": 21, "match_ratio": 20, "default_judge": 27, "match_release_track": 20, "candidate_evidence": 20, "cross_verify_evidence": 31, "fast_track_evidence": 52, "notification_fields": 23, "strong_candidates": 20, "source_matrix": 22}
 
 
 @pytest.fixture
@@ -48,3 +49,21 @@ def test_binding_of_odd_tracks(spark):
     got = {(r.app_id, r.v_idx): (r.release_id, r.position, r.recording_id, r.gap_ms) for r in A.bind_by_duration(local, chosen, tracks).collect()}
     # The first of equal gaps; a gap of the bound itself is too wide; an album without a release has no rows.
     assert got == {(1, 0): (7, 1, 51, 500), (1, 1): (7, None, None, None), (1, 2): (7, None, None, None), (2, 0): (8, None, None, None)}
+
+
+@pytest.mark.parametrize("name", ["score_links", "rank_candidates", "source_matrix"])
+def test_links_are_read_once_and_without_lambdas(plain, name):
+    plan = plans.QUERIES[name](plain, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_links_of_odd_forms(spark):
+    urls = ["https://store.example.com/app/1", "x store.example.com/app/ store.example.com/app/001", "https://store.example.com/app/99999999999999999999", "https://store.example.com/app/5?x=db.example.com/app/1", "https://shop.example.com/a/1", None, "", "https://storeXexample.com/app/1"]
+    rows = [(1, i, u, v) for i, (u, v) in enumerate((u, v) for u in urls for v in urls)]
+    cand = spark.createDataFrame(rows, "app_id long, mbid long, url string, url2 string")
+    parents = spark.createDataFrame([(1, 5)], "app_id long, parent_app_id long")
+    got = {r.mbid: r.points for r in scoring.score_links(cand, parents, urls=("url", "url2")).collect()}
+    own, parent, db, shop = {0, 1}, {3}, {3}, {4}
+    for _, i, u, v in rows:
+        at = {urls.index(u), urls.index(v)}
+        assert got[i] == 500 * bool(at & own) + 300 * bool(at & parent) + 500 * bool(at & db) + 100 * bool(at & shop)
