@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from colligo import plans
 from colligo.operators import albums as A
@@ -12,7 +14,7 @@ from colligo.operators import scoring
 
 SF = "/root/testdata/sf0.001"
 #: Shuffles without broadcasts.
-MOST = {"release_winner": 11, "candidate_for_merge": 16, "cross_verify": 16, "release_common": 9, "bind_by_duration": 21, "match_ratio": 20, "default_judge": 27, "match_release_track": 20, "candidate_evidence": 20, "cross_verify_evidence": 31, "fast_track_evidence": 52, "notification_fields": 23, "strong_candidates": 20, "source_matrix": 22}
+MOST = {"release_winner": 11, "candidate_for_merge": 16, "cross_verify": 16, "release_common": 9, "bind_by_duration": 21, "match_ratio": 20, "default_judge": 27, "match_release_track": 20, "candidate_evidence": 20, "cross_verify_evidence": 31, "fast_track_evidence": 52, "notification_fields": 23, "strong_candidates": 20, "source_matrix": 22, "title_coverage": 13, "set_similarity": 14}
 
 
 @pytest.fixture
@@ -67,3 +69,13 @@ def test_links_of_odd_forms(spark):
     for _, i, u, v in rows:
         at = {urls.index(u), urls.index(v)}
         assert got[i] == 500 * bool(at & own) + 300 * bool(at & parent) + 500 * bool(at & db) + 100 * bool(at & shop)
+
+
+def test_texts_that_may_be_like_are_never_missed(spark):
+    rng = random.Random(5)
+    texts = ["", *("".join(rng.choice("ab é") for _ in range(rng.randint(1, 12))) for _ in range(70))]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    for least in (0.5, 0.8, 0.85):
+        got = rows.select("a", "b", scoring.may_be_like(F.col("a"), F.col("b"), least).alias("may"), scoring.likeness(F.col("a"), F.col("b")).alias("sim")).collect()
+        assert all(r.sim == SequenceMatcher(None, r.a, r.b).ratio() for r in got)
+        assert all(r.may for r in got if r.sim > least) and not all(r.may for r in got)
