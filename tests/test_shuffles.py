@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from colligo import plans
 from colligo.operators import albums as A
+from colligo.operators import merge as M
 from colligo.operators import scoring
 
 SF = "/root/testdata/sf0.001"
 #: Shuffles without broadcasts.
-MOST = {"release_winner": 11, "candidate_for_merge": 16, "cross_verify": 16, "release_common": 9, "bind_by_duration": 21, "match_ratio": 20, "default_judge": 27, "match_release_track": 20, "candidate_evidence": 20, "cross_verify_evidence": 31, "fast_track_evidence": 52, "notification_fields": 23, "strong_candidates": 20, "source_matrix": 22, "title_coverage": 13, "set_similarity": 14}
+MOST = {"release_winner": 11, "candidate_for_merge": 16, "cross_verify": 16, "release_common": 9, "bind_by_duration": 21, "match_ratio": 20, "default_judge": 27, "match_release_track": 20, "candidate_evidence": 20, "cross_verify_evidence": 31, "fast_track_evidence": 52, "notification_fields": 23, "strong_candidates": 20, "source_matrix": 22, "title_coverage": 13, "set_similarity": 14, "final_tags": 53, "merge_title": 50}
 
 
 @pytest.fixture
@@ -79,3 +80,11 @@ def test_texts_that_may_be_like_are_never_missed(spark):
         got = rows.select("a", "b", scoring.may_be_like(F.col("a"), F.col("b"), least).alias("may"), scoring.likeness(F.col("a"), F.col("b")).alias("sim")).collect()
         assert all(r.sim == SequenceMatcher(None, r.a, r.b).ratio() for r in got)
         assert all(r.may for r in got if r.sim > least) and not all(r.may for r in got)
+
+
+def test_store_tracks_of_claims_and_titles(spark):
+    files = spark.createDataFrame([(1, 1, "Main", "use_steam", 2), (1, 2, "main!", "use_fingerprint", 0), (1, 3, "End Two", "use_fingerprint", 0), (1, 4, "End", "use_local", 1), (1, 5, None, "use_steam", None), (1, 6, None, "use_fingerprint", 1), (1, 7, "x", "use_steam", 9)], "app_id long, file_no int, stem string, action string, matched_v_idx long")
+    store = spark.createDataFrame([(1, 0, "End", 1, 1), (1, 1, "Main", 2, 1), (1, 2, "MAIN", 3, 2), (2, 3, "End Two", 1, 1)], "app_id long, v_idx long, title string, number int, disc int")
+    got = {r.file_no: (r.v_idx, r.s_title, r.s_number, r.s_disc) for r in M.placed(files, store).collect()}
+    assert got == {1: (2, "MAIN", 3, 2), 2: (1, "Main", 2, 1), 3: (0, "End", 1, 1)}
+    assert {(r.file_no, r.v_idx) for r in M.match_store_track(files, store).collect()} == {(k, v[0]) for k, v in got.items()}
