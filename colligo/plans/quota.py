@@ -50,8 +50,8 @@ def _(t):
     return jobs.drain(jobs.quota_stream(rows, seconds=3600, most_requests=10, most_tokens=300), scratch(t.spark, "labels"), scratch(t.spark, "state"))
 
 
-def notices(t, folder):
-    return jobs.read_events(t.spark, folder).select("event_id", "ts", F.col("event_type").alias("level"), F.col("user_id").alias("title"))
+def notices(t, folder, files=1):
+    return jobs.read_events(t.spark, folder, files).select("event_id", "ts", F.col("event_type").alias("level"), F.col("user_id").alias("title"))
 
 
 @query("stream_cooldown", SENT)
@@ -69,8 +69,9 @@ def _(t):
     sent = None
     for part in (early, ~early):
         folder = scratch(t.spark, "in")
-        events.where(part).coalesce(1).write.parquet(folder)
-        rows = notices(t, folder)
+        events.where(part).write.parquet(folder)
+        # A half is one batch, in whose order of files nothing lies.
+        rows = notices(t, folder, files=1_000_000_000)
         known = None if sent is None else rows.sparkSession.read.parquet(sent)
         out = scratch(t.spark, "sent")
         made = jobs.drain(jobs.cooldown_stream(rows, seconds=3600, sent=known), out, scratch(t.spark, "state")).select("event_id", "level", "title")

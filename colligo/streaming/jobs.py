@@ -109,11 +109,18 @@ class _Cooldown(StatefulProcessor):
         self.last.update((max(int(initialState["at"].max()), self.last.get()[0] if self.last.exists() else -(2**63)),))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        out = pdf[kept_after_cooldown(pdf["at"].tolist(), self.seconds, int(self.last.get()[0]) if self.last.exists() else None)]
-        if len(out):
-            self.last.update((int(out["at"].iloc[-1]),))
-        yield out[["event_id", "level", "title", "at"]]
+        # Keys are many and short: plain arrays, and one question to the state.
+        frames = list(rows)
+        at, ids = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("at", "event_id"))
+        order = np.lexsort((ids, at))
+        at, ids = at[order], ids[order]
+        last = self.last.get()
+        kept = np.array(kept_after_cooldown(at.tolist(), self.seconds, None if last is None else int(last[0])), dtype=bool)
+        if not kept.any():
+            return
+        at, ids = at[kept], ids[kept]
+        self.last.update((int(at[-1]),))
+        yield pd.DataFrame({"event_id": ids, "level": key[0], "title": key[1], "at": at})
 
     def close(self) -> None:
         pass
